@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.metrics import is_available
+from fleetgauge.operators.metrics import Analysis, is_available
 
 
-def ingestion_summary(analysis: dict[str, DataFrame]) -> DataFrame:
+def ingestion_summary(analysis: Analysis) -> DataFrame:
     """Per log: completed or blocked, and how much was found."""
-    found = analysis["events"].groupBy("file_id").agg(F.count(F.lit(1)).alias("events"))
-    measured = analysis["metrics"].groupBy("file_id").agg(
+    found = analysis.events.groupBy("file_id").agg(F.count(F.lit(1)).alias("events"))
+    measured = analysis.metrics.groupBy("file_id").agg(
         F.count_if(is_available()).alias("metrics_available"),
         F.count_if(~is_available()).alias("metrics_missing"))
     return (
-        analysis["quality"].select("file_id", F.col("verdict").alias("quality_verdict"))
+        analysis.quality.select("file_id", F.col("verdict").alias("quality_verdict"))
         .join(found, "file_id", "left")
         .join(measured, "file_id", "left")
-        .join(analysis["scope"].select("file_id", F.col("window_id").alias("primary_window_id")), "file_id", "left")
+        .join(analysis.scope.select("file_id", F.col("window_id").alias("primary_window_id")), "file_id", "left")
         .select(
             "file_id",
             F.when(F.col("quality_verdict") == "blocked", "blocked").otherwise("completed").alias("status"),

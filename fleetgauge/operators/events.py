@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge import vocab as v
 from fleetgauge.functions.ids import evidence_scope, stable_id
 from fleetgauge.functions.kinematics import ttc
+from fleetgauge.functions.sqltext import num
 from fleetgauge.operators import segments as sg
 from fleetgauge.policies import AebThresholds
 
@@ -31,24 +32,26 @@ def descriptions(thresholds: AebThresholds) -> dict[str, str]:
     }
 
 
-def event_profile(telemetry: DataFrame, thresholds: AebThresholds = AebThresholds()) -> DataFrame:
+def event_aggregates(thresholds: AebThresholds = AebThresholds()) -> list[Column]:
     """First row and time of each event per log, plus the log's first and last time.
 
     Only primitive aggregation buffers, so the pass partial-aggregates before it shuffles.
     """
-    row, t = F.col("row"), F.col(v.TIMESTAMP)
     hits = {
-        "brake": F.when(F.col(v.BRAKE) == 1, row),
-        "crossing": F.when(
-            ttc(F.col(v.GAP), F.col(v.REL_V), thresholds.closing_speed_floor_mps)
-            <= thresholds.trigger_ttc_s, row),
-        "collision": F.when(F.col(v.GAP) <= thresholds.collision_gap_m, row),
+        "brake": f"{v.BRAKE} = 1",
+        "crossing": f"({ttc(v.GAP, v.REL_V, thresholds.closing_speed_floor_mps)}) <= {num(thresholds.trigger_ttc_s)}",
+        "collision": f"{v.GAP} <= {num(thresholds.collision_gap_m)}",
     }
     aggs = []
-    for name, at in hits.items():
-        aggs += [F.min(at).alias(f"{name}_row"), F.min_by(t, at).alias(f"{name}_t")]
-    return telemetry.groupBy("file_id").agg(
-        *aggs, F.min_by(t, row).alias("first_t"), F.max_by(t, row).alias("last_t"))
+    for name, hit in hits.items():
+        aggs += [f"min(CASE WHEN {hit} THEN row END) AS {name}_row",
+                 f"min_by({v.TIMESTAMP}, CASE WHEN {hit} THEN row END) AS {name}_t"]
+    aggs += [f"min_by({v.TIMESTAMP}, row) AS first_t", f"max_by({v.TIMESTAMP}, row) AS last_t"]
+    return [F.expr(a) for a in aggs]
+
+
+def event_profile(telemetry: DataFrame, thresholds: AebThresholds = AebThresholds()) -> DataFrame:
+    return telemetry.groupBy("file_id").agg(*event_aggregates(thresholds))
 
 
 def events_from_profile(
@@ -87,7 +90,7 @@ def build_windows(
     want_start = F.col("t_s") - thresholds.window_pre_s
     want_end = F.col("t_s") + thresholds.window_post_s
     wanted = events.withColumn("want_start", want_start).withColumn("want_end", want_end)
-    keyed = wanted.withColumn("tbin", F.explode(sg.bins_of(F.col("want_start"), F.col("want_end"))))
+    keyed = sg.explode_bins(wanted, F.col("want_start"), F.col("want_end"))
     samples = telemetry.select("file_id", "row", F.col(v.TIMESTAMP).alias("t")).withColumn(
         "tbin", sg.time_bin(F.col("t")))
     inside = samples.join(
@@ -118,7 +121,7 @@ def primary_event(profile: DataFrame) -> DataFrame:
 
 
 def analysis_scope(profile: DataFrame, thresholds: AebThresholds = AebThresholds()) -> DataFrame:
-    """Per log: bounds of the primary window (null = whole log) and the events inside it."""
+    """Per log: bounds of the primary window (those of the log without one) and the events inside it."""
     p = primary_event(profile)
     lo = F.col("anchor_t") - thresholds.window_pre_s
     hi = F.col("anchor_t") + thresholds.window_post_s
@@ -126,38 +129,28 @@ def analysis_scope(profile: DataFrame, thresholds: AebThresholds = AebThresholds
         ok = F.col("anchor_t").isNull() | F.col(f"{name}_t").between(lo, hi)
         return F.when(ok, F.col(f"{name}_{what}")).alias(f"{name}_{what}")
     return p.select(
-        "file_id", "anchor_type", lo.alias("lo_t"), hi.alias("hi_t"),
+        "file_id", "anchor_type",
+        F.coalesce(lo, F.col("first_t")).alias("lo_t"), F.coalesce(hi, F.col("last_t")).alias("hi_t"),
         F.when(F.col("anchor_type").isNotNull(),
                window_id(F.col("file_id"), F.col("anchor_type"), thresholds)).alias("window_id"),
         *[inside(n, w) for n in ("brake", "crossing", "collision") for w in ("t", "row")],
     )
 
 
-SCOPE_TIMES = ("brake_t", "brake_row", "crossing_t")
-
-
 def slice_window(telemetry: DataFrame, scope: DataFrame) -> DataFrame:
-    """Samples inside the primary window; the whole log where there is no anchor.
+    """Samples inside the bounds of the scope; its other columns ride along on the same join.
 
-    The times the metrics refer to (``SCOPE_TIMES``) ride along on the same join.
+    One binned equi-join for both kinds of log: a window covers two or three time bins, a log
+    without an anchor covers all of its own.
     """
-    anchored = scope.filter(F.col("anchor_type").isNotNull())
-    keyed = anchored.select(
-        "file_id", "lo_t", "hi_t", *SCOPE_TIMES,
-        F.explode(sg.bins_of(F.col("lo_t"), F.col("hi_t"))).alias("tbin"))
-    cut = (
+    carried = [c for c in scope.columns if c not in ("file_id", "lo_t", "hi_t")]
+    keyed = sg.explode_bins(scope, F.col("lo_t"), F.col("hi_t"))
+    return (
         telemetry.withColumn("tbin", sg.time_bin(F.col(v.TIMESTAMP)))
-        .join(keyed, ["file_id", "tbin"])
+        .join(keyed.select("file_id", "tbin", "lo_t", "hi_t", *carried), ["file_id", "tbin"])
         .filter(F.col(v.TIMESTAMP).between(F.col("lo_t"), F.col("hi_t")))
         .drop("tbin", "lo_t", "hi_t")
     )
-    whole = telemetry.join(
-        scope.filter(F.col("anchor_type").isNull()).select("file_id"), "file_id", "left_semi"
-    ).withColumns({
-        "brake_t": F.lit(None).cast("double"), "brake_row": F.lit(None).cast("bigint"),
-        "crossing_t": F.lit(None).cast("double"),
-    })
-    return cut.unionByName(whole)
 
 
 def events_in_window(events: DataFrame, windows: DataFrame) -> DataFrame:
@@ -169,9 +162,9 @@ def events_in_window(events: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def ttc_series(telemetry: DataFrame, thresholds: AebThresholds = AebThresholds()) -> DataFrame:
-    return telemetry.select(
-        "file_id", "row", F.col(v.TIMESTAMP),
-        ttc(F.col(v.GAP), F.col(v.REL_V), thresholds.closing_speed_floor_mps).alias("ttc_s"))
+    return telemetry.selectExpr(
+        "file_id", "row", v.TIMESTAMP,
+        f"{ttc(v.GAP, v.REL_V, thresholds.closing_speed_floor_mps)} AS ttc_s")
 
 
 def rows_in_window(telemetry: DataFrame, windows: DataFrame) -> DataFrame:

@@ -8,16 +8,17 @@ length before anything else happens. Gates are expressions on the resulting row
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
 from fleetgauge.functions.ids import stable_id
+from fleetgauge.functions.sqltext import compact, num, text, texts
 from fleetgauge.operators import segments as sg
 from fleetgauge.policies import QualityPolicy
 
-SEVERITY = {"pass": 0, "warn": 1, "fail": 2}
 CLOSING_NOISE_MPS = 0.5
 
 
@@ -126,204 +127,185 @@ def file_timing(telemetry: DataFrame) -> DataFrame:
 # --- one row per log -----------------------------------------------------------------------
 
 
-def _bad(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
-
-
-def signal_profile(telemetry: DataFrame) -> DataFrame:
-    """Counters of all gates in one pass."""
-    c = F.col
-    return telemetry.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count(v.TIMESTAMP).alias("t_samples"),
-        (F.max(v.TIMESTAMP) - F.min(v.TIMESTAMP)).alias("extent_s"),
-        *[F.count_if(c(s).isNull()).alias(f"null_{s}") for s in v.SIGNALS],
-        _bad(c(v.SPEED) < 0).alias(f"bad_{v.SPEED}"),
-        _bad(c(v.GAP) < 0).alias(f"bad_{v.GAP}"),
-        _bad((c(v.CONF) < 0) | (c(v.CONF) > 1)).alias(f"bad_{v.CONF}"),
-        _bad(c(v.BRAKE).isNotNull() & ~c(v.BRAKE).isin(0, 1)).alias(f"bad_{v.BRAKE}"),
-        *[
-            F.coalesce(F.max(F.abs(s)), F.lit(0.0)).alias(f"peak_{s}")
-            for s in (v.SPEED, v.REL_V, v.GAP, v.ACCEL)
-        ],
-        _bad(c(v.BRAKE) == 1).alias("brake_samples"),
-        _bad(c(v.REL_V) < -CLOSING_NOISE_MPS).alias("closing_samples"),
-    )
+RANGE_SIGNALS = (v.SPEED, v.GAP, v.CONF, v.BRAKE)
+PEAK_SIGNALS = (v.SPEED, v.REL_V, v.GAP, v.ACCEL)
+COUNTERS = (
+    "rows", "t_samples", "extent_s", *[f"null_{s}" for s in v.SIGNALS],
+    *[f"bad_{s}" for s in RANGE_SIGNALS], *[f"peak_{s}" for s in PEAK_SIGNALS],
+    "brake_samples", "closing_samples",
+)
+
+
+def signal_counters() -> list[Column]:
+    """Counters of all gates, for one pass per log."""
+    t = v.TIMESTAMP
+    bad = {
+        v.SPEED: f"{v.SPEED} < 0", v.GAP: f"{v.GAP} < 0", v.CONF: f"{v.CONF} < 0 OR {v.CONF} > 1",
+        v.BRAKE: f"{v.BRAKE} NOT IN (0, 1)",
+    }
+    text = {
+        "rows": "count(1)", "t_samples": f"count({t})", "extent_s": f"max({t}) - min({t})",
+        **{f"null_{s}": f"count_if({s} IS NULL)" for s in v.SIGNALS},
+        **{f"bad_{s}": f"count_if({rule})" for s, rule in bad.items()},
+        **{f"peak_{s}": f"coalesce(max(abs({s})), 0D)" for s in PEAK_SIGNALS},
+        "brake_samples": f"count_if({v.BRAKE} = 1)",
+        "closing_samples": f"count_if({v.REL_V} < {num(-CLOSING_NOISE_MPS)})",
+    }
+    return [F.expr(f"{text[name]} AS {name}") for name in COUNTERS]
 
 
 def quality_profile(
-    telemetry: DataFrame, provenance: DataFrame, policy: QualityPolicy = QualityPolicy()
+    telemetry: DataFrame, provenance: DataFrame, policy: QualityPolicy = QualityPolicy(),
+    also: list[Column] | None = None,
 ) -> DataFrame:
-    """Everything the gates need, one row per log of ``provenance`` (logs without rows too)."""
-    counters = [f.name for f in signal_profile(telemetry).schema.fields if f.name != "file_id"]
+    """Everything the gates need, one row per log of ``provenance`` (logs without rows too).
+
+    ``also``: further aggregates for the same pass, such as those of the event detection.
+    """
+    counted = telemetry.groupBy("file_id").agg(*signal_counters(), *(also or []))
     joined = (
         provenance.select("file_id", "present")
-        .join(signal_profile(telemetry), "file_id", "left")
+        .join(counted, "file_id", "left")
         .join(interval_profile(telemetry, policy), "file_id", "left")
     )
-    zero = [n for n in counters if n.startswith(("null_", "bad_", "rows", "t_s", "brake", "clos"))]
+    zero = [n for n in COUNTERS if not n.startswith("peak_") and n != "extent_s"]
     return joined.fillna(0, subset=[*zero, "non_increasing", "gaps"]).fillna(
-        0.0, subset=["missing_time_s", *[n for n in counters if n.startswith("peak_")]]
+        0.0, subset=["missing_time_s", *[n for n in COUNTERS if n.startswith("peak_")]]
     )
 
 
-# --- gates: policy -> struct(status, message) over the profile --------------------------------
+# --- gates: policy -> SQL text over the profile -------------------------------------------------
+
 
-GateFn = Callable[[QualityPolicy], Column]
+class GateOutcome(NamedTuple):
+    """Two independent SQL expressions: a plan that needs only the verdict builds no messages."""
 
+    status: str
+    message: str
 
-def _result(*cases: tuple[Column | None, str, Column]) -> Column:
-    """First case whose condition holds; a ``None`` condition is the default."""
-    out = None
-    for condition, status, message in cases:
-        item = F.struct(F.lit(status).alias("status"), message.alias("message"))
-        if condition is None:
-            return out.otherwise(item) if out is not None else item
-        out = F.when(condition, item) if out is None else out.when(condition, item)
-    return out
 
+GateFn = Callable[[QualityPolicy], GateOutcome]
 
-def _present(signal: str) -> Column:
-    return F.array_contains("present", signal)
 
+def _result(default: str, *cases: tuple[str, str, str]) -> GateOutcome:
+    """First ``(condition, status, message)`` that holds, else pass with the default message."""
+    status = " ".join(f"WHEN {condition} THEN '{label}'" for condition, label, _ in cases)
+    message = " ".join(f"WHEN {condition} THEN {words}" for condition, _, words in cases)
+    return GateOutcome(f"CASE {status} ELSE 'pass' END", f"CASE {message} ELSE {default} END")
 
-def _names(*pairs: tuple[Column, Column | str]) -> Column:
-    items = [F.when(cond, F.lit(name) if isinstance(name, str) else name) for cond, name in pairs]
-    return F.array_compact(F.array(*items))
 
+def _present(signal: str) -> str:
+    return f"array_contains(present, '{signal}')"
 
-def missing_signals(signals: tuple[str, ...]) -> Column:
-    return F.array_except(F.array(*[F.lit(s) for s in signals]), F.col("present"))
 
+def missing_signals(signals: tuple[str, ...]) -> str:
+    return f"array_except(array({texts(signals)}), present)"
 
-def gate_required_signals(policy: QualityPolicy) -> Column:
+
+def gate_required_signals(policy: QualityPolicy) -> GateOutcome:
     critical = missing_signals(policy.critical_signals)
     optional = missing_signals(policy.optional_signals)
     return _result(
-        (F.size(critical) > 0, "fail",
-         F.concat(F.lit("critical signals missing: "), F.array_join(critical, ", "))),
-        (F.size(optional) > 0, "warn",
-         F.concat(F.lit("optional signals missing: "), F.array_join(optional, ", "))),
-        (None, "pass", F.lit("all signals present")),
+        "'all signals present'",
+        (f"size({critical}) > 0", "fail",
+         f"concat('critical signals missing: ', array_join({critical}, ', '))"),
+        (f"size({optional}) > 0", "warn",
+         f"concat('optional signals missing: ', array_join({optional}, ', '))"),
     )
 
 
-def duration() -> Column:
-    return F.when(_present(v.TIMESTAMP) & (F.col("t_samples") >= 2), F.col("extent_s"))
+def duration() -> str:
+    return f"CASE WHEN {_present(v.TIMESTAMP)} AND t_samples >= 2 THEN extent_s END"
 
 
-def gate_size(policy: QualityPolicy) -> Column:
-    rows = F.col("rows").cast("string")
+def gate_size(policy: QualityPolicy) -> GateOutcome:
     return _result(
-        (F.col("rows") < policy.min_rows, "fail",
-         F.concat(rows, F.lit(f" rows < minimum {policy.min_rows}"))),
-        (F.coalesce(duration() < policy.min_duration_s, F.lit(False)), "fail",
-         F.concat(F.lit("duration "), F.format_string("%.2f", duration()),
-                  F.lit(f" s < minimum {policy.min_duration_s} s"))),
-        (None, "pass", F.concat(rows, F.lit(" rows, "),
-                                F.coalesce(duration().cast("string"), F.lit("None")), F.lit(" s"))),
+        f"concat(rows, ' rows, ', coalesce(string({duration()}), 'None'), ' s')",
+        (f"rows < {policy.min_rows}", "fail", f"concat(rows, ' rows < minimum {policy.min_rows}')"),
+        (f"({duration()}) < {num(policy.min_duration_s)}", "fail",
+         f"concat('duration ', format_string('%.2f', {duration()}), ' s < minimum {policy.min_duration_s} s')"),
     )
 
 
-def missing_time_fraction() -> Column:
-    return F.coalesce(F.try_divide(F.col("missing_time_s"), F.col("extent_s")), F.lit(0.0))
+def missing_time_fraction() -> str:
+    return "coalesce(try_divide(missing_time_s, extent_s), 0D)"
 
 
-def gate_timestamps(policy: QualityPolicy) -> Column:
-    missing = F.format_string("%.2f", F.col("missing_time_s"))
-    nulls = F.col(f"null_{v.TIMESTAMP}")
-    gaps = F.col("gaps").cast("string")
-    limit = f"{policy.max_missing_time_fraction:.0%}"
+def gate_timestamps(policy: QualityPolicy) -> GateOutcome:
+    nulls, share = f"null_{v.TIMESTAMP}", missing_time_fraction()
+    missing = "format_string('%.2f', missing_time_s)"
+    limit = policy.max_missing_time_fraction
     return _result(
-        (~_present(v.TIMESTAMP), "fail", F.lit("timestamp column missing")),
-        (nulls > 0, "fail",
-         F.concat(nulls.cast("string"), F.lit(" timestamps are missing or non-numeric"))),
-        (F.col("rows") < 2, "fail", F.lit("fewer than two samples")),
-        (F.col("non_increasing") > 0, "fail",
-         F.concat(F.col("non_increasing").cast("string"),
-                  F.lit(" non-increasing timestamps (duplicates or reordering)"))),
-        (missing_time_fraction() > policy.max_missing_time_fraction, "fail",
-         F.concat(gaps, F.lit(" gap(s) covering "), missing, F.lit(" s ("),
-                  F.format_string("%.0f", missing_time_fraction() * 100),
-                  F.lit(f"% of log) exceed {limit}"))),
-        (F.col("gaps") > 0, "warn",
-         F.concat(gaps, F.lit(" timestamp gap(s) totalling "), missing, F.lit(" s"))),
-        (None, "pass",
-         F.concat(F.lit("continuous at "), F.format_string("%.1f", 1.0 / F.col("nominal_dt_s")),
-                  F.lit(" Hz"))),
+        "concat('continuous at ', format_string('%.1f', 1D / nominal_dt_s), ' Hz')",
+        (f"NOT {_present(v.TIMESTAMP)}", "fail", "'timestamp column missing'"),
+        (f"{nulls} > 0", "fail", f"concat({nulls}, ' timestamps are missing or non-numeric')"),
+        ("rows < 2", "fail", "'fewer than two samples'"),
+        ("non_increasing > 0", "fail",
+         "concat(non_increasing, ' non-increasing timestamps (duplicates or reordering)')"),
+        (f"{share} > {num(limit)}", "fail",
+         f"concat(gaps, ' gap(s) covering ', {missing}, ' s (', format_string('%.0f', {share} * 100), "
+         f"'% of log) exceed {limit:.0%}')"),
+        ("gaps > 0", "warn", f"concat(gaps, ' timestamp gap(s) totalling ', {missing}, ' s')"),
     )
 
 
-def null_fraction(signal: str) -> Column:
+def null_fraction(signal: str) -> str:
     """Share of missing samples; 0 for an absent column (the signal gate reports that)."""
-    share = F.coalesce(F.try_divide(F.col(f"null_{signal}"), F.col("rows")), F.lit(0.0))
-    return F.when(_present(signal), share).otherwise(F.lit(0.0))
-
+    return f"IF({_present(signal)}, coalesce(try_divide(null_{signal}, rows), 0D), 0D)"
 
-def worst_critical_fraction(policy: QualityPolicy) -> Column:
-    return F.greatest(*[null_fraction(s) for s in policy.critical_signals if s != v.TIMESTAMP])
 
-
-def gate_missing_values(policy: QualityPolicy) -> Column:
-    def hit(signals: tuple[str, ...]) -> Column:
-        return _names(*[(null_fraction(s) > 0, s) for s in signals if s != v.TIMESTAMP])
+def gate_missing_values(policy: QualityPolicy) -> GateOutcome:
+    def hit(signals: tuple[str, ...]) -> str:
+        return compact(*[(f"{null_fraction(s)} > 0", text(s)) for s in signals if s != v.TIMESTAMP])
     critical = hit(policy.critical_signals)
     every = hit((*policy.critical_signals, *policy.optional_signals))
-    worst = worst_critical_fraction(policy)
+    shares = [null_fraction(s) for s in policy.critical_signals if s != v.TIMESTAMP]
+    worst = f"array_max(array({', '.join(shares)}))"
+    limit = policy.max_nan_fraction
     return _result(
-        (worst > policy.max_nan_fraction, "fail",
-         F.concat(F.lit("critical signal(s) "), F.array_join(critical, ", "), F.lit(" missing "),
-                  F.format_string("%.1f", worst * 100),
-                  F.lit(f"% of samples (> {policy.max_nan_fraction:.0%})"))),
-        (F.size(every) > 0, "warn",
-         F.concat(F.lit("missing values in: "), F.array_join(every, ", "))),
-        (None, "pass", F.lit("no missing values")),
+        "'no missing values'",
+        (f"{worst} > {num(limit)}", "fail",
+         f"concat('critical signal(s) ', array_join({critical}, ', '), ' missing ', "
+         f"format_string('%.1f', {worst} * 100), '% of samples (> {limit:.0%})')"),
+        (f"size({every}) > 0", "warn", f"concat('missing values in: ', array_join({every}, ', '))"),
     )
 
 
-RANGE_SIGNALS = (v.SPEED, v.GAP, v.CONF, v.BRAKE)
-
-
-def gate_value_ranges(policy: QualityPolicy) -> Column:
-    found = _names(*[
-        (F.col(f"bad_{s}") > 0, F.concat(F.lit(f"{s} ("), F.col(f"bad_{s}").cast("string"), F.lit(")")))
-        for s in RANGE_SIGNALS
-    ])
+def gate_value_ranges(policy: QualityPolicy) -> GateOutcome:
+    found = compact(*[(f"bad_{s} > 0", f"concat('{s} (', bad_{s}, ')')") for s in RANGE_SIGNALS])
     return _result(
-        (F.size(found) > 0, "fail",
-         F.concat(F.lit("out-of-range values: "), F.array_join(found, ", "))),
-        (None, "pass", F.lit("all values in range")),
+        "'all values in range'",
+        (f"size({found}) > 0", "fail", f"concat('out-of-range values: ', array_join({found}, ', '))"),
     )
 
 
-def gate_unit_plausibility(policy: QualityPolicy) -> Column:
-    def over(*limits: tuple[str, float]) -> Column:
-        return _names(*[
-            (_present(s) & (F.col(f"peak_{s}") > limit),
-             F.concat(F.lit(f"{s} peaks at "), F.format_string("%.1f", F.col(f"peak_{s}")),
-                      F.lit(f" (ceiling {limit})")))
+def gate_unit_plausibility(policy: QualityPolicy) -> GateOutcome:
+    def over(*limits: tuple[str, float]) -> str:
+        return compact(*[
+            (f"{_present(s)} AND peak_{s} > {num(limit)}",
+             f"concat('{s} peaks at ', format_string('%.1f', peak_{s}), ' (ceiling {limit})')")
             for s, limit in limits
         ])
     hard = over((v.SPEED, policy.max_plausible_speed_mps), (v.REL_V, policy.max_plausible_speed_mps))
     soft = over((v.GAP, policy.max_plausible_distance_m), (v.ACCEL, policy.max_plausible_accel_mps2))
     return _result(
-        (F.size(hard) > 0, "fail",
-         F.concat(F.lit("implausible magnitudes, check units: "), F.array_join(hard, "; "))),
-        (F.size(soft) > 0, "warn", F.array_join(soft, "; ")),
-        (None, "pass", F.lit("magnitudes plausible for SI")),
+        "'magnitudes plausible for SI'",
+        (f"size({hard}) > 0", "fail",
+         f"concat('implausible magnitudes, check units: ', array_join({hard}, '; '))"),
+        (f"size({soft}) > 0", "warn", f"array_join({soft}, '; ')"),
     )
 
 
-def gate_scenario_completeness(policy: QualityPolicy) -> Column:
-    notes = _names(
-        (_present(v.BRAKE) & (F.col("brake_samples") == 0),
-         "no brake command in log; braking-latency metrics unavailable"),
-        (_present(v.REL_V) & (F.col("closing_samples") == 0),
-         "ego never closes on the lead; no TTC-relevant episode"),
+def gate_scenario_completeness(policy: QualityPolicy) -> GateOutcome:
+    notes = compact(
+        (f"{_present(v.BRAKE)} AND brake_samples = 0",
+         "'no brake command in log; braking-latency metrics unavailable'"),
+        (f"{_present(v.REL_V)} AND closing_samples = 0",
+         "'ego never closes on the lead; no TTC-relevant episode'"),
     )
     return _result(
-        (F.size(notes) > 0, "warn", F.array_join(notes, "; ")),
-        (None, "pass", F.lit("brake event and closing phase present")),
+        "'brake event and closing phase present'",
+        (f"size({notes}) > 0", "warn", f"array_join({notes}, '; ')"),
     )
 
 
@@ -348,14 +330,20 @@ def gate_results(
     ``gates`` may be any mapping of name to gate function: a subset, or functions of the caller.
     """
     chosen = GATES if gates is None else gates
-    rows = F.array(*[
-        F.struct(
-            F.lit(i).alias("gate_index"), F.lit(name).alias("gate"),
-            fn(policy)["status"].alias("status"), fn(policy)["message"].alias("message"),
-        )
-        for i, (name, fn) in enumerate(chosen.items())
-    ])
-    return profile.select("file_id", F.inline(rows))
+    outcomes = [(n, fn(policy)) for n, fn in chosen.items()]
+    rows = ", ".join(
+        f"named_struct('gate_index', {i}, 'gate', {text(n)}, 'status', {o.status}, 'message', {o.message})"
+        for i, (n, o) in enumerate(outcomes))
+    return profile.selectExpr("file_id", f"inline(array({rows}))")
+
+
+def verdict(
+    policy: QualityPolicy = QualityPolicy(), gates: dict[str, GateFn] | None = None
+) -> str:
+    """blocked / degraded / pass as an expression on the profile."""
+    statuses = ", ".join(fn(policy).status for fn in (GATES if gates is None else gates).values())
+    return (f"CASE WHEN array_contains(array({statuses}), 'fail') THEN 'blocked' "
+            f"WHEN array_contains(array({statuses}), 'warn') THEN 'degraded' ELSE 'pass' END")
 
 
 def quality_verdict(
@@ -368,29 +356,32 @@ def quality_verdict(
     The gates of a log are expressions on its profile row, so the verdict needs no regrouping.
     """
     chosen = GATES if gates is None else gates
-    base = profile.select("file_id", *[fn(policy).alias(f"g_{n}") for n, fn in chosen.items()])
-    worst = F.greatest(F.lit(0), *[
-        F.when(F.col(f"g_{n}.status") == "fail", 2).when(F.col(f"g_{n}.status") == "warn", 1).otherwise(0)
-        for n in chosen
-    ])
-    def having(status: str, with_message: bool, sep: str) -> Column:
-        return F.array_join(_names(*[
-            (F.col(f"g_{n}.status") == status,
-             F.concat(F.lit(f"{n}: "), F.col(f"g_{n}.message")) if with_message else n)
-            for n in chosen
-        ]), sep)
-    summary = F.concat_ws("; ", *[F.concat(F.lit(f"{n}="), F.col(f"g_{n}.status")) for n in chosen])
-    return base.select(
-        "file_id",
-        stable_id("quality", F.col("file_id"), policy.to_json()).alias("quality_id"),
-        F.element_at(F.array(F.lit("pass"), F.lit("degraded"), F.lit("blocked")), worst + 1).alias("verdict"),
-        summary.alias("gate_summary"),
-        having("fail", True, "; ").alias("failures"),
-        having("warn", True, "; ").alias("warnings"),
-        having("warn", False, ", ").alias("warned_gates"),
+    names = list(chosen)
+    outcomes = {n: fn(policy) for n, fn in chosen.items()}
+    # statuses and messages are evaluated once, then read by name
+    judged = profile.selectExpr(
+        "file_id", f"{verdict(policy, chosen)} AS verdict",
+        "array(" + ", ".join(
+            f"named_struct('gate', {text(n)}, 'status', {outcomes[n].status}, 'message', {outcomes[n].message})"
+            for n in names) + ") AS gates")
+
+    def having(status: str, shown: str, sep: str) -> str:
+        return (f"array_join(transform(filter(gates, g -> g.status = '{status}'), g -> {shown}), '{sep}')")
+
+    worded = "concat(g.gate, ': ', g.message)"
+    return judged.select(
+        "file_id", quality_id(policy).alias("quality_id"), "verdict",
+        F.expr("array_join(transform(gates, g -> concat(g.gate, '=', g.status)), '; ') AS gate_summary"),
+        F.expr(f"{having('fail', worded, '; ')} AS failures"),
+        F.expr(f"{having('warn', worded, '; ')} AS warnings"),
+        F.expr(f"{having('warn', 'g.gate', ', ')} AS warned_gates"),
     )
 
 
+def quality_id(policy: QualityPolicy = QualityPolicy()) -> Column:
+    return stable_id("quality", F.col("file_id"), policy.to_json())
+
+
 def analyzable(quality: DataFrame) -> DataFrame:
     return quality.filter(F.col("verdict") != "blocked")
 
@@ -412,12 +403,9 @@ def blocked(quality: DataFrame) -> DataFrame:
 def missing_value_counts(profile: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
     """Count and share of missing samples per log and signal that has any."""
     signals = [s for s in (*policy.critical_signals, *policy.optional_signals) if s != v.TIMESTAMP]
-    rows = F.array(*[
-        F.struct(F.lit(s).alias("signal"), F.col(f"null_{s}").alias("count"),
-                 null_fraction(s).alias("fraction"))
-        for s in signals
-    ])
-    return profile.select("file_id", F.inline(rows)).filter("fraction > 0")
+    rows = ", ".join(
+        f"named_struct('signal', '{s}', 'count', null_{s}, 'fraction', {null_fraction(s)})" for s in signals)
+    return profile.selectExpr("file_id", f"inline(array({rows}))").filter("fraction > 0")
 
 
 def null_runs(telemetry: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -427,14 +415,13 @@ def null_runs(telemetry: DataFrame, provenance: DataFrame) -> DataFrame:
     most) are stitched over the whole log.
     """
     signals = [s for s in v.SIGNALS if s != v.TIMESTAMP]
-    missing = F.filter(
-        F.array(*[F.when(F.col(s).isNull(), F.lit(s)) for s in signals]), lambda s: s.isNotNull())
+    missing = compact(*[(f"{s} IS NULL", text(s)) for s in signals])
     holes = (
-        telemetry.filter(F.greatest(*[F.col(s).isNull().cast("int") for s in signals]) == 1)
+        telemetry.filter(" OR ".join(f"{s} IS NULL" for s in signals))
         .join(provenance.select("file_id", "present"), "file_id")
         .select(
             "file_id", "row", F.col(v.TIMESTAMP).alias("t"),
-            F.explode(F.array_intersect(missing, F.col("present"))).alias("signal"),
+            F.expr(f"explode(array_intersect({missing}, present)) AS signal"),
         )
         .withColumn("seg", sg.segment_of(F.col("row")))
     )

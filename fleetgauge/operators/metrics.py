@@ -8,17 +8,21 @@ that row, so it costs no further shuffle.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
 from fleetgauge.functions import kinematics as kin
 from fleetgauge.functions.ids import evidence_scope, stable_id
+from fleetgauge.functions.sqltext import compact, num, text
 from fleetgauge.operators import events as ev
+from fleetgauge.operators import gates
 from fleetgauge.operators import segments as sg
-from fleetgauge.operators.gates import analyzable, quality_profile, quality_verdict
 from fleetgauge.policies import AebThresholds, QualityPolicy
 
+SCOPE_COLUMNS = ("window_id", "brake_t", "brake_row", "crossing_t", "collision_t")
 METRIC_SCHEMA = (
     "array<struct<metric_index:int,name:string,value:double,value_bool:boolean,unit:string,"
     "t_s:double,threshold:double,threshold_bool:boolean,comparator:string,passed:boolean,"
@@ -33,63 +37,61 @@ def derived_signals(slices: DataFrame, thresholds: AebThresholds = AebThresholds
     which pair counts is decided per log, after aggregation.
     """
     k = thresholds.jerk_smoothing_samples
-    frame = sg.segment_frame()
-    t = F.col(v.TIMESTAMP)
-    keep = ["file_id", "row", v.TIMESTAMP, v.SPEED, v.ACCEL, v.GAP, v.REL_V, v.CONF,
-            *ev.SCOPE_TIMES]
+    t = v.TIMESTAMP
+    keep = ["file_id", "row", t, v.SPEED, v.ACCEL, v.GAP, v.REL_V, v.CONF, *SCOPE_COLUMNS]
     halo = 2 * (k // 2) + 2
     return (
         sg.with_halo(slices.select(*keep), halo)
-        .withColumn("ttc_s", kin.ttc(F.col(v.GAP), F.col(v.REL_V), thresholds.closing_speed_floor_mps))
-        .withColumn("dt", t - F.lag(t).over(frame))
-        .withColumn("accel_smooth", kin.smooth_centered(F.col(v.ACCEL), frame, k))
-        .withColumn("jerk", kin.gradient(F.col("accel_smooth"), t, frame))
-        .withColumn("speed_smooth", kin.smooth_centered(F.col(v.SPEED), frame, k))
-        .withColumn("accel_fallback", kin.gradient(F.col("speed_smooth"), t, frame))
-        .withColumn("fallback_smooth", kin.smooth_centered(F.col("accel_fallback"), frame, k))
-        .withColumn("jerk_fallback", kin.gradient(F.col("fallback_smooth"), t, frame))
-        .filter(~F.col("is_halo"))
+        .selectExpr(
+            "*", f"{kin.ttc(v.GAP, v.REL_V, thresholds.closing_speed_floor_mps)} AS ttc_s",
+            f"{kin.difference(t)} AS dt", f"{kin.smooth_centered(v.ACCEL, k)} AS accel_smooth",
+            f"{kin.smooth_centered(v.SPEED, k)} AS speed_smooth")
+        .selectExpr("*", f"{kin.gradient('accel_smooth', t)} AS jerk",
+                    f"{kin.gradient('speed_smooth', t)} AS accel_fallback")
+        .selectExpr("*", f"{kin.smooth_centered('accel_fallback', k)} AS fallback_smooth")
+        .selectExpr("*", f"{kin.gradient('fallback_smooth', t)} AS jerk_fallback")
+        .filter("NOT is_halo")
         .drop("is_halo", "seg")
     )
 
 
-def _first_extreme(pick: str, x: Column, when: Column | None = None) -> Column:
-    """struct(x, row, t) of the smallest/largest non-null value, first row on ties."""
-    t, row = F.col(v.TIMESTAMP), F.col("row")
-    ok = x.isNotNull() if when is None else x.isNotNull() & when
-    if pick == "min":
-        return F.min(F.when(ok, F.struct(x.alias("x"), row.alias("r"), t.alias("t"))))
-    return F.max(F.when(ok, F.struct(x.alias("x"), (-row).alias("r"), t.alias("t"))))
+def window_measures(samples: DataFrame, thresholds: AebThresholds = AebThresholds()) -> DataFrame:
+    """One row per log with every measured quantity of its analysed samples.
 
+    The scope columns are constant per log and pass through the aggregation, so the scope table
+    is read once, by the slicing join. Extremes carry the time of their first row.
+    """
+    t, slack = v.TIMESTAMP, num(ev.EDGE_SLACK_S)
+    moving = f"{v.SPEED} > {num(thresholds.closing_speed_floor_mps)}"
+    limit = num(thresholds.detection_confidence_threshold)
+    risky = (f"crossing_t IS NOT NULL AND {t} >= crossing_t - {slack} "
+             f"AND (brake_t IS NULL OR {t} <= brake_t + {slack})")
+    below = f"{risky} AND {v.CONF} < {limit}"
 
-def window_measures(
-    samples: DataFrame, scope: DataFrame, thresholds: AebThresholds = AebThresholds()
-) -> DataFrame:
-    """One row per log with every measured quantity of its analysed samples."""
-    t, row, conf = F.col(v.TIMESTAMP), F.col("row"), F.col(v.CONF)
-    moving = F.col(v.SPEED) > thresholds.closing_speed_floor_mps
-    floor = thresholds.detection_confidence_threshold
-    risky = F.col("crossing_t").isNotNull() & (t >= F.col("crossing_t") - ev.EDGE_SLACK_S) & (
-        F.col("brake_t").isNull() | (t <= F.col("brake_t") + ev.EDGE_SLACK_S))
-    below = risky & (conf < floor)
-    measured = samples.groupBy("file_id").agg(
-        _first_extreme("min", F.col("ttc_s")).alias("min_ttc"),
-        _first_extreme("min", F.col(v.GAP)).alias("min_gap"),
-        _first_extreme("min", F.col(v.ACCEL)).alias("min_accel"),
-        _first_extreme("min", F.col("accel_fallback")).alias("min_fallback"),
-        _first_extreme("max", F.abs("jerk"), moving).alias("max_jerk"),
-        _first_extreme("max", F.abs("jerk_fallback"), moving).alias("max_jerk_fallback"),
-        _first_extreme("min", conf, risky).alias("min_conf"),
-        F.max(F.when(row == F.col("brake_row"), F.col(v.SPEED))).alias("speed_at_brake"),
-        F.count_if(moving).alias("moving_rows"),
-        F.min_by(t, F.when(conf >= floor, row)).alias("first_detection_t"),
-        F.count_if(risky).alias("risk_rows"),
-        F.count_if(F.coalesce(below, F.lit(False))).alias("below_rows"),
-        F.min_by(t, F.when(below, row)).alias("first_below_t"),
-        # slices with a crossing are a few seconds long, so this buffer stays small
-        F.percentile(F.when(F.col("crossing_t").isNotNull(), F.col("dt")), F.lit(0.5)).alias("window_dt"),
-    )
-    return scope.join(measured, "file_id", "left")
+    def lowest(x: str, when: str = "true") -> str:
+        return f"min(CASE WHEN {x} IS NOT NULL AND {when} THEN named_struct('x', {x}, 'r', row, 't', {t}) END)"
+
+    def highest(x: str, when: str) -> str:
+        return f"max(CASE WHEN {x} IS NOT NULL AND {when} THEN named_struct('x', {x}, 'r', -row, 't', {t}) END)"
+
+    measures = {
+        **{c: f"max({c})" for c in SCOPE_COLUMNS},
+        "min_ttc": lowest("ttc_s"),
+        "min_gap": lowest(v.GAP),
+        "min_accel": lowest(v.ACCEL),
+        "min_fallback": lowest("accel_fallback"),
+        "max_jerk": highest("abs(jerk)", moving),
+        "max_jerk_fallback": highest("abs(jerk_fallback)", moving),
+        "min_conf": lowest(v.CONF, f"({risky})"),
+        "speed_at_brake": f"max(CASE WHEN row = brake_row THEN {v.SPEED} END)",
+        "first_detection_t": f"min_by({t}, CASE WHEN {v.CONF} >= {limit} THEN row END)",
+        "risk_rows": f"count_if({risky})",
+        "below_rows": f"count_if({below})",
+        "first_below_t": f"min_by({t}, CASE WHEN {below} THEN row END)",
+        # only slices with a crossing feed this, and those are a few seconds long
+        "window_dt": "percentile(CASE WHEN crossing_t IS NOT NULL THEN dt END, 0.5)",
+    }
+    return samples.groupBy("file_id").agg(*[F.expr(f"{sql} AS {name}") for name, sql in measures.items()])
 
 
 def metric_rows(
@@ -97,115 +99,92 @@ def metric_rows(
 ) -> DataFrame:
     """Long metric table. Unavailable metrics stay, with a reason and without a value."""
     th = thresholds
-    c = F.col
-    k = th.jerk_smoothing_samples
-    no_number, no_flag = F.lit(None).cast("double"), F.lit(None).cast("boolean")
-    none = F.lit(None).cast("string")
-    has = lambda s: F.array_contains("present", s)
-
-    def absent(*signals: str) -> Column:
-        names = F.array_compact(F.array(*[F.when(~has(s), F.lit(s)) for s in signals]))
-        return F.when(F.size(names) > 0, F.concat(F.lit("signal(s) missing: "), F.array_join(names, ", ")))
-
-    items: list[Column] = []
-
-    def metric(name, unit, value, method, *, t_s=None, limit=None, op=None, reason=None, emit=None,
-               flag=None):
-        method = method if isinstance(method, Column) else F.lit(method)
-        found = value.isNotNull() if flag is None else flag.isNotNull()
-        if flag is None:
-            passed = kin.threshold_verdict(value, op, limit)
-        else:
-            passed = kin.threshold_verdict(flag, op, limit)
-        bool_limit = isinstance(limit, bool)
-        row = F.struct(
-            F.lit(len(items)).alias("metric_index"), F.lit(name).alias("name"),
-            (value if flag is None else no_number).cast("double").alias("value"),
-            (no_flag if flag is None else flag).alias("value_bool"),
-            F.lit(unit).alias("unit"),
-            F.when(found, t_s if t_s is not None else no_number).alias("t_s"),
-            (F.when(found, F.lit(float(limit))) if limit is not None and not bool_limit
-             else no_number).alias("threshold"),
-            (F.when(found, F.lit(limit)) if bool_limit else no_flag).alias("threshold_bool"),
-            (F.when(found, F.lit(op)) if op else none).alias("comparator"),
-            passed.alias("passed"), method.alias("method"),
-            F.when(~found, reason if reason is not None else none).alias("missing_reason"),
-        )
-        items.append(row if emit is None else F.when(emit, row))
-
-    floor = th.closing_speed_floor_mps
-    ttc_method = ("relative_distance / (-relative_velocity) per sample, undefined when closing speed "
-                  f"<= {floor} m/s")
+    k, floor = th.jerk_smoothing_samples, th.closing_speed_floor_mps
+    has = lambda s: f"array_contains(present, '{s}')"
+    rows: list[str] = []
+
+    def absent(*signals: str) -> str:
+        names = compact(*[(f"NOT {has(s)}", text(s)) for s in signals])
+        return f"CASE WHEN size({names}) > 0 THEN concat('signal(s) missing: ', array_join({names}, ', ')) END"
+
+    def metric(name, unit, value, method, t_s="CAST(NULL AS DOUBLE)", op=None, limit=None, reason="NULL",
+               emit=None, flag=None):
+        found = f"({flag or value}) IS NOT NULL"
+        numeric_limit = num(limit) if op and flag is None else None
+        sql_limit = str(limit).lower() if flag else numeric_limit
+        row = "named_struct(" + ", ".join([
+            f"'metric_index', {len(rows)}", f"'name', {text(name)}",
+            f"'value', {value if flag is None else 'CAST(NULL AS DOUBLE)'}",
+            f"'value_bool', {flag or 'CAST(NULL AS BOOLEAN)'}", f"'unit', {text(unit)}",
+            f"'t_s', CASE WHEN {found} THEN {t_s} END",
+            f"'threshold', CASE WHEN {found} THEN {numeric_limit or 'CAST(NULL AS DOUBLE)'} END",
+            f"'threshold_bool', CASE WHEN {found} THEN {sql_limit if flag else 'CAST(NULL AS BOOLEAN)'} END",
+            f"'comparator', CASE WHEN {found} THEN {text(op) if op else 'CAST(NULL AS STRING)'} END",
+            f"'passed', {kin.threshold_verdict(flag or f'({value})', op, sql_limit)}",
+            f"'method', {method}", f"'missing_reason', CASE WHEN NOT ({found}) THEN {reason} END",
+        ]) + ")"
+        rows.append(f"CASE WHEN {emit} THEN {row} END" if emit else row)
+
+    ttc_method = text("relative_distance / (-relative_velocity) per sample, undefined when closing speed "
+                      f"<= {floor} m/s")
     ttc_absent = absent(v.GAP, v.REL_V)
-    ttc_ok = ttc_absent.isNull()
-    crossing_method = F.when(ttc_ok, F.lit(f"first sample with TTC <= {th.trigger_ttc_s} s")).otherwise(
-        F.lit(ttc_method))
-    metric(v.M_MIN_TTC, "s", c("min_ttc.x"), ttc_method, t_s=c("min_ttc.t"),
-           limit=th.min_acceptable_ttc_s, op=">=",
-           reason=F.coalesce(ttc_absent, F.lit("ego never closes on the lead")))
-    metric(v.M_CROSSING, "s", c("crossing_t"), crossing_method, t_s=c("crossing_t"),
-           reason=F.coalesce(ttc_absent, F.lit(f"TTC never fell to {th.trigger_ttc_s} s")))
-    metric(v.M_BRAKE, "s", c("brake_t"),
-           F.when(c("brake_t").isNull(), "brake_command rising edge").otherwise(
-               "first sample with brake_command == 1"),
-           t_s=c("brake_t"),
-           reason=F.coalesce(absent(v.BRAKE), F.lit("brake_command never asserted")))
-    metric(v.M_LATENCY, "s", F.round(c("brake_t") - c("crossing_t"), 6),
-           "brake_command_time_s - ttc_threshold_crossing_s", t_s=c("brake_t"),
-           limit=th.max_braking_latency_s, op="<=",
-           reason=F.when(c("brake_t").isNull(), "no brake command").otherwise("no TTC threshold crossing"))
-    metric(v.M_SPEED_AT_BRAKE, "m/s", c("speed_at_brake"), "ego_speed at brake command sample",
-           t_s=c("brake_t"), emit=c("speed_at_brake").isNotNull())
-    metric(v.M_MIN_GAP, "m", c("min_gap.x"), "min relative_distance", t_s=c("min_gap.t"),
-           reason=F.coalesce(absent(v.GAP), F.lit("no distance samples")))
-    collided = F.when(has(v.GAP), c("collision_t").isNotNull())
-    metric(v.M_COLLISION, "bool", no_number,
-           F.when(has(v.GAP), f"any sample with relative_distance <= {th.collision_gap_m} m").otherwise(
-               "relative_distance <= gap"),
-           t_s=c("collision_t"), limit=False, op="==", flag=collided, reason=absent(v.GAP))
-    metric(v.M_COLLISION_TIME, "s", c("collision_t"), "first collision sample", t_s=c("collision_t"),
-           emit=has(v.GAP) & c("collision_t").isNotNull())
-
-    logged = c("min_accel").isNotNull()
-    decel = F.when(logged, c("min_accel")).otherwise(c("min_fallback"))
-    jerk = F.when(logged, c("max_jerk")).otherwise(c("max_jerk_fallback"))
-    source = F.when(logged, F.lit("logged ego_acceleration")).when(
-        c("min_fallback").isNotNull(),
-        F.lit(f"d(ego_speed)/dt with {k}-sample centred moving average "
-              "(acceleration signal not logged)"))
-    none_at_all = F.lit("no acceleration or speed")
-    metric(v.M_MAX_DECEL, "m/s^2", -decel["x"],
-           F.coalesce(F.concat(F.lit("max(-a) from "), source), F.lit("n/a")), t_s=decel["t"],
-           limit=th.max_deceleration_mps2, op="<=", reason=none_at_all)
-    metric(v.M_MAX_JERK, "m/s^3", jerk["x"],
-           F.coalesce(F.concat(F.lit(f"max |d(a)/dt| with {k}-sample centred moving average on "), source,
-                               F.lit(f", while ego_speed > {floor} m/s")), F.lit("n/a")),
-           t_s=jerk["t"], limit=th.max_comfort_jerk_mps3, op="<=",
-           reason=F.when(decel.isNull(), none_at_all).otherwise("ego never moving"))
-
-    conf_limit = th.detection_confidence_threshold
-    detect = f"first sample with object_confidence >= {conf_limit}"
+    crossed = text(f"first sample with TTC <= {th.trigger_ttc_s} s")
+    metric(v.M_MIN_TTC, "s", "min_ttc.x", ttc_method, "min_ttc.t", ">=", th.min_acceptable_ttc_s,
+           f"coalesce({ttc_absent}, 'ego never closes on the lead')")
+    metric(v.M_CROSSING, "s", "crossing_t",
+           f"CASE WHEN {has(v.GAP)} AND {has(v.REL_V)} THEN {crossed} ELSE {ttc_method} END", "crossing_t",
+           reason=f"coalesce({ttc_absent}, 'TTC never fell to {th.trigger_ttc_s} s')")
+    metric(v.M_BRAKE, "s", "brake_t",
+           "CASE WHEN brake_t IS NULL THEN 'brake_command rising edge' "
+           "ELSE 'first sample with brake_command == 1' END", "brake_t",
+           reason=f"coalesce({absent(v.BRAKE)}, 'brake_command never asserted')")
+    metric(v.M_LATENCY, "s", "round(brake_t - crossing_t, 6)",
+           "'brake_command_time_s - ttc_threshold_crossing_s'", "brake_t", "<=", th.max_braking_latency_s,
+           "CASE WHEN brake_t IS NULL THEN 'no brake command' ELSE 'no TTC threshold crossing' END")
+    metric(v.M_SPEED_AT_BRAKE, "m/s", "speed_at_brake", "'ego_speed at brake command sample'", "brake_t",
+           emit="speed_at_brake IS NOT NULL")
+    metric(v.M_MIN_GAP, "m", "min_gap.x", "'min relative_distance'", "min_gap.t",
+           reason=f"coalesce({absent(v.GAP)}, 'no distance samples')")
+    within = text(f"any sample with relative_distance <= {th.collision_gap_m} m")
+    metric(v.M_COLLISION, "bool", "NULL",
+           f"CASE WHEN {has(v.GAP)} THEN {within} ELSE 'relative_distance <= gap' END", "collision_t", "==",
+           False, absent(v.GAP), flag=f"(CASE WHEN {has(v.GAP)} THEN collision_t IS NOT NULL END)")
+    metric(v.M_COLLISION_TIME, "s", "collision_t", "'first collision sample'", "collision_t",
+           emit=f"{has(v.GAP)} AND collision_t IS NOT NULL")
+
+    decel = "(CASE WHEN min_accel IS NOT NULL THEN min_accel ELSE min_fallback END)"
+    jerk = "(CASE WHEN min_accel IS NOT NULL THEN max_jerk ELSE max_jerk_fallback END)"
+    smoothed = text(f"d(ego_speed)/dt with {k}-sample centred moving average (acceleration signal not logged)")
+    source = (f"CASE WHEN min_accel IS NOT NULL THEN 'logged ego_acceleration' "
+              f"WHEN min_fallback IS NOT NULL THEN {smoothed} END")
+    metric(v.M_MAX_DECEL, "m/s^2", f"-{decel}.x", f"coalesce(concat('max(-a) from ', {source}), 'n/a')",
+           f"{decel}.t", "<=", th.max_deceleration_mps2, "'no acceleration or speed'")
+    on = text(f"max |d(a)/dt| with {k}-sample centred moving average on ")
+    metric(v.M_MAX_JERK, "m/s^3", f"{jerk}.x",
+           f"coalesce(concat({on}, {source}, ', while ego_speed > {floor} m/s'), 'n/a')", f"{jerk}.t", "<=",
+           th.max_comfort_jerk_mps3,
+           f"CASE WHEN {decel} IS NULL THEN 'no acceleration or speed' ELSE 'ego never moving' END")
+
+    limit = th.detection_confidence_threshold
     conf_absent = absent(v.CONF)
-    metric(v.M_FIRST_DETECTION, "s", c("first_detection_t"),
-           F.when(has(v.CONF), detect).otherwise("confidence >= threshold"),
-           t_s=c("first_detection_t"),
-           reason=F.coalesce(conf_absent, F.lit(f"object_confidence never reached {conf_limit}")))
-    at_risk = has(v.CONF) & c("crossing_t").isNotNull() & (F.coalesce(c("risk_rows"), F.lit(0)) > 0)
-    dropout = F.when(at_risk, F.round(c("below_rows") * F.coalesce(c("window_dt"), F.lit(0.0)), 6))
-    metric(v.M_DROPOUT, "s", dropout,
-           F.when(at_risk, f"samples with object_confidence < {conf_limit} between TTC crossing "
-                           "and brake command, times nominal dt").otherwise("confidence < threshold"),
-           t_s=c("first_below_t"), limit=0.0, op="<=",
-           reason=F.coalesce(conf_absent, F.lit("no TTC threshold crossing")),
-           emit=at_risk | ~has(v.CONF) | c("crossing_t").isNull())
-    metric(v.M_MIN_CONF, "ratio", c("min_conf.x"),
-           "min object_confidence between TTC crossing and brake command", t_s=c("min_conf.t"),
-           limit=conf_limit, op=">=", reason=F.lit("no confidence samples in the risk phase"),
-           emit=at_risk)
+    metric(v.M_FIRST_DETECTION, "s", "first_detection_t",
+           f"CASE WHEN {has(v.CONF)} THEN 'first sample with object_confidence >= {limit}' "
+           "ELSE 'confidence >= threshold' END", "first_detection_t",
+           reason=f"coalesce({conf_absent}, 'object_confidence never reached {limit}')")
+    at_risk = f"({has(v.CONF)} AND crossing_t IS NOT NULL AND risk_rows > 0)"
+    counted = text(f"samples with object_confidence < {limit} between TTC crossing and brake command, "
+                   "times nominal dt")
+    metric(v.M_DROPOUT, "s", f"CASE WHEN {at_risk} THEN round(below_rows * coalesce(window_dt, 0D), 6) END",
+           f"CASE WHEN {at_risk} THEN {counted} ELSE 'confidence < threshold' END", "first_below_t", "<=", 0.0,
+           f"coalesce({conf_absent}, 'no TTC threshold crossing')",
+           emit=f"{at_risk} OR NOT {has(v.CONF)} OR crossing_t IS NULL")
+    metric(v.M_MIN_CONF, "ratio", "min_conf.x",
+           "'min object_confidence between TTC crossing and brake command'", "min_conf.t", ">=", limit,
+           "'no confidence samples in the risk phase'", emit=at_risk)
     return (
         measures.join(provenance.select("file_id", "present"), "file_id")
-        .select("file_id", "window_id",
-                F.inline(F.array_compact(F.array(*items)).cast(METRIC_SCHEMA)))
+        .selectExpr("file_id", "window_id",
+                    f"inline(CAST(array_compact(array({', '.join(rows)})) AS {METRIC_SCHEMA}))")
         .withColumn("metric_id", stable_id("metric", evidence_scope(F.col("file_id"), th), F.col("name")))
     )
 
@@ -229,29 +208,54 @@ def compute_metrics(
 ) -> DataFrame:
     """Metrics for the logs in ``scope``."""
     used = ["file_id", "row", v.TIMESTAMP, v.SPEED, v.ACCEL, v.GAP, v.REL_V, v.CONF]
-    slices = ev.slice_window(telemetry.select(*used), scope)
-    measures = window_measures(derived_signals(slices, thresholds), scope, thresholds)
+    kept = scope.select("file_id", "lo_t", "hi_t", *SCOPE_COLUMNS)
+    slices = ev.slice_window(telemetry.select(*used), kept)
+    measures = window_measures(derived_signals(slices, thresholds), thresholds)
     return metric_rows(measures, provenance, thresholds)
 
 
-def aeb_metrics(
+def log_profile(
     telemetry: DataFrame, provenance: DataFrame, thresholds: AebThresholds = AebThresholds(),
     policy: QualityPolicy = QualityPolicy(),
-) -> dict[str, DataFrame]:
-    """Gate-enforced analysis. Blocked logs have a quality row and nothing else.
+) -> DataFrame:
+    """Gate counters and event times, one row per log, from one pass plus the interval pass."""
+    return gates.quality_profile(telemetry, provenance, policy, ev.event_aggregates(thresholds))
+
+
+class Analysis:
+    """Gate-enforced analysis of the logs in ``profile`` (see ``log_profile``).
 
-    Returns ``quality``, ``profile`` (events per analysable log), ``events``, ``scope`` and
-    ``metrics``; all lazy.
+    Blocked logs have a quality row and nothing else. Every part is a lazy DataFrame, built when
+    asked for; a caller that uses several of them should hand in a stored profile.
     """
-    quality = quality_verdict(quality_profile(telemetry, provenance, policy), policy)
-    profile = ev.event_profile(telemetry, thresholds).join(
-        analyzable(quality).select("file_id", "quality_id"), "file_id")
-    scope = ev.analysis_scope(profile, thresholds)
-    return {
-        "quality": quality,
-        "profile": profile,
-        "events": ev.events_from_profile(profile, thresholds).select(
-            "file_id", "event_id", "event_type", "t_s", "row", "description"),
-        "scope": scope,
-        "metrics": compute_metrics(telemetry, provenance, scope, thresholds),
-    }
+
+    def __init__(self, telemetry: DataFrame, provenance: DataFrame, profile: DataFrame,
+                 thresholds: AebThresholds = AebThresholds(), policy: QualityPolicy = QualityPolicy()):
+        self.telemetry, self.provenance, self.thresholds = telemetry, provenance, thresholds
+        self.everything, self.policy = profile, policy
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return gates.quality_verdict(self.everything, self.policy)
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        """Analysable logs only."""
+        return self.everything.filter(f"{gates.verdict(self.policy)} <> 'blocked'")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return ev.events_from_profile(self.profile, self.thresholds).select(
+            "file_id", "event_id", "event_type", "t_s", "row", "description")
+
+    @cached_property
+    def scope(self) -> DataFrame:
+        return ev.analysis_scope(self.profile, self.thresholds)
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        return ev.build_windows(self.telemetry, self.profile, self.thresholds)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return compute_metrics(self.telemetry, self.provenance, self.scope, self.thresholds)

@@ -94,10 +94,21 @@ def exact_median(counts: DataFrame, key: str, value: str, n: str, out: str) -> D
     return ranks.groupBy(key).agg(((at("_lo") + at("_hi")) / 2).alias(out))
 
 
-def bins_of(lo: Column, hi: Column) -> Column:
-    """Time bins touched by ``[lo, hi]``, for binned range joins on ``(file_id, tbin)``."""
-    return F.sequence(F.floor(lo / TIME_BIN_S), F.floor(hi / TIME_BIN_S))
-
-
 def time_bin(t: Column) -> Column:
     return F.floor(t / TIME_BIN_S)
+
+
+def explode_bins(df: DataFrame, lo: Column, hi: Column, block: int = 1 << 16) -> DataFrame:
+    """One row per time bin ``tbin`` that ``[lo, hi]`` touches, for joins on ``(file_id, tbin)``.
+
+    Exploded in two steps, blocks then bins, so a years-long range never sits in one array.
+    """
+    first, last = time_bin(F.col("_lo")), time_bin(F.col("_hi"))
+    start = F.col("_block") * block
+    return (
+        df.withColumns({"_lo": lo, "_hi": hi})
+        .withColumn("_block", F.explode(F.sequence(F.floor(first / block), F.floor(last / block))))
+        .withColumn("tbin", F.explode(F.sequence(
+            F.greatest(first, start), F.least(last, start + (block - 1)))))
+        .drop("_lo", "_hi", "_block")
+    )

@@ -11,6 +11,7 @@ from fleetgauge.operators import faults, gates, metrics, segments
 from fleetgauge.plans import fixtures as fx
 from fleetgauge.plans.registry import r6, register, rounded
 from fleetgauge.plans.views import SCOPE, stable_id
+from fleetgauge.session import stored
 from fleetgauge.policies import AebThresholds, QualityPolicy
 
 
@@ -19,7 +20,15 @@ def _profile(spark, sf_dir, policy=QualityPolicy()):
 
 
 def _analysis(spark, sf_dir, thresholds=AebThresholds()):
-    return metrics.aeb_metrics(fx.telemetry(spark, sf_dir), fx.provenance(spark, sf_dir), thresholds)
+    tel, files = fx.telemetry(spark, sf_dir), fx.provenance(spark, sf_dir)
+    return metrics.Analysis(tel, files, metrics.log_profile(tel, files, thresholds), thresholds)
+
+
+def stored_analysis(spark, sf_dir, thresholds=AebThresholds()):
+    """The same on a stored profile, for results that combine several parts of the analysis."""
+    tel, files = fx.telemetry(spark, sf_dir), fx.provenance(spark, sf_dir)
+    profile = stored(metrics.log_profile(tel, files, thresholds), "profile")
+    return metrics.Analysis(tel, files, profile, thresholds)
 
 
 # --- expressions -----------------------------------------------------------------------------
@@ -51,18 +60,18 @@ SELECT file_id, row, speed <= 13e0 AS le_passed, gap >= 5e0 AS ge_passed, brake
 def threshold_verdict(spark, sf_dir):
     return fx.telemetry(spark, sf_dir).select(
         "file_id", "row",
-        kin.threshold_verdict(F.col(v.SPEED), "<=", 13.0).alias("le_passed"),
-        kin.threshold_verdict(F.col(v.GAP), ">=", 5.0).alias("ge_passed"),
-        kin.threshold_verdict(F.col(v.BRAKE), "==", 0.0).alias("eq_passed"),
-        kin.threshold_verdict(F.col(v.SPEED), None, None).alias("no_threshold"))
+        F.expr(kin.threshold_verdict(v.SPEED, "<=", "13D")).alias("le_passed"),
+        F.expr(kin.threshold_verdict(v.GAP, ">=", "5D")).alias("ge_passed"),
+        F.expr(kin.threshold_verdict(v.BRAKE, "==", "0D")).alias("eq_passed"),
+        F.expr(kin.threshold_verdict(v.SPEED, None, None)).alias("no_threshold"))
 
 
 @register("format_value", """
 SELECT file_id, metric_index, CASE WHEN value_bool THEN 'yes' WHEN NOT value_bool THEN 'no' WHEN value IS NULL THEN '—'
   ELSE printf('%.3f', value) END AS observed FROM v_metrics""")
 def format_value(spark, sf_dir):
-    return _analysis(spark, sf_dir)["metrics"].select(
-        "file_id", "metric_index", kin.format_value(F.col("value"), F.col("value_bool")).alias("observed"))
+    return _analysis(spark, sf_dir).metrics.select(
+        "file_id", "metric_index", F.expr(kin.format_value("value", "value_bool")).alias("observed"))
 
 
 @register("telemetry_export", """
@@ -102,8 +111,8 @@ def fault_drop_columns(spark, sf_dir):
         fx.telemetry(spark, sf_dir), fx.provenance(spark, sf_dir),
         faults.Faults(drop_columns=(v.ACCEL, v.WEATHER)))
     return files.select(
-        "file_id", F.array_join(gates.missing_signals(v.CRITICAL_SIGNALS), ", ").alias("missing_critical"),
-        F.array_join(gates.missing_signals(v.OPTIONAL_SIGNALS), ", ").alias("missing_optional"))
+        "file_id", F.expr(f"array_join({gates.missing_signals(v.CRITICAL_SIGNALS)}, ', ') AS missing_critical"),
+        F.expr(f"array_join({gates.missing_signals(v.OPTIONAL_SIGNALS)}, ', ') AS missing_optional"))
 
 
 @register("signals_downsample", """
@@ -162,7 +171,7 @@ def gate_timestamps_details(spark, sf_dir):
         "file_id", F.round("nominal_dt_s", 9).alias("nominal_dt_s"),
         r6(1.0 / F.col("nominal_dt_s")).alias("sample_rate_hz"), "gaps", "non_increasing",
         r6("missing_time_s").alias("missing_time_s"),
-        r6(gates.missing_time_fraction()).alias("missing_time_fraction"))
+        r6(F.expr(gates.missing_time_fraction())).alias("missing_time_fraction"))
 
 
 @register("first_failing_rows", """
@@ -214,10 +223,9 @@ SELECT file_id, CASE WHEN brake_samples < 350 THEN 'blocked' WHEN cls = 10 THEN
 FROM v_prof""")
 def custom_gates(spark, sf_dir):
     def enough_braking(policy):
-        short = F.col("brake_samples") < 350
-        return F.struct(
-            F.when(short, "fail").otherwise("pass").alias("status"),
-            F.when(short, "too few braking samples").otherwise("enough braking samples").alias("message"))
+        return gates.GateOutcome(
+            "IF(brake_samples < 350, 'fail', 'pass')",
+            "IF(brake_samples < 350, 'too few braking samples', 'enough braking samples')")
     chosen = {"required_signals": gates.gate_required_signals, "enough_braking": enough_braking}
     return gates.quality_verdict(_profile(spark, sf_dir), gates=chosen).select("file_id", "verdict")
 
@@ -232,20 +240,19 @@ def detect_events(spark, sf_dir):
 
 @register("build_windows", "SELECT * FROM v_windows")
 def build_windows(spark, sf_dir):
-    tel = fx.telemetry(spark, sf_dir)
-    return ev.build_windows(tel, _analysis(spark, sf_dir)["profile"])
+    return _analysis(spark, sf_dir).windows
 
 
 @register("primary_event", "SELECT file_id, anchor_type, anchor_t FROM v_scope")
 def primary_event(spark, sf_dir):
-    return ev.primary_event(_analysis(spark, sf_dir)["profile"]).select("file_id", "anchor_type", "anchor_t")
+    return ev.primary_event(_analysis(spark, sf_dir).profile).select("file_id", "anchor_type", "anchor_t")
 
 
 @register("slice_window", """
 SELECT file_id, count(*) AS samples, min(row) AS first_row, max(row) AS last_row FROM v_slices GROUP BY file_id""")
 def slice_window(spark, sf_dir):
     cut = ev.slice_window(
-        fx.telemetry(spark, sf_dir).select("file_id", "row", v.TIMESTAMP), _analysis(spark, sf_dir)["scope"])
+        fx.telemetry(spark, sf_dir).select("file_id", "row", v.TIMESTAMP), _analysis(spark, sf_dir).scope)
     return cut.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("samples"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
 
@@ -254,9 +261,7 @@ def slice_window(spark, sf_dir):
 SELECT w.file_id, w.window_id, t.row FROM v_windows w JOIN v_tel t ON w.file_id = t.file_id
   AND t.row BETWEEN w.start_row AND w.end_row""")
 def rows_in_window(spark, sf_dir):
-    tel = fx.telemetry(spark, sf_dir)
-    windows = ev.build_windows(tel, _analysis(spark, sf_dir)["profile"])
-    return ev.rows_in_window(tel, windows)
+    return ev.rows_in_window(fx.telemetry(spark, sf_dir), _analysis(spark, sf_dir).windows)
 
 
 @register("events_in_window", """
@@ -264,17 +269,16 @@ SELECT w.file_id, w.window_id, e.event_id, e.event_type, e.t_s FROM v_windows w
 WHERE e.row BETWEEN w.start_row AND w.end_row""")
 def events_in_window(spark, sf_dir):
     a = _analysis(spark, sf_dir)
-    return ev.events_in_window(a["events"], ev.build_windows(fx.telemetry(spark, sf_dir), a["profile"]))
+    return ev.events_in_window(a.events, a.windows)
 
 
 @register("smooth_centered", """
 SELECT file_id, row, round(avg(accel) OVER (PARTITION BY file_id ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS accel_smooth
 FROM v_tel""")
 def smooth_centered(spark, sf_dir):
-    frame = segments.segment_frame()
     return (
         segments.with_halo(fx.telemetry(spark, sf_dir).select("file_id", "row", v.ACCEL), 2)
-        .withColumn("accel_smooth", r6(kin.smooth_centered(F.col(v.ACCEL), frame, 5)))
+        .withColumn("accel_smooth", r6(F.expr(kin.smooth_centered(v.ACCEL, 5))))
         .filter(~F.col("is_halo")).select("file_id", "row", "accel_smooth"))
 
 
@@ -288,10 +292,9 @@ def gradient_nonuniform(spark, sf_dir):
     # needs increasing timestamps, so logs the continuity gate refuses for order are left out
     tel = fx.telemetry(spark, sf_dir).select("file_id", "row", v.TIMESTAMP, v.REL_V)
     ordered = gates.interval_profile(tel, QualityPolicy()).filter("non_increasing = 0").select("file_id")
-    frame = segments.segment_frame()
     return (
         segments.with_halo(tel.join(ordered, "file_id", "left_semi"), 1)
-        .withColumn("slope", r6(kin.gradient(F.col(v.REL_V), F.col(v.TIMESTAMP), frame)))
+        .withColumn("slope", r6(F.expr(kin.gradient(v.REL_V, v.TIMESTAMP))))
         .filter(~F.col("is_halo")).select("file_id", "row", "slope"))
 
 
@@ -303,12 +306,12 @@ _METRIC_SQL = ("SELECT file_id, metric_id, window_id, name, round(value, 6) AS v
 
 @register("aeb_metrics_report", _METRIC_SQL)
 def aeb_metrics_report(spark, sf_dir):
-    return rounded(_analysis(spark, sf_dir)["metrics"].select(*_METRIC_COLUMNS), "value")
+    return rounded(_analysis(spark, sf_dir).metrics.select(*_METRIC_COLUMNS), "value")
 
 
 def _metric(name: str):
     def run(spark, sf_dir):
-        rows = _analysis(spark, sf_dir)["metrics"].filter(F.col("name") == name)
+        rows = _analysis(spark, sf_dir).metrics.filter(F.col("name") == name)
         return rounded(rows.select("file_id", "value", "value_bool", "t_s", "passed", "missing_reason"), "value")
     return run
 
@@ -329,7 +332,7 @@ FROM v_metrics WHERE value IS NOT NULL OR value_bool IS NOT NULL""")
 def metrics_upsert(spark, sf_dir):
     from fleetgauge.sources.tables import stored_metrics
 
-    return rounded(stored_metrics(_analysis(spark, sf_dir)["metrics"]), "value")
+    return rounded(stored_metrics(_analysis(spark, sf_dir).metrics), "value")
 
 
 @register("ingestion_summary", """
@@ -342,4 +345,4 @@ LEFT JOIN v_primary p ON q.file_id = p.file_id""")
 def ingestion_summary(spark, sf_dir):
     from fleetgauge.operators.dashboard import ingestion_summary as summary
 
-    return summary(_analysis(spark, sf_dir))
+    return summary(stored_analysis(spark, sf_dir))

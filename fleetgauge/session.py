@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -37,3 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="fleetgauge-")
     return _LOCAL_FOLDERS[app]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a written table: computed once, lineage cut, readable by any executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/fleetgauge-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
