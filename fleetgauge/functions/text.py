@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
+from fleetgauge.functions.sqltext import text as sql_literal
 
 WHITESPACE = " \t\n\r\f\x0b"
 
@@ -74,31 +75,21 @@ def report_ids(text: Column) -> Column:
     return _all_matches(text, v.REPORT_ID_PATTERN)
 
 
-def injection_matches(text: Column) -> Column:
-    """One struct(pattern, excerpt) per match: the text is cut at the matches, so the running
-    length of pieces and matches gives every match's place without any offset function."""
-    per_pattern = []
+def injection_matches(text: str) -> str:
+    """SQL text: ARRAY of ``struct(pattern, excerpt)``, one per match in the column ``text``.
+
+    The text is cut at the matches, so the running length of pieces and matches gives every
+    match's place without any offset function. Excerpts reach 40 characters to both sides.
+    """
+    found = []
     for name, pattern in v.INJECTION_PATTERNS.items():
-        regex = "(?iUd)" + pattern
-        hits = _all_matches(text, regex)
-        pieces = F.split(text, regex, -1)
-        spans = F.transform(hits, lambda hit, i, pieces=pieces, hits=hits: F.struct(
-            (_running(pieces, i + 1) + _running(hits, i)).alias("start"), F.length(hit).alias("size")
-        ))
-        found = F.transform(spans, lambda s, name=name: F.struct(
-            F.lit(name).alias("pattern"),
-            F.translate(
-                F.substring(
-                    text,
-                    F.greatest(s["start"] - 40, F.lit(0)) + 1,
-                    F.least(s["start"], F.lit(40)) + s["size"] + 40,
-                ), "\n", " ",
-            ).alias("excerpt"),
-        ))
-        per_pattern.append(F.when(F.size(hits) > 0, found).otherwise(F.array().cast(
-            "array<struct<pattern:string,excerpt:string>>")))
-    return F.concat(*per_pattern)
-
-
-def _running(parts: Column, n: Column) -> Column:
-    return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda acc, p: acc + F.length(p))
+        regex = sql_literal("(?iUd)" + pattern)
+        hits = f"regexp_extract_all({text}, {regex}, 0)"
+        pieces = f"split({text}, {regex}, -1)"
+        run = "aggregate(slice({0}, 1, {1}), 0, (n, p) -> n + length(p))"
+        start = f"({run.format(pieces, 'i + 1')} + {run.format(hits, 'i')})"
+        excerpt = (f"substring({text}, greatest({start} - 40, 0) + 1, "
+                   f"least({start}, 40) + length(hit) + 40)")
+        item = f"named_struct('pattern', '{name}', 'excerpt', translate({excerpt}, '\n', ' '))"
+        found.append(f"IF({text} rlike {regex}, transform({hits}, (hit, i) -> {item}), array())")
+    return f"concat({', '.join(found)})"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
+from fleetgauge.operators import corpus, retrieval
 from fleetgauge.operators.segments import ranked
 from fleetgauge.session import shared_folder
 
@@ -24,7 +25,17 @@ def _padded(key: str) -> str:
     return f"lpad(cast({key} as string), 12, '0')"
 
 
-_INGESTED: dict[tuple[str, str], str] = {}
+_INGESTED: dict[tuple[str, str, str], str] = {}
+
+
+def _ingested(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written once per session as Parquet in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _INGESTED:
+        path = f"{shared_folder(spark)}/fleetgauge-{name}-{uuid.uuid4().hex}"
+        build(spark, sf_dir).write.parquet(path)
+        _INGESTED[key] = path
+    return spark.read.parquet(_INGESTED[key])
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +45,19 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     telemetry at least twice. So it is written once, as Parquet in the shared folder, and the
     queries scan only the columns they need.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INGESTED:
-        path = f"{shared_folder(spark)}/fleetgauge-telemetry-{uuid.uuid4().hex}"
-        build_telemetry(spark, sf_dir).write.parquet(path)
-        _INGESTED[key] = path
-    return spark.read.parquet(_INGESTED[key])
+    return _ingested(spark, sf_dir, "telemetry", build_telemetry)
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.chunk_documents(raw_documents(spark, sf_dir))
+
+
+def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Indexed chunks and postings of the document corpus, built once per session."""
+    return (
+        _ingested(spark, sf_dir, "chunks", lambda s, d: retrieval.build_index(chunks(s, d))[0]),
+        _ingested(spark, sf_dir, "postings", lambda s, d: retrieval.postings(chunks(s, d))),
+    )
 
 
 def build_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

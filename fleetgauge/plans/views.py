@@ -19,13 +19,13 @@ def compose(sql: str) -> str:
     """``WITH`` clause with every view the query mentions, in dependency order."""
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, open_views: tuple[str, ...]) -> None:
         for name in sorted(set(re.findall(r"\bv_[a-z0-9_]+\b", text))):
-            if name in VIEWS and name not in needed:
-                visit(VIEWS[name])
+            if name in VIEWS and name not in needed and name not in open_views:
+                visit(VIEWS[name], (*open_views, name))
                 needed.append(name)
 
-    visit(sql)
+    visit(sql, ())
     if not needed:
         return sql
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in needed) + "\n" + sql
