@@ -60,38 +60,42 @@ def ranked(
     )
 
 
-def exact_median(counts: DataFrame, key: str, value: str, n: str, out: str) -> DataFrame:
-    """Exact interpolating median per key from pre-counted values ``(key, value, n)``.
+def order_values(
+    counts: DataFrame, key: str, value: str, n: str, ranks: dict[str, str], scale: float
+) -> DataFrame:
+    """Exact order statistics per key from pre-counted values ``(key, value, n)``.
 
-    Two steps: find the coarse bucket(s) that hold the middle ranks from per-bucket totals, then
-    rank only the distinct values inside those buckets. No task ever sees all values of a key.
+    ``ranks`` maps output columns to SQL for a 0-based rank in terms of ``total``. Two steps: find
+    the coarse buckets (``1 / scale`` wide) that hold the ranks from per-bucket totals, then rank
+    only the distinct values inside those buckets. No task ever sees all values of a key.
     """
-    coarse = F.floor(F.col(value) * F.lit(float(1 << 20)))
-    src = counts.withColumn("_bucket", coarse)
+    src = counts.withColumn("_bucket", F.expr(f"floor({value} * {scale}D)"))
     totals = src.groupBy(key, "_bucket").agg(F.sum(n).alias("_n"))
-    run = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
+    inside = " OR ".join(f"({sql} >= _start AND {sql} < _start + _n)" for sql in ranks.values())
     hit = (
-        totals.withColumn("_end", F.sum("_n").over(run))
-        .withColumn("_total", F.sum("_n").over(whole))
-        .withColumn("_lo", F.floor((F.col("_total") - 1) / 2))
-        .withColumn("_hi", F.floor(F.col("_total") / 2))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .filter(
-            ((F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_end")))
-            | ((F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_end")))
-        )
-        .select(key, "_bucket", "_start", "_lo", "_hi")
-    )
-    fine = Window.partitionBy(key, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = (
-        src.join(hit, [key, "_bucket"])
-        .withColumn("_e", F.col("_start") + F.sum(n).over(fine))
-        .withColumn("_s", F.col("_e") - F.col(n))
+        totals.selectExpr(
+            key, "_bucket", "_n",
+            f"coalesce(sum(_n) OVER (PARTITION BY {key} ORDER BY _bucket "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start",
+            f"sum(_n) OVER (PARTITION BY {key}) AS total")
+        .filter(inside)
+        .select(key, "_bucket", "_start", "total")
     )
-    def at(rank: str) -> Column:
-        return F.max(F.when((F.col("_s") <= F.col(rank)) & (F.col(rank) < F.col("_e")), F.col(value)))
-    return ranks.groupBy(key).agg(((at("_lo") + at("_hi")) / 2).alias(out))
+    placed = src.join(hit, [key, "_bucket"]).selectExpr(
+        key, value, n, "total",
+        f"_start - {n} + sum({n}) OVER (PARTITION BY {key}, _bucket ORDER BY {value} "
+        "ROWS UNBOUNDED PRECEDING) AS _first")
+    return placed.groupBy(key).agg(*[
+        F.expr(f"max(CASE WHEN {sql} >= _first AND {sql} < _first + {n} THEN {value} END) AS {out}")
+        for out, sql in ranks.items()
+    ])
+
+
+def exact_median(counts: DataFrame, key: str, value: str, n: str, out: str) -> DataFrame:
+    """Interpolating median of time intervals; buckets are about a microsecond wide."""
+    middle = {"_lo": "floor((total - 1) / 2)", "_hi": "floor(total / 2)"}
+    return order_values(counts, key, value, n, middle, float(1 << 20)).selectExpr(
+        key, f"(_lo + _hi) / 2 AS {out}")
 
 
 def time_bin(t: Column) -> Column:

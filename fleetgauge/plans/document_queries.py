@@ -82,10 +82,14 @@ def requirement_ids(spark, sf_dir):
     return fx.chunks(spark, sf_dir).select("chunk_id", F.explode("requirement_ids").alias("id"))
 
 
+_VOCABULARY = ("REQ-AEB", "preamble", "that", "INC-2041", "de la", "ego_speed_mps")
+
+
 @register("related_signals", f"""
-SELECT chunk_id, s.signal AS signal FROM v_chunks, (SELECT unnest({dv._SIGNALS}) AS signal) s WHERE contains(text, s.signal)""")
+SELECT chunk_id, s.signal AS signal FROM v_chunks, (SELECT unnest({list(_VOCABULARY)}) AS signal) s WHERE contains(text, s.signal)""")
 def related_signals(spark, sf_dir):
-    return fx.chunks(spark, sf_dir).select("chunk_id", F.explode("related_signal_names").alias("signal"))
+    chunks = corpus.chunk_documents(fx.raw_documents(spark, sf_dir), known_signals=_VOCABULARY)
+    return chunks.select("chunk_id", F.explode("related_signal_names").alias("signal"))
 
 
 @register("is_stale", f"""

@@ -202,7 +202,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when c_custkey % 10 = 0 then 'blocked' when c_custkey % 10 in (1, 2) then 'degraded' "
         "else 'pass' end as quality_verdict",
         "case when c_custkey % 2 = 0 then 'synthetic' else 'unknown' end as data_origin",
-        "case when c_custkey % 13 = 0 then 'braking_latency_s: no brake command' end as missing",
+        "case when c_custkey % 13 = 0 then array('braking_latency_s: no brake command') "
+        "else cast(array() as array<string>) end as missing",
+        "case when c_custkey % 10 in (1, 2) then 'scenario_completeness' else '' end as warned_gates",
+        "cast(array() as array<string>) as observations",
         "cast(c_custkey % 4 as int) as excluded_by_access",
         "case when c_custkey % 10 = 0 then 'blocked' when c_custkey % 3 = 0 then 'fault' "
         "else 'nominal' end as expected_outcome",
@@ -226,3 +229,27 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case role when 'assistant' then 'structured' when 'user' then 'completion' else 'embedding' end as kind",
         "greatest(1, cast(floor(length(text) / 4e0) as int)) as prompt_tokens",
         "length(text) / 1e3 as latency_s", "turn % 7 <> 6 as ok")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text naming one cited artifact and the run it came from: ``key, text, run_id``."""
+    owner = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as hyp_key", f"concat('run_', {_padded('o_custkey')}) as run_id")
+    return citations(spark, sf_dir).join(owner, "hyp_key").selectExpr(
+        "hyp_key as key", "run_id", "concat('seen in ', evidence_id, ' during ', run_id, '.') as text")
+
+
+def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw model text per order: fenced, bare, broken and out-of-range answers."""
+    body = (
+        "concat('{\"observations\": [\"', o_orderstatus, '\"], \"hypotheses\": [{\"cause\": \"cause ', "
+        "cast(o_orderkey as string), '\", \"failure_class\": \"', "
+        "case when o_orderkey % 23 = 0 then 'gremlins' else 'control_issue' end, "
+        "'\", \"evidence_ids\": [\"', o_orderpriority, '\"], \"confidence\": ', "
+        "case when o_orderkey % 11 = 0 then '1.5' else '0.5' end, '}]}')"
+    )
+    fence = "concat('```json', chr(10), body, chr(10), '```')"
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{body} as body").selectExpr(
+        "cast(o_orderkey as string) as run_id",
+        f"case when o_orderkey % 7 = 0 then concat('Sure! ', body) when o_orderkey % 10 = 0 then {fence} "
+        "when o_orderkey % 13 = 0 then '' else body end as raw")
