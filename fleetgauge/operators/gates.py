@@ -337,47 +337,49 @@ def gate_results(
     return profile.selectExpr("file_id", f"inline(array({rows}))")
 
 
-def verdict(
-    policy: QualityPolicy = QualityPolicy(), gates: dict[str, GateFn] | None = None
-) -> str:
-    """blocked / degraded / pass as an expression on the profile."""
-    statuses = ", ".join(fn(policy).status for fn in (GATES if gates is None else gates).values())
-    return (f"CASE WHEN array_contains(array({statuses}), 'fail') THEN 'blocked' "
-            f"WHEN array_contains(array({statuses}), 'warn') THEN 'degraded' ELSE 'pass' END")
-
-
-def quality_verdict(
+def judge(
     profile: DataFrame,
     policy: QualityPolicy = QualityPolicy(),
     gates: dict[str, GateFn] | None = None,
 ) -> DataFrame:
-    """``file_id,quality_id,verdict,gate_summary,failures,warnings,warned_gates`` per log.
+    """The profile with ``gates`` (array of gate, status, message), ``verdict`` and ``quality_id``.
 
-    The gates of a log are expressions on its profile row, so the verdict needs no regrouping.
+    This is the table to store: later steps read the verdict as a plain column instead of carrying
+    the expressions of all gates through their plans.
     """
     chosen = GATES if gates is None else gates
-    names = list(chosen)
-    outcomes = {n: fn(policy) for n, fn in chosen.items()}
-    # statuses and messages are evaluated once, then read by name
-    judged = profile.selectExpr(
-        "file_id", f"{verdict(policy, chosen)} AS verdict",
-        "array(" + ", ".join(
-            f"named_struct('gate', {text(n)}, 'status', {outcomes[n].status}, 'message', {outcomes[n].message})"
-            for n in names) + ") AS gates")
+    outcomes = [(n, fn(policy)) for n, fn in chosen.items()]
+    array = ", ".join(
+        f"named_struct('gate', {text(n)}, 'status', {o.status}, 'message', {o.message})" for n, o in outcomes)
+    return profile.selectExpr("*", f"array({array}) AS gates").selectExpr(
+        "*", "CASE WHEN exists(gates, g -> g.status = 'fail') THEN 'blocked' "
+        "WHEN exists(gates, g -> g.status = 'warn') THEN 'degraded' ELSE 'pass' END AS verdict",
+    ).withColumn("quality_id", quality_id(policy))
+
 
+def quality_report(judged: DataFrame) -> DataFrame:
+    """``file_id,quality_id,verdict,gate_summary,failures,warnings,warned_gates`` per log."""
     def having(status: str, shown: str, sep: str) -> str:
-        return (f"array_join(transform(filter(gates, g -> g.status = '{status}'), g -> {shown}), '{sep}')")
+        return f"array_join(transform(filter(gates, g -> g.status = '{status}'), g -> {shown}), '{sep}')"
 
     worded = "concat(g.gate, ': ', g.message)"
-    return judged.select(
-        "file_id", quality_id(policy).alias("quality_id"), "verdict",
-        F.expr("array_join(transform(gates, g -> concat(g.gate, '=', g.status)), '; ') AS gate_summary"),
-        F.expr(f"{having('fail', worded, '; ')} AS failures"),
-        F.expr(f"{having('warn', worded, '; ')} AS warnings"),
-        F.expr(f"{having('warn', 'g.gate', ', ')} AS warned_gates"),
+    return judged.selectExpr(
+        "file_id", "quality_id", "verdict",
+        "array_join(transform(gates, g -> concat(g.gate, '=', g.status)), '; ') AS gate_summary",
+        f"{having('fail', worded, '; ')} AS failures",
+        f"{having('warn', worded, '; ')} AS warnings",
+        f"{having('warn', 'g.gate', ', ')} AS warned_gates",
     )
 
 
+def quality_verdict(
+    profile: DataFrame,
+    policy: QualityPolicy = QualityPolicy(),
+    gates: dict[str, GateFn] | None = None,
+) -> DataFrame:
+    return quality_report(judge(profile, policy, gates))
+
+
 def quality_id(policy: QualityPolicy = QualityPolicy()) -> Column:
     return stable_id("quality", F.col("file_id"), policy.to_json())
 

@@ -218,30 +218,31 @@ def log_profile(
     telemetry: DataFrame, provenance: DataFrame, thresholds: AebThresholds = AebThresholds(),
     policy: QualityPolicy = QualityPolicy(),
 ) -> DataFrame:
-    """Gate counters and event times, one row per log, from one pass plus the interval pass."""
-    return gates.quality_profile(telemetry, provenance, policy, ev.event_aggregates(thresholds))
+    """Gate counters, verdict and event times, one row per log, from one pass plus the interval pass."""
+    return gates.judge(
+        gates.quality_profile(telemetry, provenance, policy, ev.event_aggregates(thresholds)), policy)
 
 
 class Analysis:
     """Gate-enforced analysis of the logs in ``profile`` (see ``log_profile``).
 
     Blocked logs have a quality row and nothing else. Every part is a lazy DataFrame, built when
-    asked for; a caller that uses several of them should hand in a stored profile.
+    asked for. The profile (one row per log) is read by each of them, so hand in a stored one.
     """
 
     def __init__(self, telemetry: DataFrame, provenance: DataFrame, profile: DataFrame,
-                 thresholds: AebThresholds = AebThresholds(), policy: QualityPolicy = QualityPolicy()):
+                 thresholds: AebThresholds = AebThresholds()):
         self.telemetry, self.provenance, self.thresholds = telemetry, provenance, thresholds
-        self.everything, self.policy = profile, policy
+        self.everything = profile
 
     @cached_property
     def quality(self) -> DataFrame:
-        return gates.quality_verdict(self.everything, self.policy)
+        return gates.quality_report(self.everything)
 
     @cached_property
     def profile(self) -> DataFrame:
         """Analysable logs only."""
-        return self.everything.filter(f"{gates.verdict(self.policy)} <> 'blocked'")
+        return self.everything.filter("verdict <> 'blocked'").drop("gates")
 
     @cached_property
     def events(self) -> DataFrame:

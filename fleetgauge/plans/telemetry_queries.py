@@ -21,14 +21,15 @@ def _profile(spark, sf_dir, policy=QualityPolicy()):
 
 def _analysis(spark, sf_dir, thresholds=AebThresholds()):
     tel, files = fx.telemetry(spark, sf_dir), fx.provenance(spark, sf_dir)
-    return metrics.Analysis(tel, files, metrics.log_profile(tel, files, thresholds), thresholds)
+    profile = stored(metrics.log_profile(tel, files, thresholds), "profile")
+    return metrics.Analysis(tel, files, profile, thresholds)
 
 
 def stored_analysis(spark, sf_dir, thresholds=AebThresholds()):
-    """The same on a stored profile, for results that combine several parts of the analysis."""
-    tel, files = fx.telemetry(spark, sf_dir), fx.provenance(spark, sf_dir)
-    profile = stored(metrics.log_profile(tel, files, thresholds), "profile")
-    return metrics.Analysis(tel, files, profile, thresholds)
+    """The same with stored windows and metrics, for results that combine several parts."""
+    a = _analysis(spark, sf_dir, thresholds)
+    a.windows, a.metrics = stored(a.windows, "windows"), stored(a.metrics, "metrics")
+    return a
 
 
 # --- expressions -----------------------------------------------------------------------------

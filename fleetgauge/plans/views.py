@@ -28,7 +28,9 @@ def compose(sql: str) -> str:
     visit(sql, ())
     if not needed:
         return sql
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in needed) + "\n" + sql
+    # each view is computed once; a view that reads itself is recursive and stays as it is
+    how = {n: "AS" if re.search(rf"\b{n}\b", VIEWS[n]) else "AS MATERIALIZED" for n in needed}
+    return "WITH RECURSIVE " + ",\n".join(f"{n} {how[n]} (\n{VIEWS[n]}\n)" for n in needed) + "\n" + sql
 
 
 def stable_id(prefix: str, *parts: str) -> str:
