@@ -1,7 +1,112 @@
-from pyspark.sql import DataFrame
+"""CSV logs: scan in logged order, sidecars, content hashes, export."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
+from fleetgauge.operators import ingest as ing
+
+SIDECAR_SCHEMA = "scenario_id STRING, data_origin STRING, column_units MAP<STRING,STRING>"
+SIDECAR_NAME = "scenario.json"
+
+
+@dataclass
+class IngestedLogs:
+    telemetry: DataFrame
+    provenance: DataFrame
+    coerced: DataFrame
+    conflicts: DataFrame
+
+
+def _fields(line: str) -> str:
+    cut = f"regexp_extract_all(concat({line}, ','), '(\"(?:[^\"]|\"\")*\"|[^,]*),', 1)"
+    return (f"transform({cut}, c -> IF(startswith(c, '\"') AND endswith(c, '\"') AND length(c) > 1, "
+            "replace(substring(c, 2, length(c) - 2), '\"\"', '\"'), c))")
+
+
+def scan_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, headers) of every CSV under ``path``.
+
+    Files are read as text, so files with different headers can share one scan. A file may be cut
+    into several splits; rows are numbered inside each split and shifted by the rows of the splits
+    before it, so a very large file is numbered by many tasks. Lines carry ``source_path, split``
+    as their join keys, in the partitioning the numbering already has.
+    """
+    raw = (
+        spark.read.text(path, pathGlobFilter="*.csv")
+        .select(
+            F.col("_metadata.file_path").alias("source_path"),
+            F.col("_metadata.file_block_start").alias("split"), "value",
+            F.monotonically_increasing_id().alias("seen"))
+        .filter(F.trim("value") != "")
+    )
+    order = Window.partitionBy("source_path", "split").orderBy("seen")
+    numbered = raw.withColumn("place", F.row_number().over(order))
+    sizes = numbered.groupBy("source_path", "split").agg(F.max("place").alias("n"))
+    before = Window.partitionBy("source_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("source_path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    headers = numbered.filter("split = 0 AND place = 1").selectExpr(
+        "source_path", f"{_fields('value')} AS header")
+    keyed = shifts.join(headers.select("source_path", F.size("header").alias("width")), "source_path")
+    lines = (
+        numbered.join(keyed, ["source_path", "split"])
+        .filter("NOT (split = 0 AND place = 1)")
+        .selectExpr(
+            "source_path", "split", "shift + place - 2 AS row", f"{_fields('value')} AS fields", "width")
+        .selectExpr(
+            "source_path", "split", "row",
+            "IF(size(fields) > width, raise_error(concat('too many fields in ', source_path)), fields) AS fields")
+    )
+    return lines, headers
+
+
+def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """``folder, scenario_id, data_origin, column_units``; a malformed sidecar stops the job."""
+    return spark.read.schema(SIDECAR_SCHEMA).json(
+        path, multiLine=True, mode="FAILFAST", pathGlobFilter=SIDECAR_NAME, recursiveFileLookup=True
+    ).select("*", _folder(F.col("_metadata.file_path")).alias("folder"))
+
+
+def _folder(path):
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def content_hashes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path, pathGlobFilter="*.csv", recursiveFileLookup=True).select(
+        F.col("path").alias("source_path"), F.sha2("content", 256).alias("sha256"))
+
+
+def load_telemetry(
+    spark: SparkSession, path: str, sidecars: DataFrame | None = None, column_units: dict[str, str] | None = None
+) -> IngestedLogs:
+    """All logs under ``path`` as one SI table. Units: caller over sidecar over header suffix."""
+    lines, headers = scan_lines(spark, path)
+    files = headers.withColumn("folder", _folder(F.col("source_path")))
+    empty = F.expr("CAST(map() AS MAP<STRING,STRING>)")
+    if sidecars is not None:
+        files = files.join(sidecars, "folder", "left")
+    else:
+        files = files.withColumns({
+            "scenario_id": F.lit(None).cast("string"), "data_origin": F.lit(None).cast("string"),
+            "column_units": empty})
+    caller = F.create_map(*[F.lit(x) for kv in (column_units or {}).items() for x in kv]).cast(
+        "map<string,string>") if column_units else empty
+    declared = F.map_concat(
+        F.map_filter(F.coalesce("column_units", empty), lambda k, _: ~F.array_contains(F.map_keys(caller), k)), caller)
+    files = files.withColumn("file_id", ing.file_key(F.col("source_path")))
+    resolved = ing.resolve_columns(files.select("file_id", "header", declared.alias("declared")))
+    layout = ing.file_layout(resolved).join(files.select("file_id", "source_path"), "file_id")
+    splits = lines.select("source_path", "split").distinct()
+    normalised = ing.normalise(lines, splits.join(layout, "source_path"), ["source_path", "split"])
+    described = files.select("file_id", "source_path", "scenario_id",
+                             F.coalesce("data_origin", F.lit("unknown")).alias("data_origin"))
+    return IngestedLogs(
+        ing.telemetry_of(normalised), ing.provenance_of(resolved, described), ing.coerced_counts(normalised),
+        ing.header_conflicts(resolved))
 
 
 def to_export(telemetry: DataFrame) -> DataFrame:
@@ -11,3 +116,8 @@ def to_export(telemetry: DataFrame) -> DataFrame:
         .withColumn("relative_velocity_kmh", F.col(v.REL_V) * v.MPS_TO_KMH)
         .drop(v.SPEED, v.REL_V)
     )
+
+
+def export_units(columns: list[str]) -> dict[str, str]:
+    units = {**v.SIGNAL_UNITS, "ego_speed_kmh": "km/h", "relative_velocity_kmh": "km/h"}
+    return {c: units[c] for c in columns if c in units}
