@@ -31,16 +31,18 @@ QUERY_BLOCK = 256  # queries scored together; bounds what is sent to every task
 def hashed_embedding(texts: DataFrame, key: str, column: str, dim: int = DIMENSION) -> DataFrame:
     """``key, vector ARRAY<BIGINT>, norm``; null vector for a text without tokens.
 
-    The explode is aggregated in the task that made it, so one row per text is shuffled.
+    The explode is aggregated in the task that made it: at most ``dim`` rows per text are shuffled.
     """
     tokens = texts.select(key, F.explode_outer(tx.embedding_tokens(F.col(column))).alias("token"))
     hashed = tokens.withColumn("h", F.sha2("token", 256)).selectExpr(
         key, "token", f"CAST(conv(substring(h, 1, 8), 16, 10) AS BIGINT) % {dim} AS bucket",
         "IF(CAST(conv(substring(h, 10, 1), 16, 10) AS INT) % 2 = 1, 1, -1) AS sign")
-    sums = [F.expr(f"coalesce(sum(IF(bucket = {i}, sign, 0)), 0) AS d{i}") for i in range(dim)]
-    packed = hashed.groupBy(key).agg(F.count("token").alias("n"), *sums)
-    vector = "array(" + ", ".join(f"d{i}" for i in range(dim)) + ")"
-    return packed.selectExpr(key, f"IF(n > 0, {vector}, NULL) AS vector").selectExpr(
+    # explode_outer keeps a text without tokens as one row with a null bucket
+    weights = hashed.groupBy(key, "bucket").agg(F.expr("sum(IF(token IS NULL, NULL, sign)) AS w"))
+    packed = weights.groupBy(key).agg(F.expr(
+        "map_from_entries(collect_list(CASE WHEN bucket IS NOT NULL THEN struct(bucket, w) END)) AS m"))
+    vector = f"IF(size(m) > 0, transform(sequence(0L, {dim - 1}L), i -> coalesce(m[i], 0L)), NULL) AS vector"
+    return packed.selectExpr(key, vector).selectExpr(
         "*", "sqrt(CAST(aggregate(vector, 0L, (s, x) -> s + x * x) AS DOUBLE)) AS norm")
 
 

@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than cores.
+
+    Text work is done where the scan puts a document, so one small file would keep one core busy.
+    A large table has more splits than cores and is left as it is: nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _padded(key: str) -> str:
     return f"lpad(cast({key} as string), 12, '0')"
 
@@ -129,7 +139,7 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown documents with front matter: ``doc_id, file_name, raw``."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id", "concat('doc_', cast(doc_id as string), '.md') as file_name",
         r"""replace(concat('---|title: Doc ', cast(doc_id as string), '|document_type: ',
         case doc_id % 7 when 0 then 'srs' when 1 then 'test_spec' when 2 then 'dbc' when 3 then 'manual'
