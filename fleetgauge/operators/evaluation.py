@@ -13,8 +13,6 @@ from fleetgauge.functions.sqltext import num, text
 from fleetgauge.operators.segments import order_values
 from fleetgauge.policies import ReleaseThresholds
 
-CHECK = ("case_id", "name", "passed", "detail")
-
 
 # --- deterministic checks ------------------------------------------------------------------------
 
@@ -237,7 +235,7 @@ def baseline_compare(
     return worse.unionByName(baseline_regressions(results, baseline))
 
 
-def suite_fingerprint(cases: DataFrame, key: str) -> DataFrame:
+def suite_fingerprint(cases: DataFrame) -> DataFrame:
     """One row: content hash of the cases, independent of row and list order.
 
     Hashes are combined in two levels (4096 buckets), so no task sorts the whole suite.

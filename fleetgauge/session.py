@@ -31,10 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     The one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one
     machine) a temporary one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir())
     if folder:
         return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="fleetgauge-")
     return _LOCAL_FOLDERS[app]
