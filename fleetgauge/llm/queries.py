@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import mixing, oracle, quality_rules, simhash
+from fleetgauge.llm import mixing, oracle, pieces, quality_rules, secret_scan, simhash, toxicity, vectors
 from fleetgauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "component_id")
@@ -27,10 +35,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [f"cast(size(regexp_extract_all(base, '(^|,){k}:', 0)) AS bigint) AS n_{k}" for k in secret_scan.KINDS]
+    return secret_scan.scan(table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id", *kinds, "sha2(base, 256) AS base_sha256", "found AS spans")
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_embeddings": op9_embeddings,
 }
 ORACLE: dict[str, str] = {
     "op4_mixing": oracle.mixing(),
