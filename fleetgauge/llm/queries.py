@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import mixing, oracle, pieces, quality_rules, secret_scan, simhash, toxicity, vectors
+from fleetgauge.llm import line_dedup, mixing, oracle, pieces, quality_rules, secret_scan, simhash, toxicity, vectors
 from fleetgauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).selectExpr(
+        "doc_id", "cast(_lines AS bigint) AS n_lines", "cast(_removed AS bigint) AS n_removed", "sha2(text, 256) AS kept_sha256")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [f"cast(size(regexp_extract_all(base, '(^|,){k}:', 0)) AS bigint) AS n_{k}" for k in secret_scan.KINDS]
     return secret_scan.scan(table(spark, sf_dir, "documents")).selectExpr(
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_embeddings": op9_embeddings,
 }
