@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import line_dedup, mixing, oracle, pieces, quality_rules, secret_scan, simhash, toxicity, vectors
+from fleetgauge.llm import line_dedup, mixing, oracle, pieces, quality_rules, repeats, secret_scan, simhash, toxicity, vectors
 from fleetgauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *kinds, "sha2(base, 256) AS base_sha256", "found AS spans")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embeddings": op9_embeddings,
 }
 ORACLE: dict[str, str] = {
