@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import line_dedup, mixing, oracle, pieces, quality_rules, repeats, secret_scan, simhash, toxicity, vectors
+from fleetgauge.llm import backoff, line_dedup, mixing, oracle, pieces, quality_rules, repeats, secret_scan, simhash, toxicity, vectors
 from fleetgauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embeddings": op9_embeddings,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLE: dict[str, str] = {
     "op4_mixing": oracle.mixing(),
