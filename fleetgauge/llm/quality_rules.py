@@ -131,7 +131,8 @@ def judge(counted: DataFrame, cutoffs: DataFrame) -> DataFrame:
     rejected = " OR ".join(f"coalesce({sql} > cut_{name}, false)" for name, sql in RULES.items())
     return (
         counted.withColumn("stratum", stratum()).join(cutoffs, "stratum", "left")
-        .withColumn("kept", F.expr(f"NOT base_failed AND NOT ({rejected})")))
+        # one expression over both sides of the join: a part of it that is pushed below would repeat the features' work
+        .withColumn("kept", F.expr(f"IF(base_failed, false, NOT ({rejected}))")))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -209,10 +209,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with their own columns only.
 
-    Rows without ``doc_id`` stay only if no other row of their component has one; rows that repeat
-    the representative's id stay once.
+    Rows that repeat the representative's id stay once. Rows without ``doc_id`` can't be told apart and all stay.
     """
-    groups = near_groups(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component")).distinct()
-    chosen = stored(groups.where("_id <=> _component"), "simhash-kept")
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    chosen = stored(
+        near_groups(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
+    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
