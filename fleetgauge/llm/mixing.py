@@ -39,11 +39,11 @@ def source_key() -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_source`` and the place ``_rank`` in the source, from 0."""
+    """Each row of ``docs`` as ``_row``, with ``_source`` and the place ``_rank`` in the source, from 0."""
     order = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    keyed = docs.withColumn("_source", source_key()).withColumn("_order", order)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), source_key().alias("_source"), order.alias("_order"))
     bucket = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
-    return ranked(keyed, ["_source"], [F.col("_order"), F.col("doc_id")], F.coalesce(bucket, F.lit(-1)), "_rank").drop("_order")
+    return ranked(keyed, ["_source"], [F.col("_order"), F.col("_row.doc_id")], F.coalesce(bucket, F.lit(-1)), "_rank").drop("_order")
 
 
 def quotas(counts: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -109,7 +109,7 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     bounds = sources.agg(F.array_sort(F.collect_set(F.when(F.col("frames") > 0, F.col("frames")))).alias("ends"))
     mine = sources.join(F.broadcast(bounds), F.lit(True)).select("_source", "quota", "frames", "ends")  # one row on the right
     blocks = ranks.join(mine, "_source").selectExpr(
-        *[f"`{c}`" for c in docs.columns], "_source", f"_rank div {BLOCK} AS _block", f"_rank % {BLOCK} AS _offset",
+        "_row", "_source", f"_rank div {BLOCK} AS _block", f"_rank % {BLOCK} AS _offset",
         "quota AS _quota", f"(_rank div {BLOCK}) div quota AS _frame",
         f"IF((_rank div {BLOCK}) div quota < frames, element_at(filter(ends, e -> e > (_rank div {BLOCK}) div quota), 1), NULL) AS _phase",
         f"IF((_rank div {BLOCK}) div quota < frames, (_rank div {BLOCK}) % quota, _rank div {BLOCK} - quota * frames) AS _j")
@@ -117,7 +117,7 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     joined = blocks.join(at, (F.col("_source") == F.col("_s")) & (F.coalesce("_phase", F.lit(-1)) == F.col("_p")) & (F.col("_j") == F.col("j")))
     start = "base + coalesce(_frame - first_frame, 0L) * slots"
     return joined.selectExpr(
-        *[f"`{c}`" for c in docs.columns], "_source", "_block", "_offset", f"{start} + slot AS _slot",
+        "_row.*", "_source", "_block", "_offset", f"{start} + slot AS _slot",
         f"{start} + (j * slots) div quota AS _release",
         f"{start} + cast(ceil((j + 1) * slots / quota) AS long) AS _deadline")
 
