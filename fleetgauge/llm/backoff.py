@@ -38,7 +38,7 @@ BITS = 20
 HOT = 14
 LOCAL = 8
 #: Bytes of text whose pairs make up a partition of the count table.
-PART = 8 << 20
+PART = 16 << 20
 WIDE = (1 << 2 * BITS) - 1
 _ODD = 0x9E3779B97F4A7C15 & WIDE | 1
 
@@ -164,7 +164,10 @@ def _scored(piece: pa.RecordBatch, known: Vocabulary, hot: tuple[np.ndarray, np.
 
 
 def _packed(docs: DataFrame, known: Vocabulary, hot: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
-    """Per piece: a row (part -1) with the base scores, and a row per partition with the open pairs."""
+    """Per piece: a row with the base scores, and a row per partition with the open pairs.
+
+    The base scores go along to one of the partitions, so the texts are read once and nothing is written in between.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +179,7 @@ def _packed(docs: DataFrame, known: Vocabulary, hot: tuple[np.ndarray, np.ndarra
                 ends = np.append(edges[1:], len(part)) if len(edges) else edges
                 used = [np.unique(at[a:b]) for a, b in zip(edges, ends)]
                 columns = [
-                    pa.array(np.append(-1, part[edges]).astype(np.int32)),
+                    pa.array(np.append(docs[0] & ((1 << bits) - 1), part[edges]).astype(np.int32)),
                     pa.array([docs, *(docs[u] for u in used)], pa.list_(pa.int64())),
                     pa.array([length, *(np.zeros(0) for _ in used)], pa.list_(pa.int32())),
                     pa.array([np.zeros(0, np.int64), *(np.diff(key[a:b], prepend=0) for a, b in zip(edges, ends))], pa.list_(pa.int64())),
@@ -194,23 +197,32 @@ def _packed(docs: DataFrame, known: Vocabulary, hot: tuple[np.ndarray, np.ndarra
 
 def _joined(key, table):
     """What the pairs of one partition of the count table add to their documents."""
-    sizes, docs, keys, rows, times, gain = 0, [], [], [], [], []
+    sizes, base, docs, keys, rows, times, gain = 0, [], [], [], [], [], []
     for batch in table.to_batches():
-        columns = [batch.column(c) for c in ("docs", "step", "doc", "times", "gain")]
-        for d, s, r, t, g in zip(*columns):
+        columns = [batch.column(c) for c in ("docs", "length", "step", "doc", "times", "gain")]
+        for d, n, s, r, t, g in zip(*columns):
+            if len(n.values):
+                base.append((d.values.to_numpy(), n.values.to_numpy(), g.values.to_numpy()))
+                continue
             docs.append(d.values.to_numpy())
             keys.append(np.cumsum(s.values.to_numpy()))
             rows.append(r.values.to_numpy() + sizes)
             times.append(t.values.to_numpy())
             gain.append(g.values.to_numpy())
             sizes += len(docs[-1])
-    docs, keys, rows, times, gain = map(np.concatenate, (docs, keys, rows, times, gain))
-    _, where = np.unique(keys, return_inverse=True)
-    left = np.bincount(where, times)[where] - times
-    some = left > 0
-    ids, at = np.unique(docs, return_inverse=True)
-    more = np.bincount(at[rows[some]], times[some] * np.log(left[some]) + gain[some], len(ids))
-    return pa.table({"doc": pa.array(ids), "n_words": pa.array(np.zeros(len(ids), np.int64)), "log_score": pa.array(more)})
+    names = ["doc", "n_words", "log_score", "copies"]
+    first = [np.concatenate([x[i] for x in base]) if base else np.zeros(0, (np.int64, np.int32, float)[i]) for i in range(3)]
+    out = [pa.table([pa.array(first[0]), pa.array(first[1].astype(np.int64)), pa.array(first[2]), pa.array(np.ones(len(first[0]), np.int32))], names)]
+    if docs:
+        docs, keys, rows, times, gain = map(np.concatenate, (docs, keys, rows, times, gain))
+        _, where = np.unique(keys, return_inverse=True)
+        left = np.bincount(where, times)[where] - times
+        some = left > 0
+        ids, at = np.unique(docs, return_inverse=True)
+        more = np.bincount(at[rows[some]], times[some] * np.log(left[some]) + gain[some], len(ids))
+        zero = np.zeros(len(ids), np.int64)
+        out.append(pa.table([pa.array(ids), pa.array(zero), pa.array(more), pa.array(zero.astype(np.int32))], names))
+    return pa.concat_tables(out)
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -219,14 +231,10 @@ def scores(docs: DataFrame) -> DataFrame:
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(4, (size // PART).bit_length())
     known = vocabulary(keyed)
-    packed = _packed(keyed, known, hot_pairs(keyed, known), bits)
-    packed = stored(packed, "lm-pairs")
-    base = packed.where("part = -1").select(F.inline(F.arrays_zip("docs", "length", "gain"))).selectExpr(
-        "docs AS doc", "cast(length AS long) AS n_words", "gain AS log_score")
-    more = packed.where("part >= 0").select("part", "docs", "step", "doc", "times", "gain").groupBy("part").applyInArrow(
-        _joined, "doc long, n_words long, log_score double")
+    parts = _packed(keyed, known, hot_pairs(keyed, known), bits).groupBy("part").applyInArrow(
+        _joined, "doc long, n_words long, log_score double, copies int")
     # rows that repeat doc_id and text have one key: their base scores are equal and their gains are summed
-    by_doc = base.withColumn("copies", F.lit(1)).unionByName(more.withColumn("copies", F.lit(0))).groupBy("doc").agg(
+    by_doc = parts.groupBy("doc").agg(
         F.max("n_words").alias("n_words"), F.sum("log_score").alias("s"), F.sum("copies").alias("copies"))
     out = keyed.select("doc_id", "doc").join(by_doc, "doc")
     return out.selectExpr("doc_id", "n_words", "s / copies AS log_score", "IF(n_words > 0, s / copies / n_words, NULL) AS mean_log_score")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetgauge.session import stored
 
 #: Bytes of text that one step of a vectorised function holds at a time; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 

@@ -20,9 +20,9 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2^64 for i below n; kept in the worker for texts of usual size."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
-        if n > 1 << 23:
+        if n > 1 << 22:
             return _powers(n, base)
-        _POWERS[base] = _powers(1 << n.bit_length(), base)
+        _POWERS[base] = _powers(-(-n >> 20) << 20, base)
     up, down = _POWERS[base]
     return up[:n], down[:n]
 
