@@ -242,6 +242,8 @@ def suite_fingerprint(cases: DataFrame) -> DataFrame:
     """
     kinds = dict(cases.dtypes)
     def canonical(name: str) -> Column:
+        if kinds[name].startswith("map<"):  # entries in the order of their keys, whatever order the map was built in
+            return F.array_sort(F.map_entries(name)).alias(name)
         return F.array_sort(name).alias(name) if kinds[name] == "array<string>" else F.col(name)
     digests = cases.select(F.sha2(F.to_json(F.struct(*[canonical(c) for c in sorted(cases.columns)])), 256).alias("h"))
     buckets = digests.groupBy(F.substring("h", 1, 3).alias("b")).agg(

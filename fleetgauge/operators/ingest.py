@@ -43,15 +43,20 @@ def resolve_columns(headers: DataFrame) -> DataFrame:
         f"ELSE CAST(raise_error({problem}) AS DOUBLE) END AS factor")
 
 
+NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
+
+
 def header_conflicts(resolved: DataFrame) -> DataFrame:
-    """Signals claimed by more than one column of a file; any row is an error."""
+    """Signals claimed by more than one column of a file; a file with such a row is refused."""
     return resolved.filter("canonical IS NOT NULL").groupBy("file_id", "canonical").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("source_column")).alias("columns")
     ).filter("n > 1")
 
 
 def file_layout(resolved: DataFrame) -> DataFrame:
-    """One row per file: position and factor of each signal, and the passthrough columns."""
+    """One row per file without header conflicts: position and factor of each signal, and the passthrough columns."""
+    refused = header_conflicts(resolved).select("file_id").distinct()
+    resolved = resolved.join(refused, "file_id", "left_anti")
     places = []
     for s in v.SIGNALS:
         places += [F.expr(f"max(CASE WHEN canonical = '{s}' THEN idx END) AS at_{s}"),
@@ -71,7 +76,8 @@ def normalise(lines: DataFrame, layout: DataFrame, keys: list[str]) -> DataFrame
     typed = []
     for s in v.SIGNALS:
         if s in v.NUMERIC_SIGNALS:
-            value = f"nanvl(try_cast(trim(raw_{s}) AS DOUBLE), NULL)"
+            # a cast alone would also take type suffixes and hexadecimal floats
+            value = f"IF(trim(raw_{s}) RLIKE '{NUMBER}', nanvl(try_cast(trim(raw_{s}) AS DOUBLE), NULL), NULL)"
             typed.append(f"IF(by_{s} IS NULL, {value}, {value} * by_{s}) AS {s}")
         else:
             typed.append(f"raw_{s} AS {s}")
@@ -92,8 +98,9 @@ def telemetry_of(normalised: DataFrame) -> DataFrame:
 
 
 def provenance_of(resolved: DataFrame, files: DataFrame) -> DataFrame:
-    """Provenance per file from its resolved columns; ``files``: file_id, source_path, data_origin,
-    scenario_id (and more, kept)."""
+    """Provenance per file without header conflicts, from its resolved columns; ``files``: file_id, source_path,
+    data_origin, scenario_id (and more, kept)."""
+    resolved = resolved.join(header_conflicts(resolved).select("file_id").distinct(), "file_id", "left_anti")
     names = ", ".join(f"'{s}'" for s in v.SIGNALS)
     per_file = resolved.groupBy("file_id").agg(
         F.expr(f"filter(array({names}), s -> array_contains(collect_set(canonical), s)) AS present"),

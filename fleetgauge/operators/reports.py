@@ -176,8 +176,10 @@ def decide_approvals(decisions: DataFrame) -> DataFrame:
 
 
 def reports_with_approval(reports: DataFrame, approvals: DataFrame, decided: DataFrame) -> DataFrame:
-    """Reports with their approval and its status."""
+    """Reports with their approval and its status; of several approvals of a report the first, by time of creation if known."""
     final = decided.filter("outcome = 'applied'").select("approval_id", "decision", "decided_at")
-    tasks = approvals.select("approval_id", "report_id").join(final, "approval_id", "left")
+    age = [c for c in ("created_at", "approval_id") if c in approvals.columns]
+    first = approvals.groupBy("report_id").agg(F.min(F.struct(*age)).alias("_first")).select("report_id", "_first.approval_id")
+    tasks = first.join(final, "approval_id", "left")
     return reports.join(tasks, "report_id", "left").withColumn(
         "status", F.when(F.col("approval_id").isNotNull(), F.coalesce("decision", F.lit("pending_review"))))

@@ -86,7 +86,7 @@ SELECT c.chunk_id, coalesce(n, 0) AS doc_len FROM v_chunks c LEFT JOIN (SELECT c
 VIEWS["v_df"] = "SELECT term, count(*) AS df FROM v_post GROUP BY term"
 VIEWS["v_corpus"] = "SELECT count(*) AS n_chunks, avg(doc_len) AS avg_len FROM v_len"
 
-VIEWS["v_queries"] = "SELECT item_id AS query_id, substring(text, 1, 200) AS query FROM benchmark"
+VIEWS["v_queries"] = "SELECT item_id AS query_id, text AS query FROM benchmark"
 VIEWS["v_qterms"] = r"""
 SELECT DISTINCT query_id, term FROM (SELECT query_id, trim(unnest(regexp_extract_all(lower(query), '[a-z0-9][a-z0-9_.\-]*')), '.-') AS term FROM v_queries) x
 WHERE length(term) > 1"""

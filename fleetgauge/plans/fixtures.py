@@ -157,7 +157,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").selectExpr(
-        "item_id as query_id", "substring(text, 1, 200) as query")
+        "item_id as query_id", "text as query")
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,9 +227,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer decisions; several per approval."""
-    return table(spark, sf_dir, "events").filter("event_type in ('error', 'purchase')").selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "concat('appr_', cast(user_id as string)) as approval_id", "event_id", "ts as decided_at",
-        "case when event_type = 'error' then 'rejected' else 'approved' end as decision")
+        "case event_type when 'error' then 'rejected' when 'purchase' then 'approved' else 'deferred' end as decision")
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,11 +35,10 @@ def _headers(spark, sf_dir):
 def _normalised(spark, sf_dir):
     """Every log as text rows in its own header's units, one broken value per 100 rows, normalised."""
     cls = "cast(right(file_id, 12) as bigint) % 12"
-    rows = fx.telemetry(spark, sf_dir).selectExpr("file_id", "row", f"{cls} as cls", v.TIMESTAMP, v.SPEED, v.GAP).filter(
-        "cls <> 11").selectExpr(
+    rows = fx.telemetry(spark, sf_dir).selectExpr("file_id", "row", f"{cls} as cls", v.TIMESTAMP, v.SPEED, v.GAP).selectExpr(
         "file_id", "row", f"array(cast(if(cls % 3 = 1, {v.TIMESTAMP} * 1e3, {v.TIMESTAMP}) as string), "
         f"if(row % 100 = 7, 'oops', cast(if(cls % 3 = 0, {v.SPEED} * 3.6e0, {v.SPEED}) as string)), "
-        f"coalesce(cast({v.GAP} as string), 'NA'), 'x') as fields")
+        f"coalesce(cast({v.GAP} as string), 'NA'), 'x') as fields")  # conflicting logs are refused by their layout
     layout = ing.file_layout(ing.resolve_columns(_headers(spark, sf_dir)))
     return ing.normalise(rows, layout, ["file_id"])
 
@@ -75,7 +74,7 @@ SELECT file_id, string_agg(canonical, ',' ORDER BY CASE canonical WHEN 'timestam
   SELECT DISTINCT file_id, canonical, unit FROM v_columns WHERE canonical IS NOT NULL) x
 WHERE file_id NOT IN (SELECT file_id FROM v_files WHERE cls = 11) GROUP BY 1""")
 def file_provenance(spark, sf_dir):
-    clean = _headers(spark, sf_dir).filter("not array_contains(header, 'ego_speed_kmh') or header[0] = 'timestamp_s'")
-    rows = ing.provenance_of(ing.resolve_columns(clean), clean.select("file_id"))
+    headers = _headers(spark, sf_dir)
+    rows = ing.provenance_of(ing.resolve_columns(headers), headers.select("file_id"))
     return rows.select("file_id", F.array_join("present", ",").alias("present"),
                        F.size("conversions").cast("bigint").alias("conversions"))

@@ -28,14 +28,16 @@ def local_session(cpus: int = 8, app: str = "fleetgauge", memory: str = "20g") -
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for tables that outlive a task.
 
-    The one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one.
+    The one the cluster names in ``spark.checkpoint.dir``; only in local mode (tests on one machine),
+    where that is unset, a temporary one.
     """
     context = spark.sparkContext
     folder = (spark.conf.get("spark.checkpoint.dir", None)
               or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir())
     if folder:
         return folder.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
     app = context.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="fleetgauge-")

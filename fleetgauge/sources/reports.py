@@ -9,11 +9,12 @@ from fleetgauge.operators.verification import assert_traceable
 
 
 def write_report_documents(documents: DataFrame, registry: DataFrame, own_ids: DataFrame, path: str) -> None:
-    """One JSON line per report, spread over directories by id; refuses untraceable reports."""
+    """One JSON line per report, spread over directories by id; refuses untraceable reports and lists all ids."""
     texts = documents.selectExpr("file_id AS key", "document AS text")
-    unknown = assert_traceable(texts, registry, own_ids).limit(5).collect()
-    if unknown:
-        raise ValueError(f"report cites unknown evidence IDs: {', '.join(r['evidence_id'] for r in unknown)}")
+    refused = f"{path}__unknown_ids"
+    assert_traceable(texts, registry, own_ids).write.mode("overwrite").parquet(refused)
+    if n := texts.sparkSession.read.parquet(refused).count():
+        raise ValueError(f"report cites {n} unknown evidence IDs, listed in {refused}")
     documents.select(
         F.substring("report_id", 8, 2).alias("shard"), F.col("document").alias("value")
     ).repartition("shard").write.mode("overwrite").partitionBy("shard").text(path)

@@ -49,6 +49,15 @@ def upsert_by_file(new: DataFrame, path: str, analysed: DataFrame, buckets: int
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket").parquet(path)
     )
+    # a bucket without rows is not part of the overwrite
+    filled = spark.read.schema(keyed.schema).parquet(staged).select("bucket").distinct()
+    for row in touched.select("bucket").distinct().join(filled, "bucket", "left_anti").collect():  # at most ``buckets`` rows
+        _delete(spark, f"{path}/bucket={row['bucket']}")
+
+
+def _delete(spark, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def _exists(spark, path: str) -> bool:
