@@ -35,10 +35,9 @@ from fleetgauge.llm.common import by_text
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Bytes of text per step: distinct words are sorted step by step.
-STEP = 8 << 20
-#: Entries a worker keeps from step to step.
-KEPT = 1 << 20
+#: Entries a worker keeps from step to step, of words and of pairs of pieces; full tables are begun anew.
+KEPT = 1 << 19
+KEPT_PAIRS = 1 << 18
 
 
 class Model:
@@ -101,7 +100,7 @@ class Model:
 
     def _fit(self, left: str, right: str) -> bool:
         """Whether the two pieces next to each other stay two pieces; without a left one, whether the right one stays one."""
-        if len(self.fits) >= KEPT:
+        if len(self.fits) >= KEPT_PAIRS:
             self.fits.clear()
         if left and left not in self.scores:  # a character without piece merges with nothing
             left = ""
