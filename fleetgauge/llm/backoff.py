@@ -195,8 +195,8 @@ def _packed(docs: DataFrame, known: Vocabulary, hot: tuple[np.ndarray, np.ndarra
         run, "part int, docs array<long>, length array<int>, step array<long>, doc array<int>, times array<int>, gain array<double>")
 
 
-def _joined(key, table):
-    """What the pairs of one partition of the count table add to their documents."""
+def _joined(table, bits: int):
+    """What the pairs of one partition of the count table add to their documents, packed by buckets of documents."""
     sizes, base, docs, keys, rows, times, gain = 0, [], [], [], [], [], []
     for batch in table.to_batches():
         columns = [batch.column(c) for c in ("docs", "length", "step", "doc", "times", "gain")]
@@ -210,9 +210,7 @@ def _joined(key, table):
             times.append(t.values.to_numpy())
             gain.append(g.values.to_numpy())
             sizes += len(docs[-1])
-    names = ["doc", "n_words", "log_score", "copies"]
-    first = [np.concatenate([x[i] for x in base]) if base else np.zeros(0, (np.int64, np.int32, float)[i]) for i in range(3)]
-    out = [pa.table([pa.array(first[0]), pa.array(first[1].astype(np.int64)), pa.array(first[2]), pa.array(np.ones(len(first[0]), np.int32))], names)]
+    out = [tuple(np.concatenate([x[i] for x in base]) for i in range(3)) + (1,)] if base else []
     if docs:
         docs, keys, rows, times, gain = map(np.concatenate, (docs, keys, rows, times, gain))
         _, where = np.unique(keys, return_inverse=True)
@@ -220,9 +218,26 @@ def _joined(key, table):
         some = left > 0
         ids, at = np.unique(docs, return_inverse=True)
         more = np.bincount(at[rows[some]], times[some] * np.log(left[some]) + gain[some], len(ids))
-        zero = np.zeros(len(ids), np.int64)
-        out.append(pa.table([pa.array(ids), pa.array(zero), pa.array(more), pa.array(zero.astype(np.int32))], names))
-    return pa.concat_tables(out)
+        out.append((ids, np.zeros(len(ids), np.int64), more, 0))
+    doc, length, score = (np.concatenate([x[i] for x in out]) for i in range(3))
+    copies = np.concatenate([np.full(len(x[0]), x[3]) for x in out])
+    bucket = doc & ((1 << bits) - 1)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+    groups = np.split(order, edges[1:])
+    packed = [pa.array([x[g] for g in groups], pa.list_(kind)) for x, kind in (
+        (doc, pa.int64()), (length, pa.int64()), (score, pa.float64()), (copies, pa.int64()))]
+    return pa.table([pa.array(bucket[order][edges]), *packed], ["bucket", "doc", "n_words", "log_score", "copies"])
+
+
+def _totals(table):
+    """Sums per document of one bucket of documents."""
+    doc, length, score, copies = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("doc", "n_words", "log_score", "copies"))
+    ids, at = np.unique(doc, return_inverse=True)
+    n = np.zeros(len(ids), np.int64)
+    np.maximum.at(n, at, length)
+    return pa.table([pa.array(ids), pa.array(n), pa.array(np.bincount(at, score, len(ids))),
+                     pa.array(np.bincount(at, copies, len(ids)).astype(np.int64))], ["doc", "n_words", "s", "copies"])
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -232,9 +247,9 @@ def scores(docs: DataFrame) -> DataFrame:
     bits = max(4, (size // PART).bit_length())
     known = vocabulary(keyed)
     parts = _packed(keyed, known, hot_pairs(keyed, known), bits).groupBy("part").applyInArrow(
-        _joined, "doc long, n_words long, log_score double, copies int")
+        lambda table: _joined(table, bits),
+        "bucket long, doc array<long>, n_words array<long>, log_score array<double>, copies array<long>")
     # rows that repeat doc_id and text have one key: their base scores are equal and their gains are summed
-    by_doc = parts.groupBy("doc").agg(
-        F.max("n_words").alias("n_words"), F.sum("log_score").alias("s"), F.sum("copies").alias("copies"))
+    by_doc = parts.groupBy("bucket").applyInArrow(_totals, "doc long, n_words long, s double, copies long")
     out = keyed.select("doc_id", "doc").join(by_doc, "doc")
     return out.selectExpr("doc_id", "n_words", "s / copies AS log_score", "IF(n_words > 0, s / copies / n_words, NULL) AS mean_log_score")
