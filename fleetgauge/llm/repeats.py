@@ -9,11 +9,13 @@ in every round, many times the input. Here a round only sees positions that may
    offset. Neighbouring windows mostly choose the same position; these are a run, one row for about 76 bytes. Runs
    whose 50-byte name is unique in the corpus hold no repeated window and drop out.
 2. Runs that agree on the whole stretch their windows cover are repeated as a whole and settled.
-3. Only where one 50-byte name occurs in different stretches, the windows of one run per stretch are named by doubling to
-   200 bytes, and names that occur twice are repeated.
+3. Where one 50-byte name occurs in different stretches, one run per stretch goes on. Its windows fall into three
+   parts, each with 150 bytes, the core, that all windows of the part hold; parts whose core no other stretch has drop out.
+4. The windows of the other parts are named by doubling to 200 bytes, and names that occur twice are repeated.
 
-Names are 64-bit hashes; in step 2 two together tell stretches apart. Counts are combined before the
-shuffle, so a passage in a third of the documents is no hot group.
+Names are 64-bit hashes; in step 2 two together tell stretches apart. Cores only rule parts out, so 20 bits next to the
+50-byte name do: equal strings have equal cores. Counts are combined before the shuffle, so a passage in a third of
+the documents is no hot group.
 
 Defined cases: null text is empty; texts under 200 bytes lose nothing; a repeated row counts as a further document, so
 both lose what they share; the spans of a document are merged.
@@ -37,6 +39,9 @@ SPAN = 200
 GRAM = 50
 #: Bytes looked at in one go; a longer text is cut, with an overlap of a window.
 CHUNK = 1 << 22
+#: Parts of a run by the place of its name in a window, 0 to 49, 50 to 99 and 100 to 150 bytes in; bits kept of their cores.
+PARTS = 3
+CORE_BITS = 20
 PLACE = np.uint64((1 << 24) - 1)
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -68,9 +73,9 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows: row, first window within the row, number, 50-byte name, and the name of the stretch."""
+    """Runs of windows: row, first window in the row, number, how far in the name is, 50-byte name, name of the stretch, cores."""
     if len(data) < SPAN:
-        return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return *(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(3))
     grams = names_of(data, GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
     least = _least(grams & ~PLACE | place, SPAN - GRAM + 1)
@@ -87,7 +92,17 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = prefix(PLAIN[data], up)
     shape = (at[first] - first).astype(np.uint64) * np.uint64(1 << 20) + count.astype(np.uint64)
     stretch = mix((sums[edge + SPAN] - sums[first]) * down[first] + shape * _OTHER)
-    return rows[first], first - offsets[rows[first]], count, grams[at[first]], stretch
+    return rows[first], first - offsets[rows[first]], count, at[first] - first, grams[at[first]], stretch, _cores(grams, at[first])
+
+
+def _cores(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bits of the names of the 150 bytes from 0, 50 and 100 bytes before each place; parts without windows may hold anything."""
+    packed = np.zeros(len(at), np.uint64)
+    for part in range(PARTS):
+        start = np.clip(at - part * GRAM, 0, len(grams) - 1 - 2 * GRAM)
+        core = mix(grams[start] * _OTHER + mix(grams[start + GRAM] * _OTHER + mix(grams[start + 2 * GRAM])))
+        packed |= core >> np.uint64(64 - CORE_BITS) << np.uint64(CORE_BITS * part)
+    return packed
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -102,20 +117,33 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """``doc, first, many, gram, stretch``: see step 1. ``docs`` has ``doc`` (a long per row) and ``text``."""
+    """``doc, first, many, inset, gram, stretch, cores``: see step 1. ``docs`` has ``doc`` (a long per row) and ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch):
                 ids = piece.column("doc").to_numpy()
                 for data, offsets, row, place in _chunks(*bytes_of(piece.column("text"))):
-                    rows, first, many, gram, stretch = _runs(data, offsets)
+                    rows, first, many, inset, *names = _runs(data, offsets)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[rows + row]), pa.array(first + place), pa.array(many.astype(np.int32)),
-                         pa.array(gram.view(np.int64)), pa.array(stretch.view(np.int64))],
-                        ["doc", "first", "many", "gram", "stretch"])
+                         pa.array(inset.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in names)],
+                        ["doc", "first", "many", "inset", "gram", "stretch", "cores"])
+
+    return docs.select("doc", "text").mapInArrow(
+        run, "doc long, first long, many int, inset int, gram long, stretch long, cores long")
+
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, first long, many int, gram long, stretch long")
+def parts(table: DataFrame) -> DataFrame:
+    """``doc, first, many`` of the parts of runs (``gram, x`` with a run in ``x``) whose core occurs in two of them; see step 3."""
+    # a window that starts o bytes before the name is in part o div 50, the last one with o = 150
+    cut = table.selectExpr("gram", "x.*", f"explode(sequence(0, {PARTS - 1})) AS part").selectExpr(
+        "gram", "doc", "part", f"shiftright(cores, {CORE_BITS} * part) & {(1 << CORE_BITS) - 1} AS core", "first", "inset",
+        f"least(inset, IF(part = {PARTS - 1}, {SPAN - GRAM}, part * {GRAM} + {GRAM - 1})) AS far",
+        f"greatest(inset - many + 1, part * {GRAM}) AS near").where("far >= near")
+    cut = stored(cut.selectExpr("gram", "part", "core", "doc", "first + inset - far AS first", "far - near + 1 AS many"), "repeat-parts")
+    several = cut.groupBy("gram", "part", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return cut.join(several, ["gram", "part", "core"], "left_semi").select("doc", "first", "many")
 
 
 def _windows(data: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,14 +210,17 @@ def _removed(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[int
 
 def spans(docs: DataFrame) -> DataFrame:
     """``doc, first, stop``: stretches of bytes covered by repeated strings, not merged. ``docs`` has ``doc, text``."""
-    kinds = stored(runs(docs).groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n")), "repeat-kinds")
-    shared = kinds.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    asked = stored(kinds.join(shared, "gram").select("gram", "stretch", "n", "kinds"), "repeat-asked")
-    found = stored(runs(docs).join(asked, ["gram", "stretch"]), "repeat-runs")
-    settled = found.where("n > 1").selectExpr("doc", "first", f"first + many + {SPAN - 1} AS stop")
-    one_each = found.where("kinds > 1").groupBy("gram", "stretch").agg(F.min(F.struct("doc", "first", "many")).alias("x"))
+    again = runs(docs).groupBy("gram").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("gram")
+    asked = runs(docs).join(stored(again, "repeat-names"), "gram", "left_semi")
+    shared = stored(asked, "repeat-shared")
+    kinds = stored(shared.groupBy("gram", "stretch").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "many", "inset", "cores")).alias("x")), "repeat-kinds")
+    whole = kinds.where("n > 1").select("gram", "stretch")
+    settled = shared.join(whole, ["gram", "stretch"], "left_semi").selectExpr("doc", "first", f"first + many + {SPAN - 1} AS stop")
+    several = stored(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "repeat-several")
+    one_each = kinds.join(several, "gram", "left_semi")
     wanted = stored(
-        one_each.selectExpr("x.*").groupBy("doc").agg(F.collect_list(F.struct("first", "many")).alias("runs")), "repeat-wanted")
+        parts(one_each).groupBy("doc").agg(F.collect_list(F.struct("first", "many")).alias("runs")), "repeat-wanted")
     texts = docs.select("doc", "text").join(wanted, "doc").dropDuplicates(["doc"])
     # the run that stands for a kind speaks for it: with n > 1 all runs of the kind are settled
     single = repeated_windows(texts).selectExpr("doc", "place AS first", f"place + {SPAN} AS stop")
