@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +135,25 @@ def runs(docs: DataFrame) -> DataFrame:
         run, "doc long, first long, many int, inset int, gram long, stretch long, cores long")
 
 
+def packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and ``body``, the compressed bytes of ``text``: whole texts go through two shuffles."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor()
+        for batch in batches:
+            for piece in steps(batch):
+                bodies = [coder.compress(text.as_py().encode()) for text in piece.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [*(piece.column(c) for c in keep), pa.array(bodies, pa.binary())], [*keep, "body"])
+
+    kinds = dict(docs.dtypes)
+    return docs.select(*keep, "text").mapInArrow(pack, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", body binary")
+
+
+def _unpacked(body: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_py()), np.uint8)
+
+
 def parts(table: DataFrame) -> DataFrame:
     """``doc, first, many`` of the parts of runs (``gram, x`` with a run in ``x``) whose core occurs in two of them; see step 3."""
     # a window that starts o bytes before the name is in part o div 50, the last one with o = 150
@@ -158,15 +178,15 @@ def _windows(data: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
-    """``doc, place`` of repeated windows among the runs that ``texts`` (``doc, text, runs``) asks for.
+    """``doc, place`` of repeated windows among the runs that ``texts`` (``doc, body, runs``) asks for.
 
     ``runs`` holds ``first, many``. The names meet by one shuffle and a sort; equal ones are neighbours.
     """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, asked in zip(*(batch.column(c) for c in ("doc", "text", "runs"))):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
+            for doc, body, asked in zip(*(batch.column(c) for c in ("doc", "body", "runs"))):
+                data = _unpacked(body)
                 first, many = (asked.values.field(c).to_numpy().astype(np.int64) for c in ("first", "many"))
                 places, names = _windows(data, first, many)
                 yield pa.RecordBatch.from_arrays(
@@ -193,7 +213,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     def out(rows: list, at: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(rows[1][at]), pa.array(rows[2][at])], ["doc", "place"])
 
-    named = texts.select("doc", "text", "runs").mapInArrow(name, "name long, doc long, place long")
+    named = texts.select("doc", "body", "runs").mapInArrow(name, "name long, doc long, place long")
     placed = named.repartition("name").sortWithinPartitions("name")
     return placed.mapInArrow(equal, "doc long, place long")
 
@@ -221,7 +241,7 @@ def spans(docs: DataFrame) -> DataFrame:
     one_each = kinds.join(several, "gram", "left_semi")
     wanted = stored(
         parts(one_each).groupBy("doc").agg(F.collect_list(F.struct("first", "many")).alias("runs")), "repeat-wanted")
-    texts = docs.select("doc", "text").join(wanted, "doc").dropDuplicates(["doc"])
+    texts = packed(docs, "doc").join(wanted, "doc").dropDuplicates(["doc"])
     # the run that stands for a kind speaks for it: with n > 1 all runs of the kind are settled
     single = repeated_windows(texts).selectExpr("doc", "place AS first", f"place + {SPAN} AS stop")
     return settled.unionByName(single)
@@ -234,10 +254,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in steps(batch):
+            for piece in steps(batch, "body"):
                 sizes, got = [], []
-                for text, found in zip(piece.column("text"), piece.column("spans")):
-                    data = np.frombuffer(text.as_py().encode(), np.uint8)
+                for body, found in zip(piece.column("body"), piece.column("spans")):
+                    data = _unpacked(body)
                     none = np.zeros(0, np.int64)
                     first, stop = (found.values.field(c).to_numpy() if found.is_valid else none for c in ("first", "stop"))
                     sizes.append(len(data))
@@ -247,6 +267,6 @@ def dedup(docs: DataFrame) -> DataFrame:
                      pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.string())],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = keyed.join(gone, "doc", "left").select("doc_id", "text", "spans")
+    joined = packed(keyed, "doc_id", "doc").join(gone, "doc", "left").select("doc_id", "body", "spans")
     return joined.mapInArrow(
         cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
