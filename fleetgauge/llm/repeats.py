@@ -250,7 +250,9 @@ def spans(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row of ``docs``."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    gone = stored(spans(keyed).groupBy("doc").agg(F.collect_list(F.struct("first", "stop")).alias("spans")), "repeat-spans")
+    # a span as one long: where it begins, and its length, which is below 512, in the low bits
+    coded = spans(keyed).selectExpr("doc", "shiftleft(first, 9) + (stop - first) AS span")
+    gone = stored(coded.groupBy("doc").agg(F.collect_list("span").alias("spans")), "repeat-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,9 +261,9 @@ def dedup(docs: DataFrame) -> DataFrame:
                 for body, found in zip(piece.column("body"), piece.column("spans")):
                     data = _unpacked(body)
                     none = np.zeros(0, np.int64)
-                    first, stop = (found.values.field(c).to_numpy() if found.is_valid else none for c in ("first", "stop"))
+                    codes = found.values.to_numpy() if found.is_valid else none
                     sizes.append(len(data))
-                    got.append(_removed(data, first, stop))
+                    got.append(_removed(data, codes >> 9, (codes >> 9) + (codes & 511)))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([x[0] for x in got], pa.int64()),
                      pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.string())],
