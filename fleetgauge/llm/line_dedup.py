@@ -1,16 +1,19 @@
-"""Near-duplicate lines by MinHash, in DataFrame and SQL functions only.
+"""Near-duplicate lines by MinHash.
 
 A line is a piece of a text between line feeds that holds a character other than ASCII white space. Its shingles are
 its runs of ``SHINGLE`` characters (a shorter line is one shingle). Each shingle is hashed once; ``BANDS * ROWS``
-linear functions of the hash give the minima of the signature, kept for each line by a plain aggregation of
-longs. Lines that agree on all rows of a band share a bucket. Each line of a bucket is compared with the
-bucket's smallest and largest line, by the exact Jaccard similarity of the shingle sets, and linked at ``SIMILAR`` or
-more; so a bucket gives two candidates per line, however large it is, and a line has a chance in each band. Connected
-components of the links, with equal lines as one node, keep their first line (by document, then position); the
-other ones are removed.
+multiples of the hash give the minima of the signature. Lines that agree on all rows of a band share a bucket. Each line of
+a bucket is compared with the bucket's smallest and largest line, by the exact Jaccard similarity of the shingle sets, and
+linked at ``SIMILAR`` or more; so a bucket gives two candidates per line, however large it is, and a line has a chance
+in each band. Connected components of the links, with equal lines as one node, keep their first line (by document, then
+position); the other ones are removed.
+
+Cutting, bucketing, joining and grouping are DataFrame functions. The signatures and the similarity of a pair are numpy
+functions over Arrow batches of lines: as DataFrame functions they need a row per character, which takes more
+than three times the CPU time allowed.
 
 A pair at the threshold meets in some band with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.985, at 0.9 with 0.9999.
-Lines are told apart by a 64-bit hash.
+Lines and shingles are told apart by 64-bit hashes.
 
 Defined cases: null text has no lines and stays null; blank lines are never removed; rows that repeat doc_id and
 text share their decisions; documents may lose all lines and stay, with empty text; ``n_chars`` follows the text
@@ -19,68 +22,109 @@ where it is a column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import components
+from fleetgauge.llm.common import components, steps
+from fleetgauge.llm.words import PLAIN, bytes_of, mix, powers, prefix
 from fleetgauge.session import stored
 
 SHINGLE = 8
 ROWS = 4
 BANDS = 8
 SIMILAR = 0.8
-#: Shingles are cut from pieces of a line, as reaching far into a long string takes time in proportion.
-PIECE = 64
-
-
-def _odd(i: int) -> int:
-    """Multiplier of the i-th function: an odd number of 31 bits, so that products of 31-bit hashes stay longs."""
-    return (((i + 1) * 0x9E3779B97F4A7C15 ^ (i + 7) * 0xC2B2AE3D27D4EB4F) >> 20 & 0x7FFFFFFF) | 1
+#: Bytes of lines that are shingled at a time; the arrays of a step stay near the processor.
+STEP = 1 << 18
+#: Odd multipliers of the hash functions of the signature.
+FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id, hash`` (of the text), ``pos, line, node`` of every line that isn't blank."""
-    every = docs.where("text IS NOT NULL").select(
-        "doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    split = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.split("text", "\n").alias("all"))
+    every = split.select("doc_id", "hash", F.posexplode("all").alias("pos", "line"))
     return every.where(F.translate("line", " \t\x0b\x0c\r", "") != "").withColumn("node", F.xxhash64("line"))
 
 
-def shingled(table: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and each ``shingle`` of ``line``, repeats included."""
-    n = f"greatest(length(line) - {SHINGLE - 1}, 1)"
-    pieces = table.selectExpr(*keep, "line", f"explode(sequence(0, {n} - 1, {PIECE})) AS _at", f"{n} AS _n")
-    cut = pieces.selectExpr(*keep, f"substring(line, _at + 1, {PIECE + SHINGLE - 1}) AS _part", f"least({PIECE}, _n - _at) AS _m")
-    return cut.selectExpr(*keep, "_part", "explode(sequence(1, _m)) AS _i").selectExpr(*keep, f"substring(_part, _i, {SHINGLE}) AS shingle")
-
-
-def signatures(table: DataFrame) -> DataFrame:
-    """``node`` and ``BANDS * ROWS`` minima ``m0, m1, ...`` of 32 bits each."""
-    hashed = shingled(table, "node").selectExpr("node", "xxhash64(shingle) & 2147483647L AS h")
-    minima = [F.min(F.expr(f"cast(shiftright(h * {_odd(i)}L, 15) & 2147483647L AS int)")).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    return hashed.groupBy("node").agg(*minima)
-
-
-def candidates(signed: DataFrame) -> DataFrame:
+def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of every line, repeats included, and where each line's begin (with the end last)."""
+    data, offsets = bytes_of(column)
+    if (data < 128).all():
+        chars, at = np.arange(len(data) + 1), offsets
+    else:
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        at = np.searchsorted(chars, offsets)
+    begins = np.zeros(len(at), np.int64)
+    counts = np.maximum(np.diff(at) - (SHINGLE - 1), 1)
+    np.cumsum(counts, out=begins[1:])
+    start = np.arange(begins[-1]) + np.repeat(at[:-1] - begins[:-1], counts)
+    stop = chars[np.minimum(start + SHINGLE, np.repeat(at[1:], counts))]
+    start = chars[start]
+    up, down = powers(len(data) + 1)
+    sums = prefix(PLAIN[data], up)
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)), begins
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in steps(batch, "line", STEP):
+            nodes, first = np.unique(piece.column("node").to_numpy(), return_index=True)
+            hashes, begins = shingles(piece.column("line").take(pa.array(first)))
+            keys = np.empty((len(nodes), BANDS), np.uint64)
+            for band in range(BANDS):
+                key = np.full(len(nodes), band, np.uint64)
+                for factor in FACTORS[band * ROWS:(band + 1) * ROWS]:
+                    key = mix(key * FACTORS[0] + np.minimum.reduceat(hashes * factor, begins[:-1]))
+                keys[:, band] = key
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(keys.ravel().view(np.int64))], ["node", "bucket"])
+
+
+def buckets(table: DataFrame) -> DataFrame:
+    """``node`` and ``bucket``, one row per band of every line; a line that occurs again may have its rows again."""
+    return table.select("node", "line").mapInArrow(_buckets, "node long, bucket long")
+
+
+def candidates(placed: DataFrame) -> DataFrame:
     """Distinct pairs ``(a, b)`` of nodes: each node of a bucket with the bucket's smallest and largest node."""
-    bands = ", ".join(
-        f"xxhash64({i}, {', '.join(f'm{i * ROWS + r}' for r in range(ROWS))})" for i in range(BANDS))
-    buckets = stored(signed.selectExpr("node", f"explode(array({bands})) AS bucket"), "line-buckets")
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    placed = stored(placed, "line-buckets")
+    ends = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     ends = stored(ends, "line-ends")
-    return buckets.join(ends, "bucket").selectExpr("node", "explode(array(lo, hi)) AS other").where(
+    return placed.join(ends, "bucket").selectExpr("node", "explode(array(lo, hi)) AS other").where(
         "node <> other").selectExpr("least(node, other) AS a", "greatest(node, other) AS b").distinct()
 
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in steps(batch, "line_b", STEP):
+            sets = []
+            for side in ("a", "b"):
+                nodes = piece.column(side).to_numpy()
+                _, first, of = np.unique(nodes, return_index=True, return_inverse=True)
+                hashes, begins = shingles(piece.column(f"line_{side}").take(pa.array(first)))
+                values = hashes.tolist()
+                sets.append(([frozenset(values[i:j]) for i, j in zip(begins[:-1].tolist(), begins[1:].tolist())], of.tolist()))
+            (left, of_left), (right, of_right) = sets
+            linked = np.zeros(piece.num_rows, bool)
+            for i, (x, y) in enumerate(zip(of_left, of_right)):
+                a, b = left[x], right[y]
+                # the smaller set bounds what both share
+                if min(len(a), len(b)) >= SIMILAR * max(len(a), len(b)):
+                    both = len(a & b)
+                    linked[i] = both >= SIMILAR * (len(a) + len(b) - both)
+            yield piece.select(["a", "b"]).filter(pa.array(linked))
+
+
 def links(table: DataFrame) -> DataFrame:
     """Verified links ``(a, b)`` between different lines."""
-    pairs = stored(candidates(signatures(table)), "line-pairs")
+    pairs = stored(candidates(buckets(table)), "line-pairs")
     needed = stored(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "line-needed")
     texts = stored(table.select("node", "line").join(needed, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-    n = f"greatest(length(line) - {SHINGLE - 1}, 1)"
-    sets = texts.selectExpr("node", f"array_distinct(transform(sequence(1, {n}), i -> substring(line, i, {SHINGLE}))) AS s")
-    both = pairs.join(sets.selectExpr("node AS a", "s AS sa"), "a").join(sets.selectExpr("node AS b", "s AS sb"), "b")
-    shared = both.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return shared.where(f"both >= {SIMILAR} * (size(sa) + size(sb) - both)").select("a", "b")
+    both = pairs.join(texts.selectExpr("node AS a", "line AS line_a"), "a").join(texts.selectExpr("node AS b", "line AS line_b"), "b")
+    return both.select("a", "b", "line_a", "line_b").mapInArrow(_similar, "a long, b long")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
