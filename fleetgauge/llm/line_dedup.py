@@ -37,6 +37,8 @@ SHINGLE = 8
 ROWS = 4
 BANDS = 8
 SIMILAR = 0.8
+#: Condition of a line that isn't blank; it looks no further than the first other character.
+FILLED = "trim(LEADING ' \\t\\u000b\\u000c\\r' FROM {}) <> ''"
 #: Bytes of lines that are shingled at a time; the arrays of a step stay near the processor.
 STEP = 1 << 18
 #: Odd multipliers of the hash functions of the signature.
@@ -47,7 +49,7 @@ def lines(docs: DataFrame) -> DataFrame:
     """``doc_id, hash`` (of the text), ``pos, line, node`` of every line that isn't blank."""
     split = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.split("text", "\n").alias("all"))
     every = split.select("doc_id", "hash", F.posexplode("all").alias("pos", "line"))
-    return every.where(F.translate("line", " \t\x0b\x0c\r", "") != "").withColumn("node", F.xxhash64("line"))
+    return every.where(FILLED.format("line")).withColumn("node", F.xxhash64("line"))
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,5 +155,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     out = {"text": "_kept"} | ({"n_chars": "cast(length(_kept) AS bigint)"} if "n_chars" in docs.columns else {})
     return kept.selectExpr(
         *[f"{out[c]} AS `{c}`" if c in out else f"`{c}`" for c in docs.columns],
-        "coalesce(size(filter(_split, x -> translate(x, ' \\t\\u000b\\f\\r', '') <> '')), 0) AS _lines",
+        f"coalesce(size(filter(_split, x -> {FILLED.format('x')})), 0) AS _lines",
         "coalesce(size(_gone), 0) AS _removed")
