@@ -136,6 +136,12 @@ COUNTERS = (
 )
 
 
+def without_nan(telemetry: DataFrame) -> DataFrame:
+    """NaN samples as missing ones; Spark takes NaN for a value above all others."""
+    floating = {name for name, kind in telemetry.dtypes if kind in ("double", "float")}
+    return telemetry.withColumns({c: F.expr(f"nanvl({c}, NULL)") for c in (v.TIMESTAMP, *v.SIGNALS) if c in floating})
+
+
 def signal_counters() -> list[Column]:
     """Counters of all gates, for one pass per log."""
     t = v.TIMESTAMP

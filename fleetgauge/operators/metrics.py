@@ -219,6 +219,7 @@ def log_profile(
     policy: QualityPolicy = QualityPolicy(),
 ) -> DataFrame:
     """Gate counters, verdict and event times, one row per log, from one pass plus the interval pass."""
+    telemetry = gates.without_nan(telemetry)
     return gates.judge(
         gates.quality_profile(telemetry, provenance, policy, ev.event_aggregates(thresholds)), policy)
 
@@ -232,7 +233,7 @@ class Analysis:
 
     def __init__(self, telemetry: DataFrame, provenance: DataFrame, profile: DataFrame,
                  thresholds: AebThresholds = AebThresholds()):
-        self.telemetry, self.provenance, self.thresholds = telemetry, provenance, thresholds
+        self.telemetry, self.provenance, self.thresholds = gates.without_nan(telemetry), provenance, thresholds
         self.everything = profile
 
     @cached_property

@@ -26,6 +26,14 @@ OUTPUT_SCHEMA = (
 FENCE_PATTERN = r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$"
 
 
+# The parser stops behind the first value. Only a body that is one whole value is valid both in a list and in an object.
+WHOLE_JSON = (
+    "IF(try_parse_json(concat('{\"one\":', _body, '}')) IS NOT NULL "
+    "AND try_variant_get(try_parse_json(concat('[', _body, ']')), '$[1]', 'variant') IS NULL, "
+    "try_variant_get(try_parse_json(concat('[', _body, ']')), '$[0]', 'variant'), NULL)"
+)
+
+
 # --- raw model output ------------------------------------------------------------------------
 
 
@@ -33,21 +41,39 @@ def parse_agent_outputs(raw: DataFrame) -> DataFrame:
     """``run_id, raw`` to typed output plus ``rejected`` (null when accepted).
 
     One surrounding code fence is tolerated. Anything that is not an object of the agreed shape
-    is rejected whole.
+    is rejected whole: single quotes, text behind the object, and fields that are null or of another JSON type.
+    Fields may be left out.
     """
+    def list_of_texts(doc: str, field: str, typed: str) -> str:
+        shape = f"schema_of_variant(try_variant_get({doc}, '$.{field}', 'variant'))"
+        return f"(coalesce({shape}, 'ARRAY<STRING>') NOT IN ('ARRAY<STRING>', 'ARRAY<VOID>') OR exists(coalesce({typed}, array()), x -> x IS NULL))"
+
+    def type_of(doc: str, field: str) -> str:
+        return f"schema_of_variant(try_variant_get({doc}, '$.{field}', 'variant'))"
+
+    lists = " OR ".join(list_of_texts("_doc", f, f"output.{f}") for f in ("observations", "missing_evidence", "recommended_next_tests"))
+    bad_types = (
+        f"{type_of('j', 'cause')} <> 'STRING' OR coalesce({type_of('j', 'failure_class')}, 'STRING') <> 'STRING' "
+        f"OR NOT ({type_of('j', 'confidence')} IN ('BIGINT', 'DOUBLE') OR {type_of('j', 'confidence')} LIKE 'DECIMAL%') "
+        f"OR {list_of_texts('j', 'evidence_ids', 'cast(null AS array<string>)')} "
+        "OR exists(coalesce(try_variant_get(j, '$.evidence_ids', 'array<string>'), array()), x -> x IS NULL)"
+    )
     fence = text(FENCE_PATTERN)
     parsed = raw.withColumn("_body", F.expr(
         f"IF(raw rlike {fence}, regexp_extract(raw, {fence}, 1), raw)"
     )).withColumn("output", F.from_json(
-        "_body", OUTPUT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+        "_body", OUTPUT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"},
+    )).withColumn("_doc", F.expr(WHOLE_JSON))
     bad_item = (
         "h IS NULL OR h.cause IS NULL OR h.cause = '' OR h.confidence IS NULL OR h.confidence < 0 "
         f"OR h.confidence > 1 OR coalesce(h.failure_class, 'unknown') NOT IN ({texts(v.FAILURE_CLASSES)})"
     )
     rejected = (
         r"CASE WHEN NOT coalesce(_body rlike '(?s)^\\s*\\{.*\\}\\s*$', false) OR output IS NULL "
-        "OR output._corrupt IS NOT NULL THEN 'model output is not JSON of the agreed shape' "
-        f"WHEN exists(coalesce(output.hypotheses, array()), h -> coalesce({bad_item}, true)) "
+        "OR output._corrupt IS NOT NULL OR _doc IS NULL THEN 'model output is not JSON of the agreed shape' "
+        f"WHEN {lists} OR coalesce({type_of('_doc', 'hypotheses')}, 'ARRAY<') NOT LIKE 'ARRAY<%' "
+        f"OR exists(coalesce(output.hypotheses, array()), h -> coalesce({bad_item}, true)) "
+        f"OR exists(coalesce(try_variant_get(_doc, '$.hypotheses', 'array<variant>'), array()), j -> coalesce({bad_types}, true)) "
         "THEN 'model output does not match the schema' END"
     )
     return parsed.selectExpr(

@@ -1,10 +1,11 @@
 """Cases found in review: type suffixes, emptied buckets, map order, several approvals, conflicting headers."""
 
 import pytest
+from helpers import frames, log
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
-from fleetgauge.operators import evaluation, ingest, reports
+from fleetgauge.operators import evaluation, ingest, metrics, reports, verification
 from fleetgauge.sources import tables
 from fleetgauge.sources.reports import write_report_documents
 
@@ -61,3 +62,40 @@ def test_refusal_lists_all_unknown_ids(spark, tmp_path):
     with pytest.raises(ValueError, match="9 unknown"):
         write_report_documents(documents, none, none, path)
     assert spark.read.parquet(f"{path}__unknown_ids").count() == 9
+
+
+GOOD = '{"cause": "late braking", "confidence": 0.5, "evidence_ids": ["metric_1"]}'
+ANSWERS = {
+    '{"hypotheses": [%s]}' % GOOD: True,
+    '{"hypotheses": [{"cause": "c", "confidence": 1}], "observations": [], "missing_evidence": ["x"]}': True,
+    '```json\n{"observations": ["a"]}\n```': True,
+    '{"observations": null}': False,
+    '{"observations": [1, 2]}': False,
+    '{"observations": [{"a": 1}]}': False,
+    '{"observations": ["a", null]}': False,
+    '{"hypotheses": null}': False,
+    '{"hypotheses": [{"cause": "c", "confidence": 0.5, "failure_class": null}]}': False,
+    '{"hypotheses": [{"cause": "c", "confidence": 0.5, "evidence_ids": null}]}': False,
+    '{"hypotheses": [{"cause": "c", "confidence": "0.5"}]}': False,
+    "{'observations': ['a']}": False,
+    '{"observations": ["a"]} and {"hypotheses": [}': False,
+    '{"observations": ["a"]} {"observations": ["b"]}': False,
+    '{"observations": ["a"]}, {"observations": ["b"]}': False,
+    '{"observations": ["a"]}] {}': False,
+    '{"observations": ["a"]}} {}': False,
+}
+
+
+def test_answers_of_another_shape_are_rejected(spark):
+    raw = spark.createDataFrame([(str(i), t) for i, t in enumerate(ANSWERS)], "run_id string, raw string")
+    accepted = {r.run_id: r.rejected is None for r in verification.parse_agent_outputs(raw).collect()}
+    assert {t: accepted[str(i)] for i, t in enumerate(ANSWERS)} == ANSWERS
+
+
+def test_nan_samples_are_missing_ones(spark):
+    def change(r, x):
+        if 100 <= r < 130:
+            x["conf"], x["speed"] = float("nan"), float("nan")
+
+    row = metrics.log_profile(*frames(spark, log(change=change))).first()
+    assert row[f"null_{v.CONF}"] == row[f"null_{v.SPEED}"] == 30 and row[f"bad_{v.CONF}"] == row[f"bad_{v.SPEED}"] == 0
