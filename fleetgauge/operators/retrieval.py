@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
 from fleetgauge.functions import text as tx
+from fleetgauge.operators.segments import ranked
 from fleetgauge.policies import RetrievalFilters, RetrievalWeights
+from fleetgauge.session import stored
 
 DIMENSION = 32
 K1, B = 1.5, 0.75
@@ -270,12 +272,13 @@ def hybrid_retrieve(
     Arrow batches as matrices and emit the extremes in a first pass and ``top_k`` rows per query
     and batch in a second. Pairs never become rows. More queries mean more blocks, not a bigger one.
     """
-    # hash blocks at half the allowed size on average; one block when all queries fit
-    total = queries.count()
-    blocks = 1 if total <= QUERY_BLOCK else -(-2 * total // QUERY_BLOCK)
-    embedded = queries.select("query_id", "query").join(
-        hashed_embedding(queries, "query_id", "query"), "query_id"
-    ).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    order = F.xxhash64("query_id")
+    numbered = stored(ranked(
+        queries.select("query_id", "query", F.lit(0).alias("_all")), ["_all"], [order, F.col("query_id")],
+        F.shiftright(order, 52), "number").select("query_id", "query", "number"), "query-blocks")
+    blocks = -(-numbered.count() // QUERY_BLOCK) or 1
+    embedded = numbered.join(hashed_embedding(queries, "query_id", "query"), "query_id").withColumn(
+        "block", F.floor(F.col("number") / QUERY_BLOCK))
     stats = corpus_stats(indexed).first()
     candidates = metadata_filter(access_wall(indexed, filters.allowed_access), filters).select(
         "chunk_id", "file_name", "ordinal", "doc_len", "vector", "norm",
