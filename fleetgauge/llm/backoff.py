@@ -4,9 +4,10 @@ The model is the corpus itself, each document left out of its own counts. The sc
 c(a b) / c(a) if the pair occurs elsewhere, else ``BACKOFF`` * c(b) / N; a first word has c(b) / N; a word that occurs nowhere
 else counts ``UNSEEN``. All counts are of the whole corpus less the document's own.
 
-The vocabulary holds the words with at least ceil(N / 2^``BITS``) occurrences, 2^``BITS`` at most by that very rule, so its
-table may go to every task; all other words are one unknown word, as usual in such models. A pair is then two ids of
-``BITS`` bits, which a bijection scatters over the number range; its upper part is the partition of the pair's counts.
+Every word counts for itself. The words with at least ceil(N / 2^``BITS``) occurrences, 2^``BITS`` at most by that very rule,
+are frequent and their counts go to every task; the other ones are rare and known by their 64-bit hashes. A pair of frequent
+words is two ids of ``BITS`` bits, which a bijection scatters over the number range; a pair with a rare word is a 63-bit
+hash. The upper part of either is the partition of the pair's counts.
 
 1. Word counts: combined per step of text, then summed by hash.
 2. Pairs that are frequent within steps (``LOCAL`` times) and make up 2^-``HOT`` of the corpus, at most 2^``HOT``: their exact
@@ -14,6 +15,9 @@ table may go to every task; all other words are one unknown word, as usual in su
 3. All other pairs are exploded per document and go to the partition of their count table as packed columns, sorted
    and delta coded. There the counts are summed and joined back to the documents' pairs; what the pairs found
    elsewhere add to their documents is summed per document.
+4. The logarithm of a rare word's count enters its document's score once per occurrence, and leaves it again where a pair
+   was found elsewhere. These factors go to the partition of the word, where the count is known. A rare word has fewer than
+   N / 2^``BITS`` occurrences, so neither it nor its pairs gather in one partition.
 
 Defined cases: null and blank text has no words, log score 0 and null mean; words are runs of characters other than ASCII
 white space, A-Z lowered; a repeated row is a further document; a lone document has N = 0, which counts as 1.
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.common import steps
-from fleetgauge.llm.words import LOWER, bytes_of, word_hashes
+from fleetgauge.llm.words import LOWER, bytes_of, mix, word_hashes
 from fleetgauge.session import stored
 
 BACKOFF = 0.4
@@ -39,26 +43,23 @@ HOT = 14
 LOCAL = 8
 #: Bytes of text whose pairs make up a partition of the count table.
 PART = 16 << 20
-WIDE = (1 << 2 * BITS) - 1
-_ODD = 0x9E3779B97F4A7C15 & WIDE | 1
-
 INSIDE = np.ones(256, np.int8)
 INSIDE[[9, 10, 11, 12, 13, 32]] = 0
 
 
 class Vocabulary:
-    """Word hashes in order with their counts; the last id is the unknown word."""
+    """Hashes of the frequent words in order with their counts; ``bits`` is the width of an id."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, bits: int):
         order = np.argsort(words)
-        self.words, self.total = words[order], total
-        self.counts = np.append(counts[order], total - counts.sum())
+        self.words, self.counts, self.total, self.bits = words[order], counts[order], total, bits
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id of each word, -1 if it is rare, and its number among the distinct words given."""
         distinct, where = np.unique(hashes, return_inverse=True)
         at = np.minimum(np.searchsorted(self.words, distinct), max(len(self.words) - 1, 0))
         known = self.words[at] == distinct if len(self.words) else np.zeros(len(distinct), bool)
-        return np.where(known, at, len(self.words))[where]
+        return np.where(known, at, -1)[where], where
 
 
 def _hashes(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -85,30 +86,36 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 
     counts = stored(_summed(docs, words), "lm-words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = counts.where(F.col("n") >= max(1, -(-total >> BITS))).toArrow()  # fewer than 2^BITS rows
-    return Vocabulary(frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy(), total)
+    frequent = counts.where(F.col("n") >= max(1, -(-total >> BITS))).toArrow()  # 2^BITS rows at most
+    return Vocabulary(frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy(), total, BITS)
+
 
+def _keys(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The pairs of two ids of ``bits`` bits, scattered over 2 * bits bits."""
+    wide = (1 << 2 * bits) - 1
+    return ((a << bits | b) * (0x9E3779B97F4A7C15 & wide | 1)) & wide
 
-def _pairs(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    same = rows[1:] == rows[:-1]
-    a, b = ids[:-1][same], ids[1:][same]
-    return a, b, rows[1:][same], ((a << BITS | b) * _ODD) & WIDE
+
+def _frequent_pairs(known: Vocabulary, piece: pa.RecordBatch) -> np.ndarray:
+    """Keys of the pairs of two frequent words, repeats included."""
+    words, rows = _hashes(piece)
+    ids, _ = known.ids(words)
+    both = (rows[1:] == rows[:-1]) & (ids[1:] >= 0) & (ids[:-1] >= 0)
+    return _keys(ids[:-1][both], ids[1:][both], known.bits)
 
 
 def hot_pairs(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Keys, in order, and exact counts of the frequent pairs; at most 2^HOT."""
 
     def frequent(piece: pa.RecordBatch):
-        words, rows = _hashes(piece)
-        keys, n = np.unique(_pairs(known.ids(words), rows)[3], return_counts=True)
+        keys, n = np.unique(_frequent_pairs(known, piece), return_counts=True)
         return keys[n >= LOCAL], n[n >= LOCAL]
 
     least = max(LOCAL, known.total >> HOT)
     keys = np.sort(_summed(docs, frequent).where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy())
 
     def exact(piece: pa.RecordBatch):
-        words, rows = _hashes(piece)
-        found = _pairs(known.ids(words), rows)[3]
+        found = _frequent_pairs(known, piece)
         return np.unique(found[_among(found, keys)], return_counts=True)
 
     got = _summed(docs, exact).toArrow()
@@ -122,117 +129,175 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+def _merged(key: np.ndarray, at: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each (key, row), by key and row, how often it occurs and the sum of its gains."""
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    starts = np.flatnonzero(new)
+    count = np.diff(np.append(starts, len(key)))
+    return order[starts], count, np.add.reduceat(gain[order], starts) if len(starts) else gain[:0]
+
+
 def _scored(piece: pa.RecordBatch, known: Vocabulary, hot: tuple[np.ndarray, np.ndarray]):
-    """Base scores of the rows, as if no pair occurred elsewhere but the hot ones, and the pairs that are open.
+    """Base scores of the rows, as if no pair occurred elsewhere but the hot ones, and what is open.
 
     An open pair is (key, row, times, gain): if it occurs elsewhere c times, the row's score rises by times * log c + gain.
+    The logarithms of the counts of rare words are left out of scores and gains: a rare word is (word, row, times), and an
+    open pair with a rare word also has its rare words, 0 in place of a frequent one.
     """
     words, rows = _hashes(piece)
-    ids = known.ids(words)
+    ids, number = known.ids(words)
     n = piece.num_rows
     length = np.bincount(rows, minlength=n)
     # times of each word in its row, looked up by (row, word)
-    size = len(known.counts)
-    keys, where, times = np.unique(rows * size + ids, return_inverse=True, return_counts=True)
-    rest = np.log(np.maximum(known.counts[ids] - times[where], UNSEEN))
+    _, once, where, times = np.unique(rows * (len(words) + 1) + number, return_index=True, return_inverse=True, return_counts=True)
+    rare = ids < 0
+    left = np.ones(len(ids), np.int64)
+    left[~rare] = known.counts[ids[~rare]] - times[where][~rare]
+    rest = np.log(np.maximum(left, UNSEEN))
     alone = rest - np.log(np.maximum(known.total - length[rows], 1))
     first = np.ones(len(rows), bool)
     first[1:] = rows[1:] != rows[:-1]
     base = np.bincount(rows, alone + np.where(first, 0.0, np.log(BACKOFF)), n)
-    a, b, at, key = _pairs(ids, rows)
+    seldom = rare[once]
+    single = (words[once][seldom], rows[once][seldom], times[seldom])
     follow = np.flatnonzero(~first)
-    gain = -rest[follow - 1] - alone[follow] - np.log(BACKOFF)
     # a word that occurs in this row only is in no pair elsewhere
-    mine = known.counts[ids] > times[where]
-    open_ = mine[follow - 1] & mine[follow]
-    key, at, gain = key[open_], at[open_], gain[open_]
-    order = np.lexsort((at, key))
-    key, at, gain = key[order], at[order], gain[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-    starts = np.flatnonzero(new)
-    count = np.diff(np.append(starts, len(key)))
-    key, at = key[starts], at[starts]
-    gain = np.add.reduceat(gain, starts) if len(starts) else gain
+    follow = follow[(left[follow - 1] > 0) & (left[follow] > 0)]
+    gain = -rest[follow - 1] - alone[follow] - np.log(BACKOFF)
+    some = rare[follow - 1] | rare[follow]
+    two, gain2 = follow[some], gain[some]
+    follow, gain = follow[~some], gain[~some]
+    key, at = _keys(ids[follow - 1], ids[follow], known.bits), rows[follow]
+    place, count, gain = _merged(key, at, gain)
+    key, at = key[place], at[place]
     ready = _among(key, hot[0])
     if ready.any():
-        left = hot[1][np.searchsorted(hot[0], key[ready])] - count[ready]
-        more = np.where(left > 0, count[ready] * np.log(np.maximum(left, 1)) + gain[ready], 0.0)
+        elsewhere = hot[1][np.searchsorted(hot[0], key[ready])] - count[ready]
+        more = np.where(elsewhere > 0, count[ready] * np.log(np.maximum(elsewhere, 1)) + gain[ready], 0.0)
         base += np.bincount(at[ready], more, n)
     keep = ~ready
-    return length, base, key[keep], at[keep], count[keep], gain[keep]
+    key2 = (mix(words[two - 1] * np.uint64(3) + mix(words[two])) >> np.uint64(1)).astype(np.int64)
+    place, count2, gain2 = _merged(key2, rows[two], gain2)
+    two = two[place]
+    sides = [np.where(rare[x], words[x], np.uint64(0)).view(np.int64) for x in (two - 1, two)]
+    return (length, base, single, (key[keep], at[keep], count[keep], gain[keep]),
+            (key2[place], rows[two], count2, gain2, *sides))
+
+
+_BASE, _WORDS, _PAIRS, _RARE = range(4)
 
 
 def _packed(docs: DataFrame, known: Vocabulary, hot: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
-    """Per piece: a row with the base scores, and a row per partition with the open pairs.
+    """Per piece: a row with the base scores, and a row per partition with the rare words and the open pairs of either kind.
 
     The base scores go along to one of the partitions, so the texts are read once and nothing is written in between.
     """
 
+    def cut(kind, part, docs, step, at, times, gain=None, *sides):
+        """A row per partition; ``part`` is in order."""
+        edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        for a, b in zip(edges, np.append(edges[1:], len(part))):
+            used, of = np.unique(at[a:b], return_inverse=True)
+            yield (part[a], kind, docs[used], (), np.diff(step[a:b], prepend=0), of, times[a:b],
+                   () if gain is None else gain[a:b].astype(np.float32).astype(float), *((x[a:b] for x in sides) if sides else ((), ())))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in steps(batch):
-                length, base, key, at, count, gain = _scored(piece, known, hot)
+                length, base, (word, at, times), pairs, rare = _scored(piece, known, hot)
                 docs = piece.column("doc").to_numpy()
-                part = key >> (2 * BITS - bits)
-                edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-                ends = np.append(edges[1:], len(part)) if len(edges) else edges
-                used = [np.unique(at[a:b]) for a, b in zip(edges, ends)]
-                columns = [
-                    pa.array(np.append(docs[0] & ((1 << bits) - 1), part[edges]).astype(np.int32)),
-                    pa.array([docs, *(docs[u] for u in used)], pa.list_(pa.int64())),
-                    pa.array([length, *(np.zeros(0) for _ in used)], pa.list_(pa.int32())),
-                    pa.array([np.zeros(0, np.int64), *(np.diff(key[a:b], prepend=0) for a, b in zip(edges, ends))], pa.list_(pa.int64())),
-                    pa.array([np.zeros(0, np.int32), *(np.searchsorted(u, at[a:b]) for u, a, b in zip(used, edges, ends))], pa.list_(pa.int32())),
-                    pa.array([np.zeros(0, np.int32), *(count[a:b] for a, b in zip(edges, ends))], pa.list_(pa.int32())),
-                    pa.array([base, *(gain[a:b].astype(np.float32).astype(float) for a, b in zip(edges, ends))], pa.list_(pa.float64())),
-                ]
-                for i in range(0, len(columns[0]), 256):
-                    yield pa.RecordBatch.from_arrays([c.slice(i, 256) for c in columns], names)
-
-    names = ["part", "docs", "length", "step", "doc", "times", "gain"]
+                order = np.argsort(word, kind="stable")
+                word = word[order]
+                rows = [
+                    (docs[0] & ((1 << bits) - 1), _BASE, docs, length, (), (), (), base, (), ()),
+                    *cut(_WORDS, (word >> np.uint64(64 - bits)).astype(np.int64), docs, word.view(np.int64), at[order], times[order]),
+                    *cut(_PAIRS, pairs[0] >> max(0, 2 * known.bits - bits), docs, *pairs),
+                    *cut(_RARE, rare[0] >> (63 - bits), docs, *rare)]
+                for i in range(0, len(rows), 256):
+                    some = list(zip(*rows[i:i + 256]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int32)) for x in some[:2]] + [
+                        _lists(x, kind) for x, kind in zip(some[2:], (np.int64, np.int32, np.int64, np.int32, np.int32, np.float64, np.int64, np.int64))],
+                        names)
+
+    names = ["part", "kind", "docs", "length", "step", "doc", "times", "gain", "one", "two"]
     return docs.select("doc", "text").mapInArrow(
-        run, "part int, docs array<long>, length array<int>, step array<long>, doc array<int>, times array<int>, gain array<double>")
+        run, "part int, kind int, docs array<long>, length array<int>, step array<long>, doc array<int>, times array<int>, "
+             "gain array<double>, one array<long>, two array<long>")
+
+
+def _lists(parts, kind) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.asarray(p, kind) for p in parts])))
 
 
 def _joined(table, bits: int):
-    """What the pairs of one partition of the count table add to their documents, packed by buckets of documents."""
-    sizes, base, docs, keys, rows, times, gain = 0, [], [], [], [], [], []
+    """What the pairs of one partition of the count table add to their documents, packed by buckets of documents.
+
+    Buckets from 2^bits on are of rare words: how often a word's logarithm counts in a document (``log_score``), and how
+    often it occurs there (``copies``).
+    """
+    empty = np.zeros(0, np.int64)
+    base, word, pairs, sizes = [], [], [], 0
     for batch in table.to_batches():
-        columns = [batch.column(c) for c in ("docs", "length", "step", "doc", "times", "gain")]
-        for d, n, s, r, t, g in zip(*columns):
-            if len(n.values):
-                base.append((d.values.to_numpy(), n.values.to_numpy(), g.values.to_numpy()))
-                continue
-            docs.append(d.values.to_numpy())
-            keys.append(np.cumsum(s.values.to_numpy()))
-            rows.append(r.values.to_numpy() + sizes)
-            times.append(t.values.to_numpy())
-            gain.append(g.values.to_numpy())
-            sizes += len(docs[-1])
-    out = [tuple(np.concatenate([x[i] for x in base]) for i in range(3)) + (1,)] if base else []
-    if docs:
-        docs, keys, rows, times, gain = map(np.concatenate, (docs, keys, rows, times, gain))
+        columns = [batch.column(c) for c in ("kind", "docs", "length", "step", "doc", "times", "gain", "one", "two")]
+        for kind, *lists in zip(*columns):
+            d, n, s, r, t, g, one, two = (x.values.to_numpy() for x in lists)
+            if kind.as_py() == _BASE:
+                base.append((d, n, g))
+            elif kind.as_py() == _WORDS:
+                word.append((np.cumsum(s), d[r], t, t))
+            else:
+                # pairs with rare words have the negative keys
+                rare = kind.as_py() == _RARE
+                zero = np.zeros(0 if rare else len(r), np.int64)
+                pairs.append((d, ~np.cumsum(s) if rare else np.cumsum(s), r + sizes, t, g, *((one, two) if rare else (zero, zero))))
+                sizes += len(d)
+    out = []
+    if base:
+        doc, n, score = map(np.concatenate, zip(*base))
+        out.append((doc & ((1 << bits) - 1), doc, n, score, np.ones(len(doc), np.int64)))
+    if pairs:
+        docs, keys, rows, times, gain, one, two = map(np.concatenate, zip(*pairs))
         _, where = np.unique(keys, return_inverse=True)
         left = np.bincount(where, times)[where] - times
         some = left > 0
         ids, at = np.unique(docs, return_inverse=True)
         more = np.bincount(at[rows[some]], times[some] * np.log(left[some]) + gain[some], len(ids))
-        out.append((ids, np.zeros(len(ids), np.int64), more, 0))
-    doc, length, score = (np.concatenate([x[i] for x in out]) for i in range(3))
-    copies = np.concatenate([np.full(len(x[0]), x[3]) for x in out])
-    bucket = doc & ((1 << bits) - 1)
+        out.append((ids & ((1 << bits) - 1), ids, np.zeros(len(ids), np.int64), more, np.zeros(len(ids), np.int64)))
+        for side in (one, two):
+            found = some & (side != 0)
+            word.append((side[found], docs[rows[found]], -times[found], np.zeros(found.sum(), np.int64)))
+    if word:
+        words, doc, share, times = map(np.concatenate, zip(*word))
+        to = (words.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits)
+        out.append((to, doc, words, share.astype(float), times))
+    bucket, doc, length, score, copies = map(np.concatenate, zip(*out)) if out else (empty,) * 5
     order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+    edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))[:len(order)]
     groups = np.split(order, edges[1:])
-    packed = [pa.array([x[g] for g in groups], pa.list_(kind)) for x, kind in (
-        (doc, pa.int64()), (length, pa.int64()), (score, pa.float64()), (copies, pa.int64()))]
+    packed = [_lists([x[g] for g in groups], kind) for x, kind in (
+        (doc, np.int64), (length, np.int64), (score, np.float64), (copies, np.int64))]
     return pa.table([pa.array(bucket[order][edges]), *packed], ["bucket", "doc", "n_words", "log_score", "copies"])
 
 
-def _totals(table):
-    """Sums per document of one bucket of documents."""
+def _totals(table, bits: int):
+    """Sums per document of one bucket of documents, or what one bucket of rare words adds to documents."""
     doc, length, score, copies = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("doc", "n_words", "log_score", "copies"))
+    if table.column("bucket")[0].as_py() >> bits:
+        _, word = np.unique(length, return_inverse=True)
+        count = np.bincount(word, copies)
+        order = np.lexsort((doc, word))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(word[order]) != 0) | (np.diff(doc[order]) != 0)
+        starts = np.flatnonzero(new)
+        # rows that repeat doc_id and text have the same number of occurrences each
+        mine = np.maximum.reduceat(copies[order], starts)
+        score = np.add.reduceat(score[order], starts) * np.log(np.maximum(count[word[order][starts]] - mine, UNSEEN))
+        doc = doc[order][starts]
+        length = copies = np.zeros(len(doc), np.int64)
     ids, at = np.unique(doc, return_inverse=True)
     n = np.zeros(len(ids), np.int64)
     np.maximum.at(n, at, length)
@@ -250,6 +315,7 @@ def scores(docs: DataFrame) -> DataFrame:
         lambda table: _joined(table, bits),
         "bucket long, doc array<long>, n_words array<long>, log_score array<double>, copies array<long>")
     # rows that repeat doc_id and text have one key: their base scores are equal and their gains are summed
-    by_doc = parts.groupBy("bucket").applyInArrow(_totals, "doc long, n_words long, s double, copies long")
+    sums = parts.groupBy("bucket").applyInArrow(lambda table: _totals(table, bits), "doc long, n_words long, s double, copies long")
+    by_doc = sums.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.sum("s").alias("s"), F.sum("copies").alias("copies"))
     out = keyed.select("doc_id", "doc").join(by_doc, "doc")
     return out.selectExpr("doc_id", "n_words", "s / copies AS log_score", "IF(n_words > 0, s / copies / n_words, NULL) AS mean_log_score")

@@ -213,6 +213,31 @@ def test_backoff_against_brute_force(spark, hot, monkeypatch):
         assert r.n_words == len(x) and r.log_score == pytest.approx(score, rel=1e-5)
 
 
+@pytest.mark.parametrize("bits", [2, 5])
+def test_backoff_keeps_rare_words(spark, bits, monkeypatch):
+    import math
+    monkeypatch.setattr(backoff, "BITS", bits)
+    rng = random.Random(6)
+    docs = corpus(4) + [(500, " ".join("%x" % rng.getrandbits(60) for _ in range(40)), "en", "s")]
+    docs += [docs[0], docs[0]]  # a repeated row is a further document
+    texts = [[w.lower() for w in words(t)] for _, t, *_ in docs]
+    one = Counter(w for x in texts for w in x)
+    two = Counter(p for x in texts for p in zip(x, x[1:]))
+    total = sum(one.values())
+    assert min(one.values()) < -(-total >> bits)
+    want = []
+    for (i, *_), x in zip(docs, texts):
+        mine, pairs, score = Counter(x), Counter(zip(x, x[1:])), 0.0
+        for k, w in enumerate(x):
+            alone = math.log(max(one[w] - mine[w], 0.5) / (total - len(x)))
+            left = two[x[k - 1], w] - pairs[x[k - 1], w] if k else 0
+            score += alone if not k else math.log(left / max(one[x[k - 1]] - mine[x[k - 1]], 0.5)) if left else math.log(0.4) + alone
+        want.append((i, len(x), score))
+    got = sorted((r.doc_id, r.n_words, r.log_score) for r in backoff.scores(spark.createDataFrame(docs, DOC)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)], rel=1e-5)
+
+
 def test_backoff_odd_input(odd, empty):
     rows = backoff.scores(odd).collect()
     by = {r.doc_id: r for r in rows}
