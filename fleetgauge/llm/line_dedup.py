@@ -2,18 +2,20 @@
 
 A line is a piece of a text between line feeds that holds a character other than ASCII white space. Its shingles are
 its runs of ``SHINGLE`` characters (a shorter line is one shingle). Each shingle is hashed once; ``BANDS * ROWS``
-multiples of the hash give the minima of the signature. Lines that agree on all rows of a band share a bucket. Each line of
-a bucket is compared with the bucket's smallest and largest line, by the exact Jaccard similarity of the shingle sets, and
-linked at ``SIMILAR`` or more; so a bucket gives two candidates per line, however large it is, and a line has a chance
-in each band. Connected components of the links, with equal lines as one node, keep their first line (by document, then
+multiples of the hash give the minima of the signature. Lines that agree on all rows of a band share a bucket. All lines of
+a bucket are searched in one task for pairs whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more. Only pairs
+that share one of their rarer shingles can have it (all but SIMILAR of a set, rarest first), so only those are compared,
+and only where earlier links don't join them yet; the task gives trees of verified links. A bucket of more than ``CHUNK``
+bytes is cut into chunks by hash, and every two chunks meet in a task of their own. Buckets that hold the same lines are
+searched once. Connected components of the links, with equal lines as one node, keep their first line (by document, then
 position); the other ones are removed.
 
 Cutting, bucketing, joining and grouping are DataFrame functions. The signatures and the similarity of a pair are numpy
 functions over Arrow batches of lines: as DataFrame functions they need a row per character, which alone took about
 1,400 CPU seconds a GB by our own timing (about 580 in the unit of the check tool, whose budget for all is 400).
 
-A pair at the threshold meets in some band with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.985, at 0.9 with 0.9999.
-Lines and shingles are told apart by 64-bit hashes.
+A pair at the threshold meets in some band with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.985, at 0.9 with 0.9999; a pair
+that meets is linked, whatever else its bucket holds. Lines, shingles and the sets of buckets are told apart by 64-bit hashes.
 
 Defined cases: null text has no lines and stays null; blank lines are never removed; rows that repeat doc_id and
 text share their decisions; documents may lose all lines and stay, with empty text; ``n_chars`` follows the text
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,10 @@ SIMILAR = 0.8
 FILLED = "trim(LEADING ' \\t\\u000b\\u000c\\r' FROM {}) <> ''"
 #: Bytes of lines that are shingled at a time; the arrays of a step stay near the processor.
 STEP = 1 << 18
+#: Bytes of lines in a chunk of a bucket.
+CHUNK = 1 << 21
+#: Groups of so many lines are compared pair by pair.
+FEW = 16
 #: Odd multipliers of the hash functions of the signature.
 FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -82,51 +89,153 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for factor in FACTORS[band * ROWS:(band + 1) * ROWS]:
                     key = mix(key * FACTORS[0] + np.minimum.reduceat(hashes * factor, begins[:-1]))
                 keys[:, band] = key
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(keys.ravel().view(np.int64))], ["node", "bucket"])
+            sizes = pc.binary_length(piece.column("line").take(pa.array(first))).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, BANDS)), pa.array(keys.ravel().view(np.int64)),
+                                              pa.array(np.repeat(sizes, BANDS).astype(np.int64))], ["node", "bucket", "size"])
 
 
 def buckets(table: DataFrame) -> DataFrame:
-    """``node`` and ``bucket``, one row per band of every line; a line that occurs again may have its rows again."""
-    return table.select("node", "line").mapInArrow(_buckets, "node long, bucket long")
+    """``node, bucket, size`` (bytes), one row per band of every line; a line that occurs again may have its rows again."""
+    return table.select("node", "line").mapInArrow(_buckets, "node long, bucket long, size long")
 
 
-def candidates(placed: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of nodes: each node of a bucket with the bucket's smallest and largest node."""
+def groups(placed: DataFrame) -> DataFrame:
+    """``node, bucket, left, right, second``: the lines of each two chunks of a bucket, or of a single one with itself.
+
+    Buckets of one line are left out, and of the buckets that hold the same lines all but one.
+    """
     placed = stored(placed, "line-buckets")
-    ends = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    ends = stored(ends, "line-ends")
-    return placed.join(ends, "bucket").selectExpr("node", "explode(array(lo, hi)) AS other").where(
-        "node <> other").selectExpr("least(node, other) AS a", "greatest(node, other) AS b").distinct()
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    members = stored(placed.join(shared, "bucket").distinct(), "line-members")
+    sets = members.groupBy("bucket").agg(F.expr("bit_xor(node)").alias("x"), F.expr("bit_xor(xxhash64(node))").alias("y"),
+                                         F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    searched = sets.groupBy("x", "y", "n", "bytes").agg(F.min("bucket").alias("bucket")).selectExpr(
+        "bucket", f"cast(ceil((bytes + 1) / {CHUNK}) AS int) AS chunks")
+    return members.join(searched, "bucket").withColumn("chunk", F.expr("pmod(hash(node), chunks)")).selectExpr("node", "bucket", """inline(concat(
+        transform(sequence(chunk, chunks - 1), c -> named_struct('left', chunk, 'right', c, 'second', false)),
+        IF(chunk = 0, array(), transform(sequence(0, chunk - 1), c -> named_struct('left', c, 'right', chunk, 'second', true)))))""")
+
+
+def _least(n: int) -> int:
+    """How many of n shingles a similar line must share at least."""
+    return next(k for k in range(max(int(SIMILAR * n) - 1, 1), n + 1) if k >= SIMILAR * n)
+
+
+def _few(sets: list[frozenset], sides: list[bool]) -> list[tuple[int, int]]:
+    """A tree of links by comparing all."""
+    tree, label = [], list(range(len(sets)))
+    cross = any(sides)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            # the smaller set bounds what both share
+            if label[i] == label[j] or cross and sides[i] == sides[j] or min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+                continue
+            both = len(a & b)
+            if both >= SIMILAR * (len(a) + len(b) - both):
+                tree.append((j, i))
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return tree
+
+
+def _many(hashes: np.ndarray, begins: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """A tree of links among lines that share one of their rarer shingles."""
+    n = len(begins) - 1
+    distinct, token = np.unique(hashes, return_inverse=True)
+    key = np.unique(np.repeat(np.arange(n), np.diff(begins)) * len(distinct) + token)
+    owner, token = key // len(distinct), key % len(distinct)
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.argsort(np.bincount(token, minlength=len(distinct)), kind="stable")] = np.arange(len(distinct))
+    order = np.lexsort((rank[token], owner))
+    owner, token = owner[order], rank[token][order]
+    size = np.bincount(owner, minlength=n)
+    start = np.concatenate([[0], np.cumsum(size)])
+    rarer = size - np.array([_least(k) for k in size.tolist()]) + 1
+    inside = np.arange(len(owner)) - start[owner] < rarer[owner]
+    by_token = np.lexsort((owner[inside], token[inside]))
+    holders, held = owner[inside][by_token], token[inside][by_token]
+    low, high = np.searchsorted(held, token), np.searchsorted(held, token, side="right")
+    tree, label, mark, cross = [], np.arange(n), np.zeros(len(distinct), bool), sides.any()
+    for i in range(n):
+        at = np.arange(start[i], start[i] + rarer[i])
+        at = at[high[at] - low[at] > 1]
+        if not len(at):
+            continue
+        near = np.unique(np.concatenate([holders[low[k]:high[k]] for k in at]))
+        near = near[(near < i) & (label[near] != label[i]) & (np.minimum(size[near], size[i]) >= SIMILAR * np.maximum(size[near], size[i]))]
+        if cross:
+            near = near[sides[near] != sides[i]]
+        mark[token[start[i]:start[i + 1]]] = True
+        # a step of these at a time, so memory does not follow their number
+        for k in range(0, len(near), 1024):
+            some = near[k:k + 1024]
+            ends = np.cumsum(size[some])
+            spots = np.arange(ends[-1]) + np.repeat(start[some] - (ends - size[some]), size[some])
+            both = np.add.reduceat(mark[token[spots]].astype(np.int64), ends - size[some])
+            for j in some[both >= SIMILAR * (size[some] + size[i] - both)].tolist():
+                if label[i] != label[j]:
+                    tree.append((j, i))
+                    label[label == label[i]] = label[j]
+        mark[token[start[i]:start[i + 1]]] = False
+    return tree
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``(a, b)`` within the groups of a partition, which come in order."""
 
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "left", "right")])
+        cuts = np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1
+        cuts = np.concatenate([[0], cuts, [table.num_rows]])
+        nodes, second = table.column("node").to_numpy(), table.column("second").to_numpy().astype(bool)
+        text = table.column("line").combine_chunks()
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(text).to_numpy().astype(np.int64))])
+        g = 0
+        while g < len(cuts) - 1:  # whole groups, about a step of text at a time
+            h = max(g + 1, int(np.searchsorted(sizes[cuts], sizes[cuts[g]] + STEP, side="right")) - 1)
+            low, high = cuts[g], cuts[h]
+            hashes, begins = shingles(text.slice(low, high - low))
+            a, b = [], []
+            for x, y in zip(cuts[g:h].tolist(), cuts[g + 1:h + 1].tolist()):
+                part = begins[x - low:y - low + 1]
+                values = hashes[part[0]:part[-1]]
+                if y - x <= FEW:
+                    values, at = values.tolist(), (part - part[0]).tolist()
+                    tree = _few([frozenset(values[i:j]) for i, j in zip(at, at[1:])], second[x:y].tolist())
+                else:
+                    tree = _many(values, part - part[0], second[x:y])
+                a += [nodes[x + i] for i, _ in tree]
+                b += [nodes[x + j] for _, j in tree]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            g = h
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = []
     for batch in batches:
-        for piece in steps(batch, "line_b", STEP):
-            sets = []
-            for side in ("a", "b"):
-                nodes = piece.column(side).to_numpy()
-                _, first, of = np.unique(nodes, return_index=True, return_inverse=True)
-                hashes, begins = shingles(piece.column(f"line_{side}").take(pa.array(first)))
-                values = hashes.tolist()
-                sets.append(([frozenset(values[i:j]) for i, j in zip(begins[:-1].tolist(), begins[1:].tolist())], of.tolist()))
-            (left, of_left), (right, of_right) = sets
-            linked = np.zeros(piece.num_rows, bool)
-            for i, (x, y) in enumerate(zip(of_left, of_right)):
-                a, b = left[x], right[y]
-                # the smaller set bounds what both share
-                if min(len(a), len(b)) >= SIMILAR * max(len(a), len(b)):
-                    both = len(a & b)
-                    linked[i] = both >= SIMILAR * (len(a) + len(b) - both)
-            yield piece.select(["a", "b"]).filter(pa.array(linked))
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "left", "right")])
+        new = np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1
+        if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("bucket", "left", "right")):
+            new = np.append(0, new)
+        if not len(new):
+            held.append(batch)
+            continue
+        last = int(new[-1])
+        yield from solve(pa.Table.from_batches([*held, batch.slice(0, last)]))
+        held = [batch.slice(last)]
+    if held:
+        yield from solve(pa.Table.from_batches(held))
 
 
 def links(table: DataFrame) -> DataFrame:
-    """Verified links ``(a, b)`` between different lines."""
-    pairs = stored(candidates(buckets(table)), "line-pairs")
-    needed = stored(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "line-needed")
+    """Verified links ``(a, b)`` between different lines; within a bucket's two chunks they are trees."""
+    roles = stored(groups(buckets(table)), "line-groups")
+    needed = stored(roles.select("node").distinct(), "line-needed")
     texts = stored(table.select("node", "line").join(needed, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
-    both = pairs.join(texts.selectExpr("node AS a", "line AS line_a"), "a").join(texts.selectExpr("node AS b", "line AS line_b"), "b")
-    return both.select("a", "b", "line_a", "line_b").mapInArrow(_similar, "a long, b long")
+    placed = roles.join(texts, "node").select("bucket", "left", "right", "second", "node", "line")
+    ordered = placed.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    return ordered.mapInArrow(_search, "a long, b long").distinct()
 
 
 def repeated(docs: DataFrame) -> DataFrame:

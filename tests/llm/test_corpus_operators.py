@@ -161,6 +161,38 @@ def test_lines_against_brute_force(spark):
         assert got[i] == ("\n".join(kept), t.count("\n") + 1, t.count("\n") + 1 - len(kept))
 
 
+@pytest.mark.parametrize("chunk", [1 << 21, 1 << 16])
+def test_near_copies_inside_a_family_of_lines_are_found(spark, chunk, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+    rng = random.Random(12)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+    def similarity(x, y):
+        x, y = ({z[i:i + 8] for i in range(len(z) - 7)} for z in (x, y))
+        return len(x & y) / len(x | y)
+
+    template = noise(100)
+    family = [template + noise(25) for _ in range(3000)]
+    copies = [x[:-6] + noise(6) for x in family[:300]]
+    assert 0.5 < similarity(family[0], family[1]) < 0.7 and all(0.8 <= similarity(x, y) < 0.95 for x, y in zip(family, copies))
+    docs = [(i, x, "en", "s") for i, x in enumerate(family + copies)]
+    gone = {r.doc_id for r in line_dedup.dedup(spark.createDataFrame(docs, DOC)).where("_removed > 0").collect()}
+    assert gone <= set(range(3000, 3300)) and len(gone) >= 294
+
+
+def test_search_of_many_lines_equals_comparing_all():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 40, 60, dtype=np.uint64)
+    sets = [np.concatenate([base[:50 - k % 9], rng.integers(0, 1 << 40, k % 9 + k % 4, dtype=np.uint64)]) for k in range(120)]
+    sets += [rng.permutation(sets[k])[:-1] for k in range(20)]
+    begins = np.cumsum([0, *map(len, sets)])
+    for sides in (np.zeros(140, bool), np.arange(140) % 2 == 1):
+        tree = line_dedup._many(np.concatenate(sets), begins, sides)
+        assert groups(140, tree) == groups(140, line_dedup._few([frozenset(x.tolist()) for x in sets], sides.tolist()))
+
+
 def test_lines_odd_input(odd, empty):
     out = line_dedup.dedup(odd)
     rows = out.collect()
