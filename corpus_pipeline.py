@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of ``docs`` (the last
 one: ids). ``run`` writes each stage to the shared folder and reads it again, so a lost executor costs one stage at most.
 
-The mixing stage keeps every row and decides their order: rows are written, and so encoded, in the order of the mix.
+The mixing stage keeps every row and decides their order. Files are not read in the order they were written in, so the order
+is a value: the ids come with the block's ``slot`` in the mix and the ``place`` in the block, which follow from the rows alone.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source`` with the text as piece ids; ``restored`` tells that decoding gives the text back."""
-    return pieces.encode(docs, pieces.MODEL, "lang", "source")
+    """``doc_id, lang, source, slot, place`` with the text as piece ids; ``restored`` tells that decoding gives the text back."""
+    placed = mixing.schedule(docs.select("doc_id", "lang", "source", "text")).selectExpr(
+        "doc_id", "lang", "source", "text", "_slot AS slot", "_offset AS place")
+    return pieces.encode(placed, pieces.MODEL, "lang", "source", "slot", "place")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

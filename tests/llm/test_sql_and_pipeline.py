@@ -1,6 +1,9 @@
 """Registered queries against SQL, and the pipeline against the operators' brute-force parts."""
 
+import hashlib
+import math
 import os
+from collections import defaultdict
 
 import duckdb
 import pytest
@@ -57,3 +60,38 @@ def test_pipeline_stages(spark):
         assert name == "sentencepiece" or docs.columns == columns
     assert docs.where("NOT restored").count() == 0
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF_DIR).select("doc_id").collect()) == sorted(ids)
+
+
+def brute_force_slots(rows, block, frame):
+    """(slot, place) of each (doc_id, source): whole frames while a source fills them, then one closing frame."""
+    by = defaultdict(list)
+    for i, source in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        by["null" if source is None else "=" + source].append(i)
+    names = sorted(by)
+    roots = sum(math.sqrt(len(by[k])) for k in names)
+    quota = {k: max(1, math.floor(frame * math.sqrt(len(by[k])) / roots + 0.5)) for k in names}
+    whole = {k: len(by[k]) // block // quota[k] for k in names}
+    blocks = {k: [by[k][i:i + block] for i in range(0, len(by[k]), block)] for k in names}
+    plan = [{k: quota[k] for k in names if whole[k] > f} for f in range(max(whole.values()))]
+    plan.append({k: r for k in names if (r := len(blocks[k]) - quota[k] * whole[k])})
+    out, at, slot = {}, dict.fromkeys(names, 0), 0
+    for part in plan:
+        size, done = sum(part.values()), dict.fromkeys(part, 0)
+        for t in range(size):
+            ready = [k for k in part if done[k] < part[k] and done[k] * size <= t * part[k]]
+            pick = min(ready, key=lambda k: (-(-(done[k] + 1) * size // part[k]), k))
+            out |= {i: (slot, n) for n, i in enumerate(blocks[pick][at[pick]])}
+            done[pick] += 1
+            at[pick] += 1
+            slot += 1
+    return out
+
+
+def test_pipeline_carries_the_mix_over_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    monkeypatch.setattr(mixing, "FRAME", 30)
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").repartition(5).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "slot", "place").collect()
+    want = brute_force_slots([(r.doc_id, r.source) for r in rows], 2, 30)
+    assert len(rows) > 30 and {r.doc_id: (r.slot, r.place) for r in rows} == want
