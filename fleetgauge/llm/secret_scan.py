@@ -2,7 +2,9 @@
 
 The base rules run over the text as it is. Then every layer of the worklist is searched for encoded
 parts: URL escapes, Unicode escapes and character references, base64 and compressed bytes (gzip,
-zlib, zstd; reached through base64). Each decoded part is a new layer, scanned by the same rules and
+zlib, zstd; inside base64 or written with escapes of either kind, also several one after another). A base64 run goes over line
+breaks and is decoded from each of its first four characters, as what stands before a blob may be of its alphabet too; invalid
+UTF-8 is replaced, not refused. Each decoded part is a new layer, scanned by the same rules and
 put on the worklist again, until nothing new turns up. A layer that has been seen for the same place of
 the text is not decoded again, so cycles end. Every layer knows for each of its characters which characters
 of the text it comes from, so a finding gives the span of the text that encodes it.
@@ -17,13 +19,13 @@ distinct and sorted by start, then kind as in ``KINDS``, then end; a repeated ro
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,10 +44,18 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+BREAK = re.compile(r"\r?\n[ \t]*")
+STANDARD = str.maketrans("-_", "+/")
+#: First bytes of gzip, zlib and zstd.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+#: Escapes for bytes, among them the short ones that accompany escapes in a string.
+BYTE = re.compile(r"""\\[abfnrtv0'"\\/](?!x)|\\\\|""" + ESCAPE.pattern)
+SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0"))
 #: What any finding or encoded part must contain; texts without it are done.
 HINT = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|"""
         r"""\\[uUx][0-9A-Fa-f{]|&#|[A-Za-z0-9+/_-]{16}""")
+HINTED = re.compile(HINT)
 
 PIECE = 4 << 20
 OVERLAP = 1 << 16
@@ -136,66 +146,139 @@ def _escape(match: str):
     return [(text, 0, len(match))]
 
 
-def _unpacked(raw: bytes) -> Iterator[str]:
-    """The text of compressed bytes in overlapping pieces; nothing if they aren't compressed or are broken at once."""
+def _reader(raw: bytes):
+    """What gives the next bytes out of compressed ones, and what tells how many of ``raw`` a whole stream took (0 before)."""
     if raw[:4] == b"\x28\xb5\x2f\xfd":
-        reader = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-        read = reader.read
-    elif raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        engine, rest = zlib.decompressobj(47), [raw]
+        engine, fed = zstandard.ZstdDecompressor().decompressobj(), [0]
+        held = bytearray()
 
         def read(n: int) -> bytes:
-            got = engine.decompress(rest[0], n)
-            rest[0] = engine.unconsumed_tail
+            # small steps of input, as this engine gives all they hold
+            while len(held) < n and fed[0] < len(raw) and not engine.eof:
+                step = raw[fed[0]:fed[0] + 1024]
+                fed[0] += len(step)
+                try:
+                    held.extend(engine.decompress(step))
+                except zstandard.ZstdError:
+                    fed[0] = len(raw)
+            got = bytes(held[:n])
+            del held[:n]
             return got
-    else:
-        return
-    tail = ""
-    while True:
-        try:
-            got = read(PIECE)
-        except (zlib.error, zstandard.ZstdError):
-            got = b""
-        if not got:
-            return
-        text = tail + got.decode("utf-8", "replace")
-        yield text
-        tail = text[-OVERLAP:]
-
-
-def _printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+
+        return read, lambda: fed[0] - len(engine.unused_data) if engine.eof else 0
+    engine, rest = zlib.decompressobj(47), [raw]
+
+    def read(n: int) -> bytes:
+        got = engine.decompress(rest[0], n)
+        rest[0] = engine.unconsumed_tail
+        return got
+
+    return read, lambda: len(raw) - len(engine.unused_data) if engine.eof else 0
+
+
+def _unpacked(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Texts of the compressed streams anywhere in ``raw``, each in overlapping pieces with the stream's first byte and its end.
+
+    The end of a broken stream is that of ``raw``; after it the search goes on behind its first byte.
+    """
+    at = 0
+    while (m := PACKED.search(raw, at)) is not None:
+        start, tail = m.start(), ""
+        read, taken = _reader(raw[start:])
+        while True:
+            try:
+                got = read(PIECE)
+            except zlib.error:
+                got = b""
+            if not got:
+                break
+            text = tail + got.decode("utf-8", "replace")
+            yield text, start, start + (taken() or len(raw) - start)
+            tail = text[-OVERLAP:]
+            for inner, *_ in _unpacked(got) if PACKED.match(got) else ():
+                yield inner, start, start + (taken() or len(raw) - start)
+        at = start + max(1, taken())
+
+
+def _escaped(layer: Layer, rule: re.Pattern) -> tuple[bytes, array, array]:
+    """The layer as bytes with its escapes resolved, and for each byte the characters of the layer it is written by."""
+    out, first, last = bytearray(), array("q"), array("q")
+
+    def add(raw: bytes, a: int, b: int) -> None:
+        out.extend(raw)
+        first.extend([a] * len(raw))
+        last.extend([b] * len(raw))
+
+    def copy(a: int, b: int) -> None:
+        for i in range(a, b):
+            add(layer.text[i].encode("utf-8", "surrogatepass"), i, i + 1)
+
+    at = 0
+    for m in rule.finditer(layer.text):
+        copy(at, m.start())
+        at = m.end()
+        if m[0][0] == "%":
+            for i in range(m.start(), m.end(), 3):
+                add(bytes.fromhex(layer.text[i + 1:i + 3]), i, i + 3)
+        elif m[0][0] == "\\" and m[0][1] not in "uUx":
+            add(bytes([SHORT.get(m[0][1], ord(m[0][1]))]), m.start(), m.end())
+        else:
+            digits = m[0][2:].strip("{};")
+            code = int(digits.lstrip("xX"), 16 if m[0][0] == "\\" or digits[:1] in "xX" else 10)
+            add(bytes([code]) if code < 256 else _escape(m[0])[0][0].encode(), m.start(), m.end())
+    copy(at, len(layer.text))
+    return bytes(out), first, last
+
+
+def _hinted(text: str) -> bool:
+    """Whether a text may hold findings or encoded parts."""
+    if len(text) < 4096:
+        return HINTED.search(text) is not None
+    return pc.match_substring_regex(pa.array([text]), HINT)[0].as_py()
+
+
+def _decoded(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """What a run of base64 says, from each of its first four characters on."""
+    parts, spots, at = [], [], m.start()
+    for gap in [*BREAK.finditer(m[0]), None]:
+        end = m.end() if gap is None else m.start() + gap.start()
+        parts.append(layer.text[at:end])
+        spots.append(range(at, end))
+        at = end if gap is None else m.start() + gap.end()
+    spots = spots[0] if len(spots) == 1 else array("q", chain.from_iterable(spots))
+    whole = "".join(parts).translate(STANDARD)
+    for shift in range(4):
+        body = whole[shift:]
+        if len(body) % 4 == 1:
+            body = body[:-1]
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        # byte i of the decoded bytes is written by characters 4i/3 to 4(i+1)/3
+        place = lambda a, b: layer.place(
+            spots[shift + a * 4 // 3], spots[shift + min(len(body), -(-b * 4 // 3)) - 1] + 1)
+        text = raw.decode("utf-8", "replace")
+        if _hinted(text):
+            start, end, at = array("q"), array("q"), 0
+            for c in raw.decode("utf-8", "surrogateescape"):
+                n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+                s, e = place(at, at + n)
+                start.append(s)
+                end.append(e)
+                at += n
+            yield Layer(re.sub("[\udc80-\udcff]", "\ufffd", raw.decode("utf-8", "surrogateescape")), start, end)
+        for text, a, b in _unpacked(raw):
+            yield Layer(text, *place(a, b))
 
 
 def _parts(layer: Layer) -> Iterator[Layer]:
     """The layers one step of decoding away."""
-    for rule, decode in ((URL, _url), (ESCAPE, _escape)):
+    for rule, decode, byte in ((URL, _url, URL), (ESCAPE, _escape, BYTE)):
         if (new := _rewritten(layer, rule, decode)) is not None:
             yield new
+            raw, first, last = _escaped(layer, byte)
+            for text, a, b in _unpacked(raw):
+                yield Layer(text, layer.place(first[a], first[a] + 1)[0], layer.place(last[b - 1] - 1, last[b - 1])[1])
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        if (text := _printable(raw)) is not None:
-            start, end, at = array("q"), array("q"), 0
-            for c in text:
-                n = len(c.encode())
-                # byte i of the decoded bytes is written by characters 4i/3 to 4(i+1)/3
-                s, e = layer.place(m.start() + at * 4 // 3, m.start() + min(len(body), -(-(at + n) * 4 // 3)))
-                start.append(s)
-                end.append(e)
-                at += n
-            yield Layer(text, start, end)
-        else:
-            s, e = layer.place(m.start(), m.end())
-            for text in _unpacked(raw):
-                yield Layer(text, s, e)
+        yield from _decoded(layer, m)
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:

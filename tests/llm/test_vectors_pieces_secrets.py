@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from fleetgauge.llm import pieces, secret_scan, vectors
 
@@ -119,6 +120,35 @@ def test_wrapped_secrets_are_found_where_they_stand(wrapped):
     assert spans and all(text.index(wrapped) <= a < b <= len(text) - len(" after") for _, a, b in spans)
 
 
+def as_url(raw):
+    return "".join(f"%{x:02X}" for x in raw)
+
+
+LONG = f"{SECRET} {'and more words ' * 30}"
+
+
+@pytest.mark.parametrize("wrapped", [
+    *(b64(f"{x} {SECRET}".encode()) for x in ("\ufeff", "a\u00a0b", "a\u200bb", "a\0b")), b64(b"\xff\xfe. " + SECRET.encode() + b"\xc3"),
+    *(x + b64(SECRET.encode()).rstrip("=") for x in ("path/", "id_", "x-", "ab")), b64(SECRET.encode()).rstrip("=") + "A",
+    *(x + b64(gzip.compress(SECRET.encode())) for x in ("path/", "id_", "x-")),
+    base64.encodebytes(LONG.encode()).decode().strip(), base64.encodebytes(LONG.encode()).decode().strip().replace("\n", "\r\n  "),
+    as_url(gzip.compress(SECRET.encode())), urllib.parse.quote(zlib.compress(SECRET.encode())), as_url(zstandard.compress(SECRET.encode())),
+    "".join(f"\\x{x:02x}" for x in gzip.compress(SECRET.encode())), repr(gzip.compress(SECRET.encode())),
+    "".join(f"\\u{x:04x}" for x in zlib.compress(SECRET.encode())), "".join(f"&#{x};" for x in zlib.compress(SECRET.encode())),
+    b64(gzip.compress(b"nothing") + gzip.compress(SECRET.encode())), b64(zlib.compress(b"nothing") + zlib.compress(SECRET.encode())),
+    b64(zstandard.compress(b"nothing") + zstandard.compress(SECRET.encode())), b64(gzip.compress(gzip.compress(SECRET.encode())))])
+def test_layers_are_reached_whatever_surrounds_them(wrapped):
+    text = f"before {wrapped} after"
+    spans = [s for s in secret_scan.find(text)[1] if s[0] == "assign"]
+    assert spans and all(text.index(wrapped) <= a < b <= len(text) - len(" after") for _, a, b in spans)
+
+
+def test_span_after_a_prefix_is_that_of_the_blob():
+    text = "see path/" + b64(SECRET.encode())
+    (kind, a, b), = secret_scan.find(text)[1]
+    assert kind == "assign" and a == len("see path/") and b >= len(text.rstrip("=")) - 2
+
+
 def test_spans_of_escapes_are_exact():
     text = "x \\u0070assword = abcdefghijklmnop y"
     assert secret_scan.find(text)[1] == [("assign", 2, len(text) - 2)]
