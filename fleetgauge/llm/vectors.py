@@ -128,10 +128,11 @@ def _solve(own: tuple, other: tuple | None, block: int, cosine: float):
                 i, j = i[i < j], j[i < j]
             for k in range(0, len(i), 1 << 17):
                 r, s = order[i[k:k + (1 << 17)]], order2[j[k:k + (1 << 17)]]
+                # by the same form in every block, so exactly one block owns a pair
                 first = np.ones(len(r), bool)
-                for e, (c, d) in enumerate(cuts[:block]):
+                for e, (c, d) in enumerate(cuts[:block + 1]):
                     g = t[r, c:d] - t2[s, c:d]
-                    first &= np.einsum("ij,ij->i", g, g) > share[e]
+                    first &= (np.einsum("ij,ij->i", g, g) <= share[e]) == (e == block)
                 r, s = r[first], s[first]
                 dot = np.einsum("ij,ij->i", x[r], x2[s])
                 hit = dot / np.sqrt(np.einsum("ij,ij->i", x[r], x[r]) * np.einsum("ij,ij->i", x2[s], x2[s])) >= cosine

@@ -96,6 +96,15 @@ def test_vectors_against_brute_force(spark, chunk):
     assert all(got[v] == (0, v, True) for v, _ in odd)
 
 
+def test_a_pair_at_the_edge_of_a_block_counts_once():
+    d, e = np.sqrt(vectors.shares(16, 0.95)[0] + vectors.SLACK / 2), 0.03
+    turned = np.zeros((2, 16))
+    turned[:, 0], turned[:, 2] = (d / 2, -d / 2), (e / 2, -e / 2)
+    turned[:, 15] = np.sqrt(1 - (d * d + e * e) / 4)
+    own = (np.arange(2), np.ones(2, np.int64), turned @ vectors.rotation(16).T, turned)
+    assert sum(vectors._solve(own, None, block, 0.95)[1] for block in range(8)).tolist() == [1, 1]
+
+
 def test_vectors_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
