@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from fleetgauge.llm import centroids as k
 from fleetgauge.llm import mixing as m
 from fleetgauge.llm import quality_rules as q
+from fleetgauge.llm import spelling as w
 
 
 def quality_rules() -> str:
@@ -80,3 +82,61 @@ SELECT doc_id, block, place, base + coalesce(frame - first_frame, 0) * slots + s
     base + coalesce(frame - first_frame, 0) * slots + (j * slots) // quota AS release,
     base + coalesce(frame - first_frame, 0) * slots + ((j + 1) * slots + quota - 1) // quota AS deadline
 FROM blocks JOIN placed USING (s, phase, j)"""
+
+
+def clusters() -> str:
+    """One block of CTEs a round: distances by a join over the components, then floored means."""
+    rounds = []
+    for i in range(k.ROUNDS + 1):
+        rounds.append(f"""
+d{i} AS MATERIALIZED (SELECT rid, c, sum((v.x - z.x) * (v.x - z.x))::BIGINT AS distance FROM v JOIN c{i} z USING (i) GROUP BY rid, c),
+a{i} AS MATERIALIZED (SELECT rid, arg_min(c, struct_pack(distance := distance, c := c)) AS c, min(distance) AS distance FROM d{i} GROUP BY rid)""")
+        if i < k.ROUNDS:
+            rounds.append(f"""
+m{i} AS (SELECT c, i, (s - ((s % n) + n) % n) // n AS x
+    FROM (SELECT a.c, v.i, sum(v.x)::BIGINT AS s, count(*)::BIGINT AS n FROM a{i} a JOIN v USING (rid) GROUP BY a.c, v.i)),
+c{i + 1} AS MATERIALIZED (SELECT z.c, z.i, coalesce(m.x, z.x) AS x FROM c{i} z LEFT JOIN m{i} m USING (c, i))""")
+    last = k.ROUNDS
+    return rf"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: greatest(least(floor(greatest(least({k.SCALE} * x::DOUBLE, 1e15), -1e15))::BIGINT, {k.LIMIT}), -{k.LIMIT})) AS v
+    FROM embeddings WHERE len(embedding) = {k.DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {k.DIM}),
+v AS MATERIALIZED (SELECT rid, i, v[i] AS x FROM (SELECT rid, v, unnest(range(1, {k.DIM} + 1)) AS i FROM kept)),
+c0 AS MATERIALIZED (SELECT c, i, v[i] AS x FROM (SELECT v, c, unnest(range(1, {k.DIM} + 1)) AS i FROM (
+    SELECT v, row_number() OVER (ORDER BY sha256('{k.SEED}:' || vec_id::VARCHAR) NULLS LAST, v) - 1 AS c FROM kept) WHERE c < {k.K})),
+{",".join(rounds)},
+digest AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+    sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{last} JOIN kept USING (rid) JOIN digest USING (c)"""
+
+
+def spelling() -> str:
+    """Words that become equal without one letter at the same place differ by a replacement, if of one length; else by an insertion."""
+    return rf"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]),
+    lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS tab),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+per AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(x), 2),
+        lambda i: ('0x' || substr(x, i, 2))::UBIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS h FROM per, bits),
+words AS MATERIALIZED (SELECT CASE WHEN h % {w.EVERY} = 0
+        THEN left(run, (h % length(run)::UBIGINT)::BIGINT) || substr(run, (h % length(run)::UBIGINT)::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= {w.LEAST_LETTERS} AND sum(n) >= {w.LEAST_COUNT}),
+cut AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest, length(word) AS l
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (SELECT DISTINCT a.word, b.word AS near FROM cut a JOIN cut b USING (i, rest, l) WHERE a.word <> b.word
+    UNION SELECT c.word, c.rest FROM cut c WHERE c.rest IN (SELECT word FROM words)
+    UNION SELECT c.rest, c.word FROM cut c WHERE c.rest IN (SELECT word FROM words)),
+found AS MATERIALIZED (SELECT a.word, any_value(a.n) AS n, count(b.word) AS n_near, max(b.n) AS top,
+    min(b.word) FILTER (b.n = m) AS form
+    FROM (SELECT w.word, w.n, r.near, max(x.n) OVER (PARTITION BY w.word) AS m FROM words w LEFT JOIN near r ON r.word = w.word
+        LEFT JOIN words x ON x.word = r.near) a LEFT JOIN words b ON b.word = a.near GROUP BY a.word),
+forms AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN top >= {w.RATIO} * n THEN form END AS form,
+    CASE WHEN top >= {w.RATIO} * n THEN top END AS form_n FROM found),
+chain AS (SELECT word, word AS last, 0 AS step FROM forms
+    UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n
+FROM forms JOIN (SELECT word, arg_max(last, step) AS root FROM chain GROUP BY word) USING (word)"""

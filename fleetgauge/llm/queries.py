@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import backoff, line_dedup, mixing, oracle, pieces, quality_rules, repeats, secret_scan, simhash, toxicity, vectors
+from fleetgauge.llm import (
+    backoff, centroids, line_dedup, mixing, oracle, personal, pieces, quality_rules, repeats, secret_scan, simhash, spelling, toxicity, vectors,
+)
 from fleetgauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +60,20 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [f"cast(size(regexp_extract_all(base, '(^|,){k}:', 0)) AS bigint) AS n_{k}" for k in personal.BASE]
+    return personal.find(spark, table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id", *kinds, "sha2(base, 256) AS base_sha256", "found AS spans")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -69,8 +85,13 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embeddings": op9_embeddings,
     "op10_lm_scores": op10_lm_scores,
+    "op11_personal_data": op11_personal_data,
+    "op12_centroids": op12_centroids,
+    "op13_spelling": op13_spelling,
 }
 ORACLE: dict[str, str] = {
     "op4_mixing": oracle.mixing(),
     "op5_quality_rules": oracle.quality_rules(),
+    "op12_centroids": oracle.clusters(),
+    "op13_spelling": oracle.spelling(),
 }
