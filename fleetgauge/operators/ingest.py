@@ -97,19 +97,24 @@ def telemetry_of(normalised: DataFrame) -> DataFrame:
     return normalised.select("file_id", "row", *v.SIGNALS, "extras")
 
 
-def provenance_of(resolved: DataFrame, files: DataFrame) -> DataFrame:
+def provenance_of(resolved: DataFrame, files: DataFrame, refused: DataFrame | None = None) -> DataFrame:
     """Provenance per file without header conflicts, from its resolved columns; ``files``: file_id, source_path,
-    data_origin, scenario_id (and more, kept)."""
-    resolved = resolved.join(header_conflicts(resolved).select("file_id").distinct(), "file_id", "left_anti")
+    data_origin, scenario_id (and more, kept).
+
+    ``refused`` names the files with conflicts if the caller knows them: a log in several parts has the columns of
+    all its headers, which may name a signal differently.
+    """
+    refused = header_conflicts(resolved) if refused is None else refused
+    resolved = resolved.join(refused.select("file_id").distinct(), "file_id", "left_anti")
     names = ", ".join(f"'{s}'" for s in v.SIGNALS)
     per_file = resolved.groupBy("file_id").agg(
         F.expr(f"filter(array({names}), s -> array_contains(collect_set(canonical), s)) AS present"),
-        F.expr("map_from_entries(array_sort(collect_list(CASE WHEN canonical <> source_column THEN "
+        F.expr("map_from_entries(array_sort(collect_set(CASE WHEN canonical <> source_column THEN "
                "struct(source_column, canonical) END))) AS renamed"),
-        F.expr("array_sort(collect_list(CASE WHEN factor IS NOT NULL THEN named_struct('source_column', source_column, "
+        F.expr("array_sort(collect_set(CASE WHEN factor IS NOT NULL THEN named_struct('source_column', source_column, "
                "'target_column', canonical, 'source_unit', unit, 'target_unit', target_unit, 'factor', factor) END)) "
                "AS conversions"),
-        F.expr("array_sort(collect_list(CASE WHEN canonical IS NULL THEN source_column END)) AS passthrough"),
+        F.expr("array_sort(collect_set(CASE WHEN canonical IS NULL THEN source_column END)) AS passthrough"),
     )
     return files.join(per_file, "file_id")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
 from fleetgauge.operators import ingest as ing
 from fleetgauge.plans import fixtures as fx
+from fleetgauge.session import shared_folder
+from fleetgauge.sources import documents as docs
+from fleetgauge.sources import telemetry as src
 from fleetgauge.plans.registry import r6, register
 from fleetgauge.plans.views import VIEWS
 
@@ -78,3 +83,62 @@ def file_provenance(spark, sf_dir):
     rows = ing.provenance_of(ing.resolve_columns(headers), headers.select("file_id"))
     return rows.select("file_id", F.array_join("present", ",").alias("present"),
                        F.size("conversions").cast("bigint").alias("conversions"))
+
+
+def _exported(spark, sf_dir):
+    """The fleet as CSV logs: km/h speeds, a bare time column whose unit the sidecar declares, notes with quotes and line breaks."""
+    path = f"{shared_folder(spark)}/fleetgauge-csv-{uuid.uuid4().hex}"
+    frame = src.to_export(fx.telemetry(spark, sf_dir).select("file_id", "row", v.TIMESTAMP, v.SPEED, v.GAP, v.REL_V))
+    frame = frame.selectExpr(
+        "file_id", "row", f"{v.TIMESTAMP} * 1e3 AS timestamp", "ego_speed_kmh", f"{v.GAP}", "relative_velocity_kmh",
+        "CASE row % 7 WHEN 0 THEN concat('say \"', row, '\",', chr(10), chr(10), 'then go on') WHEN 1 THEN 'a, b' ELSE 'plain' END AS note")
+    src.write_export(frame, path)
+    sidecars = frame.select("file_id").distinct().selectExpr(
+        "file_id", "concat('SCN-', file_id) AS scenario_id", "'synthetic' AS data_origin", "map('timestamp', 'ms') AS column_units")
+    sidecars.write.mode("append").partitionBy("file_id").json(path)
+    return path
+
+
+def _log(column="source_path"):
+    return F.regexp_extract(column, "file_id=([^/]+)", 1).alias("file_id")
+
+
+@register("telemetry_scan", """
+SELECT file_id, row, round(t, 6) AS timestamp_s, round(speed, 6) AS ego_speed_mps, round(gap, 6) AS relative_distance_m,
+  CASE row % 7 WHEN 0 THEN concat('say "', row, '",', chr(10), chr(10), 'then go on') WHEN 1 THEN 'a, b' ELSE 'plain' END AS note FROM v_tel""")
+def telemetry_scan(spark, sf_dir):
+    path = _exported(spark, sf_dir)
+    logs = src.load_telemetry(spark, f"{path}/*", src.read_sidecars(spark, path, "*.json"))
+    named = logs.telemetry.join(logs.provenance.select("file_id", _log().alias("log")), "file_id")
+    return named.select(F.col("log").alias("file_id"), "row", *[r6(c).alias(c) for c in (v.TIMESTAMP, v.SPEED, v.GAP)],
+                        F.col("extras")["note"].alias("note"))
+
+
+@register("sidecar_scan", """
+SELECT file_id, concat('SCN-', file_id) AS scenario_id, 'synthetic' AS data_origin, count(*) AS rows, 3 AS conversions FROM v_tel GROUP BY 1""")
+def sidecar_scan(spark, sf_dir):
+    path = _exported(spark, sf_dir)
+    logs = src.load_telemetry(spark, f"{path}/*", src.read_sidecars(spark, path, "*.json"))
+    return logs.provenance.select(_log(), "scenario_id", "data_origin", "rows", F.size("conversions").alias("conversions"))
+
+
+def _document_files(spark, sf_dir):
+    path = f"{shared_folder(spark)}/fleetgauge-md-{uuid.uuid4().hex}"
+    fx.raw_documents(spark, sf_dir).select("doc_id", "raw").write.partitionBy("doc_id").text(path)
+    return path
+
+
+def _doc_id(column):
+    return F.regexp_extract(column, "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id")
+
+
+@register("file_sha256", "SELECT doc_id, sha256(raw || chr(10)) AS sha256 FROM v_docs")
+def file_sha256(spark, sf_dir):
+    """Content hashes of the documents written as one file each."""
+    return src.content_hashes(spark, _document_files(spark, sf_dir), "*.txt").select(_doc_id("source_path"), "sha256")
+
+
+@register("document_scan", "SELECT doc_id, CAST(length(raw) + 1 AS BIGINT) AS chars, sha256(raw || chr(10)) AS sha256 FROM v_docs")
+def document_scan(spark, sf_dir):
+    return docs.read_documents(spark, f"{_document_files(spark, sf_dir)}/*", "*.txt").select(
+        _doc_id("source_path"), F.length("raw").cast("bigint").alias("chars"), F.sha2("raw", 256).alias("sha256"))

@@ -10,9 +10,9 @@ from fleetgauge.operators.retrieval import DIMENSION
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """``file_name, raw``, one row per document."""
+    """``source_path, file_name, raw``, one row per document."""
     return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
+        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
 
 
 def write_index(indexed: DataFrame, postings: DataFrame, path: str, provider: str, model: str) -> None:
