@@ -1,51 +1,55 @@
 """Keyword and vector index, and hybrid retrieval behind an access wall.
 
-Vectors are signed feature hashes: whole numbers, so dot products are exact and do not depend on
-the order of summation. Keyword contributions are summed as fixed-point whole numbers for the
-same reason. Equal chunks therefore get equal scores and ties fall back to corpus order.
+Hashed vectors are whole numbers, so their dot products are exact and do not depend on the order of summation; vectors
+of a model may be given instead, of any length. Keyword contributions are summed as fixed-point whole numbers. Equal
+chunks therefore get equal scores and ties fall back to corpus order.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
 from fleetgauge.functions import text as tx
-from fleetgauge.operators.segments import ranked
 from fleetgauge.policies import RetrievalFilters, RetrievalWeights
 from fleetgauge.session import stored
 
 DIMENSION = 32
 K1, B = 1.5, 0.75
 FIXED_POINT = 1e12
-QUERY_BLOCK = 256  # queries scored together; bounds what is sent to every task
+QUERY_BLOCK = 256  # queries and chunks scored together, on average: the size of a task's matrix
+CHUNK_BLOCK = 8192
+IMPACT_BLOCK = 1024  # chunks whose postings of a term are stored together
+FIRST_BLOCKS = 2  # blocks scored to get a first k-th best score
 
 
 # --- index -------------------------------------------------------------------------------------
 
 
-def hashed_embedding(texts: DataFrame, key: str, column: str, dim: int = DIMENSION) -> DataFrame:
-    """``key, vector ARRAY<BIGINT>, norm``; null vector for a text without tokens.
+def vector_of(text: Column, dim: int = DIMENSION) -> Column:
+    """Signed feature hashes of a text's tokens as ARRAY<BIGINT>; null without tokens. A value of the row alone."""
+    hashes = F.transform(tx.embedding_tokens(text), lambda t: F.sha2(t, 256))
+    # one number per token: twice the bucket, plus 1 for a positive sign
+    codes = F.transform(hashes, lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim) * 2
+                        + F.conv(F.substring(h, 10, 1), 16, 10).cast("bigint") % 2)
+    vector = F.aggregate(codes, F.array_repeat(F.lit(0).cast("bigint"), dim), lambda held, c: F.transform(
+        held, lambda x, i: x + F.when(i == F.shiftright(c, 1), (c % 2) * 2 - 1).otherwise(0)))
+    return F.when(F.lower(text).rlike(v.EMBEDDING_TOKEN_PATTERN), vector)
 
-    The explode is aggregated in the task that made it: at most ``dim`` rows per text are shuffled.
-    """
-    tokens = texts.select(key, F.explode_outer(tx.embedding_tokens(F.col(column))).alias("token"))
-    hashed = tokens.withColumn("h", F.sha2("token", 256)).selectExpr(
-        key, "token", f"CAST(conv(substring(h, 1, 8), 16, 10) AS BIGINT) % {dim} AS bucket",
-        "IF(CAST(conv(substring(h, 10, 1), 16, 10) AS INT) % 2 = 1, 1, -1) AS sign")
-    # explode_outer keeps a text without tokens as one row with a null bucket
-    weights = hashed.groupBy(key, "bucket").agg(F.expr("sum(IF(token IS NULL, NULL, sign)) AS w"))
-    packed = weights.groupBy(key).agg(F.expr(
-        "map_from_entries(collect_list(CASE WHEN bucket IS NOT NULL THEN struct(bucket, w) END)) AS m"))
-    vector = f"IF(size(m) > 0, transform(sequence(0L, {dim - 1}L), i -> coalesce(m[i], 0L)), NULL) AS vector"
-    return packed.selectExpr(key, vector).selectExpr(
-        "*", "sqrt(CAST(aggregate(vector, 0L, (s, x) -> s + x * x) AS DOUBLE)) AS norm")
+
+NORM = "sqrt(CAST(aggregate(vector, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS DOUBLE)) AS norm"
+
+
+def hashed_embedding(texts: DataFrame, key: str, column: str, dim: int = DIMENSION) -> DataFrame:
+    """``key, vector ARRAY<BIGINT>, norm``; null vector for a text without tokens. No shuffle."""
+    return texts.select(key, vector_of(F.col(column), dim).alias("vector")).selectExpr("*", NORM)
 
 
 def l2_normalise(vectors: DataFrame, column: str) -> DataFrame:
@@ -67,15 +71,18 @@ def postings(chunks: DataFrame) -> DataFrame:
         "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def build_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_index(chunks: DataFrame, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Indexed chunks (with ``doc_len, vector, norm``) and postings.
 
     The whole corpus is indexed, restricted chunks included: term statistics must not change
-    with the reader's access.
+    with the reader's access. ``vectors`` (chunk_id, vector) are those of a model; without them texts are hashed.
     """
     sized = chunks.withColumn("doc_len", F.size(tx.tokenize(F.col("text"))))
-    indexed = sized.join(hashed_embedding(chunks, "chunk_id", "text"), "chunk_id")
-    return indexed, postings(chunks)
+    if vectors is None:
+        indexed = sized.withColumn("vector", vector_of(F.col("text")))
+    else:
+        indexed = sized.join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
+    return indexed.selectExpr("*", NORM), postings(chunks)
 
 
 def term_df(posting_table: DataFrame) -> DataFrame:
@@ -96,32 +103,98 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term"))
 
 
+def _impacts(posting_table: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Postings with ``part``, what a term adds to a chunk's score as a fixed-point whole number."""
+    stats = corpus_stats(indexed).first()
+    n, avg_len = int(stats["n_chunks"]), float(stats["avg_len"] or 0.0)
+    idf = term_df(posting_table).withColumn("idf", F.expr(f"ln(1D + ({n} - df + 0.5D) / (df + 0.5D))"))
+    norm = f"{K1}D * (1D - {B}D + {B}D * doc_len / {avg_len!r}D)" if avg_len else f"{K1}D"
+    return posting_table.join(idf, "term").join(indexed.select("chunk_id", "doc_len"), "chunk_id").select(
+        "term", "chunk_id", F.expr(
+            f"CAST(round(idf * tf * {K1 + 1}D / (tf + {norm}) * {FIXED_POINT:.0f}D) AS BIGINT)").alias("part"))
+
+
 def bm25_score(queries: DataFrame, indexed: DataFrame, posting_table: DataFrame) -> DataFrame:
     """``query_id, chunk_id, score`` of every chunk that shares a term with the query.
 
     Postings meet the queries' terms only (semi-reduced first), and the contributions of a pair
-    are combined before they are shuffled.
+    are combined before they are shuffled. For the best chunks alone see ``bm25_topk``.
     """
     asked = query_terms(queries)
-    vocabulary = asked.select("term").distinct()
-    stats = indexed.agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.avg("doc_len").alias("avg_len")).first()
-    n, avg_len = int(stats["n_chunks"]), float(stats["avg_len"] or 0.0)
-    hits = posting_table.join(vocabulary, "term", "left_semi")
-    idf = term_df(hits).withColumn("idf", F.expr(f"ln(1D + ({n} - df + 0.5D) / (df + 0.5D))"))
-    lengths = indexed.select("chunk_id", "doc_len")
-    norm = f"{K1}D * (1D - {B}D + {B}D * doc_len / {avg_len!r}D)" if avg_len else f"{K1}D"
-    weighted = (
-        hits.join(idf, "term").join(lengths, "chunk_id")
-        .select("term", "chunk_id", F.expr(
-            f"CAST(round(idf * tf * {K1 + 1}D / (tf + {norm}) * {FIXED_POINT:.0f}D) AS BIGINT)").alias("part"))
-    )
+    hits = posting_table.join(asked.select("term").distinct(), "term", "left_semi")
     return (
-        weighted.join(asked, "term")
+        _impacts(hits, indexed).join(asked, "term")
         .groupBy("query_id", "chunk_id").agg((F.sum("part") / F.lit(FIXED_POINT)).alias("score"))
     )
 
 
+def impact_blocks(indexed: DataFrame, posting_table: DataFrame) -> DataFrame:
+    """``term, block, most, entries``: the postings of a term in a block of chunks, and the largest part among them.
+
+    A block has about IMPACT_BLOCK chunks, so no row grows with the corpus: a frequent term has more rows, not a longer one.
+    """
+    blocks = max(1, -(-indexed.count() // IMPACT_BLOCK))
+    placed = _impacts(posting_table, indexed).withColumn("block", F.expr(f"pmod(xxhash64(chunk_id), {blocks})"))
+    return placed.groupBy("term", "block").agg(
+        F.max("part").alias("most"), F.collect_list(F.struct("chunk_id", "part")).alias("entries"))
+
+
+def _best_of_blocks(top_k: int, id_type: str):
+    """Per (query, block): adds up the parts of each chunk and keeps the best."""
+    schema = pa.schema([("query_id", id_type), ("chunk_id", pa.string()), ("total", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("entries")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if not sizes.sum():
+                continue
+            flat = lists.flatten()
+            # ids get numbers in their own order, so a tie goes to the smaller id
+            names = pc.unique(flat.field("chunk_id")).sort()
+            number = pc.index_in(flat.field("chunk_id"), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys, back = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(names) + number, return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, back, flat.field("part").to_numpy(zero_copy_only=False))
+            row = keys // len(names)
+            order = np.lexsort((keys, -total, row))
+            place = np.arange(len(keys)) - np.searchsorted(row, row)
+            kept = order[place < top_k]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_id").take(pa.array(row[kept])), names.take(pa.array(keys[kept] % len(names))), pa.array(total[kept])],
+                schema=schema)
+    return run
+
+
+def bm25_topk(queries: DataFrame, impacts: DataFrame, top_k: int = 10) -> DataFrame:
+    """``query_id, rank, chunk_id, score``: the ``top_k`` chunks of each query by keyword score, ties by id.
+
+    A block of chunks can't score more than the sum of its terms' largest parts. The FIRST_BLOCKS most promising blocks
+    of a query are scored; what its k-th chunk then has is the least that counts, so only blocks whose bound
+    reaches it are scored besides. The result is exact. Pairs of queries and blocks become rows, pairs of queries and chunks don't.
+    """
+    id_type = dict(queries.dtypes)["query_id"]
+    asked = query_terms(queries)
+    bounds = stored(asked.join(impacts.select("term", "block", "most"), "term").groupBy("query_id", "block").agg(
+        F.sum("most").alias("bound")), "block-bounds")
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    by_total = Window.partitionBy("query_id").orderBy(F.desc("total"), "chunk_id")
+    first = stored(bounds.withColumn("_place", F.row_number().over(by_bound)).where(f"_place <= {FIRST_BLOCKS}").drop("_place"), "first-blocks")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        found = pairs.select("query_id", "block").join(asked, "query_id").join(impacts.select("term", "block", "entries"), ["term", "block"])
+        merged = found.groupBy("query_id", "block").agg(F.flatten(F.collect_list("entries")).alias("entries")).select("query_id", "entries")
+        arrow_id = merged.limit(0).select("query_id").toArrow().schema.field(0).type
+        return merged.mapInArrow(_best_of_blocks(top_k, arrow_id), f"query_id {id_type}, chunk_id string, total bigint")
+
+    best = stored(scored(first), "first-best")
+    least = best.withColumn("_place", F.row_number().over(by_total)).where(f"_place = {top_k}").select("query_id", F.col("total").alias("least"))
+    rest = bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(least, "query_id", "left").where(
+        "least IS NULL OR bound >= least")
+    return best.unionByName(scored(rest)).withColumn("rank", F.row_number().over(by_total)).where(f"rank <= {top_k}").select(
+        "query_id", "rank", "chunk_id", (F.col("total") / F.lit(FIXED_POINT)).alias("score"))
+
+
 # --- access and filters --------------------------------------------------------------------------
 
 
@@ -155,9 +228,16 @@ def minmax(x: Column, low: Column, high: Column) -> Column:
     return F.when(high - low < 1e-12, flat).otherwise((x - low) / (high - low))
 
 
-def minmax_per_query(scores: DataFrame, column: str, out: str) -> DataFrame:
-    """Min-max over each query's candidates, from pre-aggregated extremes."""
-    bounds = scores.groupBy("query_id").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+def minmax_per_query(scores: DataFrame, column: str, out: str, candidates: DataFrame) -> DataFrame:
+    """Min-max over each query's candidates, from pre-aggregated extremes.
+
+    ``scores`` lists pairs with a score other than 0; candidates that are not listed have 0 and count among the extremes.
+    Listed pairs that are no candidates (withheld or filtered out) are dropped.
+    """
+    n = candidates.count()
+    scores = scores.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
+    bounds = scores.groupBy("query_id").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count("*").alias("_n")).selectExpr(
+        "query_id", f"IF(_n < {n}, least(_lo, 0), _lo) AS _lo", f"IF(_n < {n}, greatest(_hi, 0), _hi) AS _hi")
     return scores.join(bounds, "query_id").withColumn(
         out, minmax(F.col(column), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
@@ -172,91 +252,95 @@ def prior_score(today: dt.date, weights: RetrievalWeights) -> Column:
 # --- hybrid retrieval ------------------------------------------------------------------------------
 
 
-class _QueryBlock:
-    """Numpy form of at most QUERY_BLOCK queries, small enough to go to every task."""
-
-    def __init__(self, rows, terms, idf, avg_len):
-        self.ids = [r["query_id"] for r in rows]
-        self.vectors = np.array(
-            [r["vector"] if r["vector"] is not None else [0] * DIMENSION for r in rows], dtype="float64")
-        norms = np.array([r["norm"] or 1.0 for r in rows], dtype="float64")
-        self.norms = np.where(norms == 0, 1.0, norms)
-        self.avg_len = avg_len
-        self.term_no = {t: i for i, t in enumerate(idf)}
-        self.idf = np.array(list(idf.values()), dtype="float64")
-        place = {q: i for i, q in enumerate(self.ids)}
-        pairs = sorted((self.term_no[t], place[q]) for q, t in terms if t in self.term_no)
-        self.asked_by = np.array([q for _, q in pairs], dtype="int64")
-        starts = np.searchsorted([t for t, _ in pairs], np.arange(len(self.idf) + 1))
-        self.term_start = np.asarray(starts, dtype="int64")
-
-    def score(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """(cosine, keyword) of every row of the batch against every query."""
-        n, q = batch.num_rows, len(self.ids)
-        vectors = np.zeros((n, DIMENSION))
-        listed = batch.column("vector")
-        have = np.asarray(listed.is_valid())
-        if have.any():
-            vectors[have] = listed.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSION)
-        norms = batch.column("norm").fill_null(1.0).to_numpy(zero_copy_only=False)
-        cosine = (vectors @ self.vectors.T) / (np.where(norms == 0, 1.0, norms)[:, None] * self.norms)
-        keyword = np.zeros((n, q))
-        held, counts = batch.column("term_nos"), batch.column("tfs")
-        sizes = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
-        if sizes.sum():
-            row = np.repeat(np.arange(n), sizes)
-            term = held.flatten().to_numpy(zero_copy_only=False).astype("int64")
-            tf = counts.flatten().to_numpy(zero_copy_only=False).astype("float64")
-            length = batch.column("doc_len").to_numpy(zero_copy_only=False).astype("float64")[row]
-            norm = K1 * (1 - B + B * length / self.avg_len) if self.avg_len else K1
-            part = np.rint(self.idf[term] * tf * (K1 + 1) / (tf + norm) * FIXED_POINT)
-            fan = self.term_start[term + 1] - self.term_start[term]
-            first = np.repeat(self.term_start[term] - np.cumsum(fan) + fan, fan)
-            query = self.asked_by[first + np.arange(fan.sum())]
-            flat = np.repeat(row, fan) * q + query
-            keyword = np.bincount(flat, weights=np.repeat(part, fan), minlength=n * q).reshape(n, q)
-        return cosine, keyword / FIXED_POINT
-
-
-def _extremes(block: _QueryBlock):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                cos, kw = block.score(batch)
-                yield pa.RecordBatch.from_pydict({
-                    "q": np.arange(len(block.ids)), "n": np.full(len(block.ids), batch.num_rows),
-                    "cos_lo": cos.min(0), "cos_hi": cos.max(0), "kw_lo": kw.min(0), "kw_hi": kw.max(0)})
-    return run
-
-
 def _scaled(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     flat = hi - lo < 1e-12
     return np.where(flat, np.where(hi <= 0, 0.0, 1.0), (x - lo) / np.where(flat, 1.0, hi - lo))
 
 
-def _local_best(block: _QueryBlock, bounds: np.ndarray, weights: RetrievalWeights, top_k: int):
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cos, kw = block.score(batch)
-            prior = batch.column("prior").to_numpy(zero_copy_only=False)[:, None]
-            final = (weights.vector * _scaled(cos, bounds[0], bounds[1])
-                     + weights.keyword * _scaled(kw, bounds[2], bounds[3]) + prior)
-            names = batch.column("file_name").to_pylist()
-            ordinals = batch.column("ordinal").to_pylist()
-            corpus = np.array(sorted(range(len(names)), key=lambda i: (names[i], ordinals[i])))
-            ordered = final[corpus]  # rows in corpus order, so a stable sort breaks ties by it
-            k = min(top_k, len(corpus))
-            best = np.argsort(-ordered, axis=0, kind="stable")[:k]
-            rows = corpus[best].T.ravel()
-            q = np.repeat(np.arange(len(block.ids)), k)
-            yield pa.RecordBatch.from_pydict({
-                "query_id": pa.array([block.ids[i] for i in q], pa.int64()),
-                "chunk_id": batch.column("chunk_id").take(pa.array(rows)),
-                "file_name": batch.column("file_name").take(pa.array(rows)),
-                "ordinal": batch.column("ordinal").take(pa.array(rows)),
-                "score": final[rows, q], "vector_score": cos[rows, q], "keyword_score": kw[rows, q]})
+def _matrix(table: pa.Table, dim: int) -> np.ndarray:
+    """Vectors over their norms; a missing or zero vector is zero."""
+    listed = table.column("vector").combine_chunks()
+    out = np.zeros((table.num_rows, dim))
+    have = np.asarray(listed.is_valid())
+    if have.any():
+        out[have] = listed.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
+    return out
+
+
+def _norms(table: pa.Table) -> np.ndarray:
+    norms = pc.fill_null(table.column("norm"), 1.0).to_numpy().astype("float64")
+    return np.where(norms == 0, 1.0, norms)
+
+
+def _dimension(*tables: pa.Table) -> int:
+    sizes = {n for t in tables for n in pc.unique(pc.list_value_length(t.column("vector"))).to_pylist() if n is not None}
+    if len(sizes) > 1:
+        raise ValueError(f"vector dimensions differ: {sorted(sizes)}")
+    return sizes.pop() if sizes else 1
+
+
+def _pair_scores(queries: pa.Table, chunks: pa.Table, avg_len: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cosine, keyword) of every chunk (rows) against every query (columns) of two blocks."""
+    dim = _dimension(queries, chunks)
+    cosine = (_matrix(chunks, dim) @ _matrix(queries, dim).T) / (_norms(chunks)[:, None] * _norms(queries))
+    n, q = chunks.num_rows, queries.num_rows
+    asked, held = queries.column("terms").combine_chunks(), chunks.column("hits").combine_chunks()
+    words = asked.flatten().field("term")
+    names = pc.unique(words)
+    keyword = np.zeros((n, q))
+    if not len(names) or not len(held.flatten()):
+        return cosine, keyword
+    # pairs (term number, query), sorted by term, and for each term where its pairs begin
+    term_of = pc.index_in(words, value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+    query_of = np.repeat(np.arange(q), asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    order = np.argsort(term_of, kind="stable")
+    query_of, start = query_of[order], np.searchsorted(term_of[order], np.arange(len(names) + 1))
+    idf = np.zeros(len(names))
+    idf[term_of] = asked.flatten().field("idf").to_numpy(zero_copy_only=False)
+    hits = held.flatten()
+    found = pc.index_in(hits.field("term"), value_set=names)
+    known = np.asarray(found.is_valid())
+    term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n), held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[known]
+    tf = hits.field("tf").to_numpy(zero_copy_only=False).astype("float64")[known]
+    length = chunks.column("doc_len").to_numpy().astype("float64")[row]
+    norm = K1 * (1 - B + B * length / avg_len) if avg_len else K1
+    part = np.rint(idf[term] * tf * (K1 + 1) / (tf + norm) * FIXED_POINT)
+    fan = start[term + 1] - start[term]
+    first = np.repeat(start[term] - np.cumsum(fan) + fan, fan)
+    flat = np.repeat(row, fan) * q + query_of[first + np.arange(fan.sum())]
+    keyword = np.bincount(flat, weights=np.repeat(part, fan), minlength=n * q).reshape(n, q)
+    return cosine, keyword / FIXED_POINT
+
+
+_BOUNDS = ("cos_lo", "cos_hi", "kw_lo", "kw_hi")
+
+
+def _extremes(avg_len: float, schema: pa.Schema):
+    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        if not queries.num_rows or not chunks.num_rows:
+            return schema.empty_table()
+        cos, kw = _pair_scores(queries, chunks, avg_len)
+        return pa.Table.from_arrays([queries.column("query_id"), *(pa.array(x) for x in (cos.min(0), cos.max(0), kw.min(0), kw.max(0)))], schema=schema)
+    return run
+
+
+def _local_best(avg_len: float, weights: RetrievalWeights, top_k: int, schema: pa.Schema):
+    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        if not queries.num_rows or not chunks.num_rows:
+            return schema.empty_table()
+        # chunks in corpus order, so a stable sort breaks ties by it
+        chunks = chunks.sort_by([("file_name", "ascending"), ("ordinal", "ascending")])
+        cos, kw = _pair_scores(queries, chunks, avg_len)
+        lo_hi = [queries.column(c).to_numpy() for c in _BOUNDS]
+        final = (weights.vector * _scaled(cos, *lo_hi[:2]) + weights.keyword * _scaled(kw, *lo_hi[2:])
+                 + chunks.column("prior").to_numpy()[:, None])
+        k = min(top_k, chunks.num_rows)
+        rows = np.argsort(-final, axis=0, kind="stable")[:k].T.ravel()
+        q = np.repeat(np.arange(queries.num_rows), k)
+        held = [chunks.column(c).take(pa.array(rows)) for c in ("chunk_id", "file_name", "ordinal")]
+        return pa.Table.from_arrays(
+            [queries.column("query_id").take(pa.array(q)), *held, *(pa.array(x[rows, q]) for x in (final, cos, kw))], schema=schema)
     return run
 
 
@@ -267,62 +351,49 @@ def hybrid_retrieve(
 ) -> DataFrame:
     """Ranked chunks per query: ``query_id, rank, chunk_id, score, vector_score, keyword_score``.
 
-    Every candidate has to be scored, since scores are scaled by each query's extremes. Chunks stay
-    where they are: blocks of at most ``QUERY_BLOCK`` queries go to the tasks, which score their
-    Arrow batches as matrices and emit the extremes in a first pass and ``top_k`` rows per query
-    and batch in a second. Pairs never become rows. More queries mean more blocks, not a bigger one.
+    ``queries``: ``query_id`` (of any type, one row each), ``query`` and, if the index holds vectors of a model, ``vector``.
+
+    Every candidate has to be scored, since scores are scaled by each query's extremes. Queries and chunks lie in blocks
+    by hash; each pair of a query block and a chunk block is a group that scores its pairs as a matrix, first for the
+    extremes, then for ``top_k`` rows per query. Pairs never become rows, nothing passes through the driver but counts, and
+    more queries are more groups of the same two passes.
     """
-    order = F.xxhash64("query_id")
-    numbered = stored(ranked(
-        queries.select("query_id", "query", F.lit(0).alias("_all")), ["_all"], [order, F.col("query_id")],
-        F.shiftright(order, 52), "number").select("query_id", "query", "number"), "query-blocks")
-    blocks = -(-numbered.count() // QUERY_BLOCK) or 1
-    embedded = numbered.join(hashed_embedding(queries, "query_id", "query"), "query_id").withColumn(
-        "block", F.floor(F.col("number") / QUERY_BLOCK))
+    id_type = dict(queries.dtypes)["query_id"]
+    if "vector" not in queries.columns:
+        queries = queries.withColumn("vector", vector_of(F.col("query")))
     stats = corpus_stats(indexed).first()
+    avg_len, n = float(stats["avg_len"] or 0.0), int(stats["n_chunks"])
+    asked = stored(query_terms(queries), "asked")
+    hits = posting_table.join(asked.select("term").distinct(), "term", "left_semi")
+    idf = term_df(hits).selectExpr("term", f"ln(1D + ({n} - df + 0.5D) / (df + 0.5D)) AS idf")
+    terms = asked.join(idf, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
     candidates = metadata_filter(access_wall(indexed, filters.allowed_access), filters).select(
-        "chunk_id", "file_name", "ordinal", "doc_len", "vector", "norm",
-        prior_score(today, weights).alias("prior"))
-    parts = [
-        _retrieve_block(candidates, posting_table, embedded.filter(F.col("block") == b), stats, weights, top_k)
-        for b in range(blocks)
-    ]
-    out = reduce(DataFrame.unionByName, parts)
+        "chunk_id", "file_name", F.col("ordinal").cast("int").alias("ordinal"), "doc_len", "vector", "norm", prior_score(today, weights).alias("prior"))
+    per_chunk = hits.groupBy("chunk_id").agg(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"))).alias("hits"))
+    left = stored(queries.selectExpr("query_id", "vector", NORM).join(terms, "query_id", "left"), "asked-blocks")
+    right = stored(candidates.join(per_chunk, "chunk_id", "left"), "chunk-blocks")
+    query_blocks, chunk_blocks = max(1, -(-left.count() // QUERY_BLOCK)), max(1, -(-right.count() // CHUNK_BLOCK))
+
+    def paired(asks: DataFrame):
+        """The query side and the chunk side of every pair of blocks."""
+        asks = asks.withColumn("qb", F.expr(f"pmod(xxhash64(query_id), {query_blocks})")).withColumn(
+            "cb", F.expr(f"explode(sequence(0L, {chunk_blocks - 1}L))"))
+        chunks = right.withColumn("cb", F.expr(f"pmod(xxhash64(chunk_id), {chunk_blocks})")).withColumn(
+            "qb", F.expr(f"explode(sequence(0L, {query_blocks - 1}L))"))
+        return asks.groupBy("qb", "cb").cogroup(chunks.groupBy("qb", "cb"))
+
+    key = left.limit(0).select("query_id").toArrow().schema.field(0).type
+    spans = pa.schema([("query_id", key), *((c, pa.float64()) for c in _BOUNDS)])
+    rows = pa.schema([("query_id", key), ("chunk_id", pa.string()), ("file_name", pa.string()), ("ordinal", pa.int32()),
+                      *((c, pa.float64()) for c in ("score", "vector_score", "keyword_score"))])
+    extremes = paired(left).applyInArrow(
+        _extremes(avg_len, spans), f"query_id {id_type}, " + ", ".join(f"{c} double" for c in _BOUNDS)).groupBy("query_id").agg(
+        *[(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in _BOUNDS])
+    best = paired(left.join(extremes, "query_id")).applyInArrow(
+        _local_best(avg_len, weights, top_k, rows),
+        f"query_id {id_type}, chunk_id string, file_name string, ordinal int, score double, vector_score double, keyword_score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_name", "ordinal")
-    return (
-        out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-        .drop("file_name", "ordinal")
-    )
-
-
-def _retrieve_block(candidates, posting_table, block_queries, stats, weights, top_k) -> DataFrame:
-    rows = block_queries.select("query_id", "query", "vector", "norm").orderBy("query_id").collect()
-    spark = candidates.sparkSession
-    block_df = spark.createDataFrame([(r["query_id"], r["query"]) for r in rows], "query_id long, query string")
-    terms = [(r["query_id"], r["term"]) for r in query_terms(block_df).collect()]
-    vocabulary = spark.createDataFrame([(t,) for t in sorted({t for _, t in terms})], "term string")
-    hits = posting_table.join(F.broadcast(vocabulary), "term")  # at most the words of one block
-    found = {r["term"]: r["df"] for r in term_df(hits).collect()}
-    n = int(stats["n_chunks"])
-    idf = {t: float(np.log(1 + (n - df + 0.5) / (df + 0.5))) for t, df in sorted(found.items())}
-    block = _QueryBlock(rows, terms, idf, float(stats["avg_len"] or 0.0))
-    numbers = spark.createDataFrame(list(block.term_no.items()), "term string, term_no int")
-    per_chunk = (
-        posting_table.join(F.broadcast(numbers), "term").groupBy("chunk_id")
-        .agg(F.collect_list(F.struct("term_no", "tf")).alias("hits"))
-        .select("chunk_id", F.expr("hits.term_no AS term_nos"), F.expr("hits.tf AS tfs"))
-    )
-    scored = candidates.join(per_chunk, "chunk_id", "left")
-    lows = scored.mapInArrow(
-        _extremes(block), "q long, n long, cos_lo double, cos_hi double, kw_lo double, kw_hi double"
-    ).groupBy("q").agg(F.min("cos_lo"), F.max("cos_hi"), F.min("kw_lo"), F.max("kw_hi")).collect()
-    bounds = np.zeros((4, len(rows)))
-    for r in lows:
-        bounds[:, r["q"]] = r[1], r[2], r[3], r[4]
-    return scored.mapInArrow(
-        _local_best(block, bounds, weights, top_k),
-        "query_id long, chunk_id string, file_name string, ordinal int, score double, vector_score double, "
-        "keyword_score double")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).drop("file_name", "ordinal")
 
 
 # --- the query text of a diagnosis ---------------------------------------------------------------

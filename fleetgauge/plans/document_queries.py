@@ -148,15 +148,16 @@ def corpus_summary(spark, sf_dir):
 
 @register("chunk_lookup_guarded", """
 SELECT w.chunk_id, CASE WHEN c.chunk_id IS NULL THEN 404 WHEN c.access_level = 'restricted' THEN 403 ELSE 200 END AS status,
-  CASE WHEN c.access_level <> 'restricted' THEN c.heading END AS heading, CASE WHEN c.access_level <> 'restricted' THEN c.source_type END AS source_type
+  CASE WHEN c.access_level <> 'restricted' THEN c.heading END AS heading, CASE WHEN c.access_level <> 'restricted' THEN c.source_type END AS source_type,
+  CASE WHEN c.access_level <> 'restricted' THEN c.text END AS text
 FROM (SELECT chunk_id FROM v_chunks UNION ALL
-      SELECT 'chunk_' || lpad(CAST(p_partkey AS VARCHAR(12)), 12, '0') FROM part WHERE p_partkey % 6 = 3) w LEFT JOIN v_chunks c ON w.chunk_id = c.chunk_id""")
+      SELECT 'chunk_' || lpad(CAST(p_partkey AS VARCHAR(12)), 12, '0') FROM part) w LEFT JOIN v_chunks c ON w.chunk_id = c.chunk_id""")
 def chunk_lookup_guarded(spark, sf_dir):
     chunks = fx.index(spark, sf_dir)[0]
-    parts = fx.table(spark, sf_dir, "part").filter("p_partkey % 6 = 3").selectExpr(
+    parts = fx.table(spark, sf_dir, "part").selectExpr(
         "concat('chunk_', lpad(cast(p_partkey as string), 12, '0')) as chunk_id")
     wanted = chunks.select("chunk_id").unionByName(parts)
-    return listings.chunk_lookup(chunks, wanted, "internal").select("chunk_id", "status", "heading", "source_type")
+    return listings.chunk_lookup(chunks, wanted, "internal").select("chunk_id", "status", "heading", "source_type", "text")
 
 
 # --- index -----------------------------------------------------------------------------------
@@ -165,10 +166,11 @@ def chunk_lookup_guarded(spark, sf_dir):
 @register("hashed_embedding", """
 SELECT c.chunk_id, string_agg(CAST(coalesce(e.w, 0) AS VARCHAR), ',' ORDER BY b.bucket) AS vector, round(max(n.norm), 6) AS norm
 FROM v_chunks c JOIN v_cnorm n ON c.chunk_id = n.chunk_id CROSS JOIN (SELECT unnest(range(32)) AS bucket) b
-LEFT JOIN v_cvec e ON e.chunk_id = c.chunk_id AND e.bucket = b.bucket GROUP BY c.chunk_id""")
+LEFT JOIN v_cvec e ON e.chunk_id = c.chunk_id AND e.bucket = b.bucket GROUP BY c.chunk_id
+UNION ALL SELECT chunk_id, NULL, NULL FROM v_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM v_cnorm)""")
 def hashed_embedding(spark, sf_dir):
     vectors = retrieval.hashed_embedding(fx.chunks(spark, sf_dir), "chunk_id", "text")
-    return vectors.filter("vector is not null").select(
+    return vectors.select(
         "chunk_id", F.array_join(F.col("vector").cast("array<string>"), ",").alias("vector"), r6("norm").alias("norm"))
 
 
@@ -224,6 +226,13 @@ def bm25_score(spark, sf_dir):
     return rounded(retrieval.bm25_score(fx.retrieval_queries(spark, sf_dir), indexed, posting_table), "score")
 
 
+@register("bm25_topk", """
+SELECT query_id, rank, chunk_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM v_bm25) x WHERE rank <= 10""")
+def bm25_topk(spark, sf_dir):
+    return rounded(retrieval.bm25_topk(fx.retrieval_queries(spark, sf_dir), fx.impacts(spark, sf_dir)), "score")
+
+
 @register("access_wall", """
 SELECT access_level, count(*) AS chunks FROM v_chunks WHERE access_level IN ('public', 'internal') GROUP BY 1""")
 def access_wall(spark, sf_dir):
@@ -246,11 +255,13 @@ def retrieval_candidates(spark, sf_dir):
 
 @register("minmax_per_query", """
 SELECT query_id, chunk_id, round(CASE WHEN hi - lo < 1e-12 THEN CASE WHEN hi <= 0 THEN 0e0 ELSE 1e0 END ELSE (score - lo) / (hi - lo) END, 6) AS scaled
-FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM v_bm25) x""")
+FROM (SELECT query_id, c.chunk_id, b.score, min(coalesce(b.score, 0e0)) OVER (PARTITION BY query_id) AS lo, max(coalesce(b.score, 0e0)) OVER (PARTITION BY query_id) AS hi
+  FROM v_queries q CROSS JOIN v_cand c LEFT JOIN v_bm25 b USING (query_id, chunk_id)) x WHERE score IS NOT NULL""")
 def minmax_per_query(spark, sf_dir):
     indexed, posting_table = fx.index(spark, sf_dir)
     scores = retrieval.bm25_score(fx.retrieval_queries(spark, sf_dir), indexed, posting_table)
-    return rounded(retrieval.minmax_per_query(scores, "score", "scaled").select("query_id", "chunk_id", "scaled"), "scaled")
+    candidates = retrieval.metadata_filter(retrieval.access_wall(indexed, READER.allowed_access), READER)
+    return rounded(retrieval.minmax_per_query(scores, "score", "scaled", candidates).select("query_id", "chunk_id", "scaled"), "scaled")
 
 
 def _retrieved(spark, sf_dir):

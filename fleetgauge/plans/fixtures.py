@@ -64,10 +64,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Indexed chunks and postings of the document corpus, built once per session."""
-    return (
-        _ingested(spark, sf_dir, "chunks", lambda s, d: retrieval.build_index(chunks(s, d))[0]),
-        _ingested(spark, sf_dir, "postings", lambda s, d: retrieval.postings(chunks(s, d))),
-    )
+    indexed = _ingested(spark, sf_dir, "chunks", lambda s, d: retrieval.build_index(chunks(s, d))[0])
+    return indexed, _ingested(spark, sf_dir, "postings", lambda s, d: retrieval.postings(indexed))
+
+
+def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings in blocks with their largest impact, built once per session."""
+    return _ingested(spark, sf_dir, "impacts", lambda s, d: retrieval.impact_blocks(*index(s, d)))
 
 
 def build_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

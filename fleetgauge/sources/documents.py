@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
-from fleetgauge.operators.retrieval import DIMENSION
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
@@ -19,9 +18,8 @@ def write_index(indexed: DataFrame, postings: DataFrame, path: str, provider: st
     """Chunks with vectors by source type, postings, and a one-row manifest."""
     indexed.write.mode("overwrite").partitionBy("source_type").parquet(f"{path}/chunks")
     postings.write.mode("overwrite").parquet(f"{path}/postings")
-    indexed.agg(F.count(F.lit(1)).alias("chunks")).select(
-        F.lit(v.INDEX_FORMAT).alias("format"), F.lit(provider).alias("provider"), F.lit(model).alias("model"),
-        F.lit(DIMENSION).alias("dimension"), "chunks",
+    indexed.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimension")).select(
+        F.lit(v.INDEX_FORMAT).alias("format"), F.lit(provider).alias("provider"), F.lit(model).alias("model"), "dimension", "chunks",
     ).write.mode("overwrite").json(f"{path}/manifest")
 
 
