@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
 from fleetgauge.functions import text as tx
-from fleetgauge.operators import corpus, listings, retrieval
+from fleetgauge.operators import cells, corpus, listings, retrieval
 from fleetgauge.plans import document_views as dv  # noqa: F401  (adds the views)
 from fleetgauge.plans import fixtures as fx
 from fleetgauge.plans.registry import r6, register, rounded
 from fleetgauge.plans.telemetry_queries import _analysis
 from fleetgauge.policies import RetrievalFilters, RetrievalWeights
+from fleetgauge.session import shared_folder
 
 TODAY = dt.date(2026, 6, 1)
 READER = RetrievalFilters(allowed_access=("public", "internal"), feature="AEB")
@@ -302,3 +304,18 @@ SELECT file_id, concat_ws(' ', '{v.BASE_QUERY}', string_agg(name, ' ' ORDER BY m
 FROM v_metrics GROUP BY file_id""")
 def retrieval_query_text(spark, sf_dir):
     return retrieval.retrieval_query_text(_analysis(spark, sf_dir).metrics)
+
+
+@register("vector_search", """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda y: y::DOUBLE) AS e,
+    sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS norm FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (q.norm * v.norm) AS cosine FROM u q, u v WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, round(cosine, 6) AS cosine
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM p) x WHERE rank <= 10""")
+def vector_search(spark, sf_dir):
+    """Every hundredth vector asks; all vectors lie in stored cells."""
+    path = f"{shared_folder(spark)}/fleetgauge-cells-{uuid.uuid4().hex}"
+    vectors = fx.table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    cells.write_cells(*cells.build_cells(vectors, "vec_id"), path)
+    asked = vectors.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "vector")
+    return rounded(cells.nearest(asked, *cells.read_cells(spark, path), "query_id", "vec_id"), "cosine")
