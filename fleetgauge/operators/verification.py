@@ -109,50 +109,59 @@ def explode_hypotheses(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- registry ---------------------------------------------------------------------------------
 
 
-def evidence_registry(items: DataFrame, chunk_sources: DataFrame, flagged: DataFrame) -> DataFrame:
+def evidence_registry(items: DataFrame, chunk_sources: DataFrame, flagged: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Evidence items with their source tag and flags.
 
     ``items``: evidence_id, kind, summary, t_s, passed. ``chunk_sources``: evidence_id,
-    source_type, stale. ``flagged``: evidence_id with an injection hit.
+    source_type, stale. ``flagged``: evidence_id with an injection hit. All carry the columns of ``scope`` (the log or
+    run an id belongs to), which are part of every key.
     """
+    key = [*scope, "evidence_id"]
     source = (
         "CASE WHEN kind IN ('metric', 'event', 'window') THEN 'telemetry' "
         "WHEN kind = 'chunk' THEN concat('doc:', coalesce(source_type, 'unknown')) ELSE kind END"
     )
-    marks = flagged.select("evidence_id").distinct().withColumn("hit", F.lit(True))
-    return items.join(chunk_sources, "evidence_id", "left").join(marks, "evidence_id", "left").selectExpr(
-        "evidence_id", "kind", f"{source} AS source", "summary", "t_s", "passed",
+    marks = flagged.select(*key).distinct().withColumn("hit", F.lit(True))
+    return items.join(chunk_sources.select(*key, "source_type", "stale"), key, "left").join(marks, key, "left").selectExpr(
+        *key, "kind", f"{source} AS source", "summary", "t_s", "passed",
         "kind = 'chunk' AND coalesce(stale, false) AS stale", "coalesce(hit, false) AS injection_flagged")
 
 
-def duplicate_ids(registry: DataFrame) -> DataFrame:
-    """Ids that occur more than once; a registry with any is invalid."""
-    return registry.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def duplicate_ids(registry: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Ids that occur more than once in their scope; a registry with any is invalid."""
+    return registry.groupBy(*scope, "evidence_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def resolve_citations(citations: DataFrame, registry: DataFrame) -> DataFrame:
-    """Cited ids, once per hypothesis at their first position, with the artifact or without."""
-    cited = citations.groupBy("hyp_key", "evidence_id").agg(F.min("pos").alias("pos"))
-    known = registry.select("evidence_id", "kind", "source", "t_s", "passed", "stale", "injection_flagged")
-    return cited.join(known, "evidence_id", "left").withColumn("resolved", F.col("source").isNotNull())
+def resolve_citations(citations: DataFrame, registry: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Cited ids, once per hypothesis at their first position, with the artifact or without.
+
+    With ``scope`` an id resolves only to an artifact of the citing hypothesis' own scope.
+    """
+    cited = citations.groupBy("hyp_key", *scope, "evidence_id").agg(F.min("pos").alias("pos"))
+    known = registry.select(*scope, "evidence_id", "kind", "source", "t_s", "passed", "stale", "injection_flagged")
+    return cited.join(known, [*scope, "evidence_id"], "left").withColumn("resolved", F.col("source").isNotNull())
 
 
-def unknown_ids_in_text(texts_: DataFrame, registry: DataFrame, pattern: str = v.OBSERVATION_ID_PATTERN) -> DataFrame:
-    """Id-looking tokens of ``key, text`` that the registry does not hold."""
-    tokens = texts_.selectExpr("key", f"explode(regexp_extract_all(text, {text(pattern)}, 0)) AS evidence_id").distinct()
-    return tokens.join(registry.select("evidence_id"), "evidence_id", "left_anti")
+def unknown_ids_in_text(
+    texts_: DataFrame, registry: DataFrame, pattern: str = v.OBSERVATION_ID_PATTERN, scope: tuple[str, ...] = ()
+) -> DataFrame:
+    """Id-looking tokens of ``key, text`` that the registry does not hold (in the scope of the text)."""
+    key = [*scope, "evidence_id"]
+    tokens = texts_.selectExpr("key", *scope, f"explode(regexp_extract_all(text, {text(pattern)}, 0)) AS evidence_id").distinct()
+    return tokens.join(registry.select(*key), key, "left_anti")
 
 
-def assert_traceable(texts_: DataFrame, registry: DataFrame, own_ids: DataFrame) -> DataFrame:
+def assert_traceable(texts_: DataFrame, registry: DataFrame, own_ids: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Tokens that neither resolve nor are the report's own ids. Any row refuses the report."""
-    unknown = unknown_ids_in_text(texts_, registry, v.REPORT_ID_PATTERN)
+    unknown = unknown_ids_in_text(texts_, registry, v.REPORT_ID_PATTERN, scope)
     return unknown.join(own_ids.select("key", "evidence_id"), ["key", "evidence_id"], "left_anti")
 
 
-def unresolved_ids(hypotheses: DataFrame, citations: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per run: cited ids that were never offered."""
-    cited = citations.join(hypotheses.select("hyp_key", "run_id"), "hyp_key").select("run_id", "evidence_id").distinct()
-    return cited.join(registry.select("evidence_id"), "evidence_id", "left_anti").select("run_id", "evidence_id")
+def unresolved_ids(hypotheses: DataFrame, citations: DataFrame, registry: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Per run: cited ids that were never offered (to the citing scope)."""
+    key = [*scope, "evidence_id"]
+    cited = citations.join(hypotheses.select("hyp_key", "run_id"), "hyp_key").select("run_id", *key).distinct()
+    return cited.join(registry.select(*key), key, "left_anti").select("run_id", "evidence_id")
 
 
 # --- hypotheses ---------------------------------------------------------------------------------
