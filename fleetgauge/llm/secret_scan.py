@@ -9,8 +9,14 @@ put on the worklist again, until nothing new turns up. A layer that has been see
 the text is not decoded again, so cycles end. Every layer knows for each of its characters which characters
 of the text it comes from, so a finding gives the span of the text that encodes it.
 
-Compressed bytes are decompressed in pieces of ``PIECE`` characters which overlap by ``OVERLAP``, so
-memory stays bounded whatever the ratio. Base rules whose match is too short are dropped after matching.
+Compressed bytes give layers of bytes. All of such a layer stands for the same part of the text, so it needs no places, and the
+rules, which know ASCII only, run over the bytes as they are. Streams are looked for at every offset of it, as are escapes
+and base64, so layers may nest in any order and to any depth: the worklist is a list, not a recursion, and a layer seen for the same
+place (by its digest) is not entered again, so a stream that unpacks to itself ends too. What a broken stream gives before it breaks counts.
+
+A layer is held whole, so memory follows the largest one. A stream that gives more than ``WINDOW`` bytes, which takes a text
+of over 250 KB or streams in streams, is handed on in windows, cut behind a byte that no rule and no encoding contains; what
+is lost then is the rest of an inner compressed stream that lies across such a cut. Base rules whose match is too short are dropped after matching.
 
 Defined cases: null text is empty; spans count code points, end exclusive; the spans of ``spans`` are
 distinct and sorted by start, then kind as in ``KINDS``, then end; a repeated row gets a row each.
@@ -57,10 +63,20 @@ HINT = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9
         r"""\\[uUx][0-9A-Fa-f{]|&#|[A-Za-z0-9+/_-]{16}""")
 HINTED = re.compile(HINT)
 
-PIECE = 4 << 20
-OVERLAP = 1 << 16
+#: Compressed bytes read at a time, and unpacked bytes that one layer holds.
+STEP = 1 << 16
+WINDOW = 256 << 20
+ZSTD = b"\x28\xb5\x2f\xfd"
+RULES = (("assign", re.compile(ASSIGN.pattern.encode(), re.IGNORECASE)), ("access", re.compile(ACCESS.pattern.encode())),
+         ("hex", re.compile(HEX.pattern.encode())))
+URL_BYTES, ESCAPE_BYTES, BYTE_BYTES, BASE64_BYTES, BREAK_BYTES, HINTED_BYTES = (
+    re.compile(r.encode()) for r in (URL.pattern, ESCAPE.pattern, BYTE.pattern, BASE64.pattern, BREAK.pattern, HINT))
+#: Bytes that no rule and no encoding contains.
+APART = re.compile(rb"[^A-Za-z0-9+/_=.\-\"':%\\&#;{}\r\n\t ]")
 
 Span = tuple[str, int, int]
+#: A layer of bytes and the part of the text that it stands for.
+Bytes = tuple[bytes, tuple[int, int]]
 
 
 class Layer:
@@ -146,58 +162,93 @@ def _escape(match: str):
     return [(text, 0, len(match))]
 
 
-def _reader(raw: bytes):
-    """What gives the next bytes out of compressed ones, and what tells how many of ``raw`` a whole stream took (0 before)."""
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
-        engine, fed = zstandard.ZstdDecompressor().decompressobj(), [0]
-        held = bytearray()
-
-        def read(n: int) -> bytes:
-            # small steps of input, as this engine gives all they hold
-            while len(held) < n and fed[0] < len(raw) and not engine.eof:
-                step = raw[fed[0]:fed[0] + 1024]
-                fed[0] += len(step)
-                try:
-                    held.extend(engine.decompress(step))
-                except zstandard.ZstdError:
-                    fed[0] = len(raw)
-            got = bytes(held[:n])
-            del held[:n]
-            return got
-
-        return read, lambda: fed[0] - len(engine.unused_data) if engine.eof else 0
-    engine, rest = zlib.decompressobj(47), [raw]
-
-    def read(n: int) -> bytes:
-        got = engine.decompress(rest[0], n)
-        rest[0] = engine.unconsumed_tail
-        return got
-
-    return read, lambda: len(raw) - len(engine.unused_data) if engine.eof else 0
+def _inflated(raw: bytes, start: int) -> tuple[list[bytes], int]:
+    """What the stream at ``start`` holds, in windows, and its end (0 if it does not end whole)."""
+    engine = zstandard.ZstdDecompressor().decompressobj() if raw.startswith(ZSTD, start) else zlib.decompressobj(47)
+    windows, out, at, broken = [], bytearray(), start, False
+    while at < len(raw) and not engine.eof and not broken:
+        step = raw[at:at + STEP]
+        at += len(step)
+        try:
+            out += engine.decompress(step)
+        except (zlib.error, zstandard.ZstdError):
+            broken = True
+            out += _before_error(raw, start, at - len(step), step)
+        if len(out) > WINDOW:
+            cut = next((m.end() for m in APART.finditer(out, WINDOW - (WINDOW >> 4))), WINDOW)
+            windows.append(bytes(out[:cut]))
+            del out[:cut]
+    windows.append(bytes(out))
+    return [w for w in windows if w], at - len(engine.unused_data) if engine.eof else 0
+
+
+def _before_error(raw: bytes, start: int, good: int, step: bytes) -> bytes:
+    """What the step in which a stream breaks gives before it does, byte by byte; the steps before it are read again."""
+    engine = zstandard.ZstdDecompressor().decompressobj() if raw.startswith(ZSTD, start) else zlib.decompressobj(47)
+    for at in range(start, good, STEP):
+        engine.decompress(raw[at:min(at + STEP, good)])
+    out = bytearray()
+    try:
+        for i in range(len(step)):
+            out += engine.decompress(step[i:i + 1])
+    except (zlib.error, zstandard.ZstdError):
+        pass
+    return bytes(out)
 
 
-def _unpacked(raw: bytes) -> Iterator[tuple[str, int, int]]:
-    """Texts of the compressed streams anywhere in ``raw``, each in overlapping pieces with the stream's first byte and its end.
+def _unpacked(raw: bytes) -> Iterator[tuple[list[bytes], int, int]]:
+    """Windows, first byte and end of every compressed stream in ``raw``.
 
     The end of a broken stream is that of ``raw``; after it the search goes on behind its first byte.
     """
     at = 0
     while (m := PACKED.search(raw, at)) is not None:
-        start, tail = m.start(), ""
-        read, taken = _reader(raw[start:])
-        while True:
-            try:
-                got = read(PIECE)
-            except zlib.error:
-                got = b""
-            if not got:
-                break
-            text = tail + got.decode("utf-8", "replace")
-            yield text, start, start + (taken() or len(raw) - start)
-            tail = text[-OVERLAP:]
-            for inner, *_ in _unpacked(got) if PACKED.match(got) else ():
-                yield inner, start, start + (taken() or len(raw) - start)
-        at = start + max(1, taken())
+        windows, end = _inflated(raw, m.start())
+        if windows:
+            yield windows, m.start(), end or len(raw)
+        at = end or m.start() + 1
+
+
+def _url_bytes(m: re.Match) -> bytes:
+    return bytes.fromhex(m[0].decode().replace("%", ""))
+
+
+def _escape_bytes(m: re.Match) -> bytes:
+    return _escape(m[0].decode())[0][0].encode()
+
+
+def _byte(found: str) -> bytes:
+    """The byte an escape stands for, or the UTF-8 bytes of a character beyond them."""
+    if found[0] == "\\" and found[1] not in "uUx":
+        return bytes([SHORT.get(found[1], ord(found[1]))])
+    digits = found[2:].strip("{};")
+    code = int(digits.lstrip("xX"), 16 if found[0] == "\\" or digits[:1] in "xX" else 10)
+    return bytes([code]) if code < 256 else _escape(found)[0][0].encode()
+
+
+def _inner(raw: bytes) -> Iterator[bytes]:
+    """The layers one step of decoding away from a layer of bytes."""
+    if URL_BYTES.search(raw):
+        yield URL_BYTES.sub(_url_bytes, raw)
+    if ESCAPE_BYTES.search(raw):
+        yield ESCAPE_BYTES.sub(_escape_bytes, raw)
+        yield BYTE_BYTES.sub(lambda m: _byte(m[0].decode()), raw)
+    for m in BASE64_BYTES.finditer(raw):
+        whole = BREAK_BYTES.sub(b"", m[0]).replace(b"-", b"+").replace(b"_", b"/")
+        for shift in range(4):
+            body = whole[shift:]
+            body = body[:-1] if len(body) % 4 == 1 else body
+            got = base64.b64decode(body + b"=" * (-len(body) % 4))
+            if HINTED_BYTES.search(got) or PACKED.search(got):
+                yield got
+    for windows, *_ in _unpacked(raw):
+        yield from windows
+
+
+def _byte_kinds(raw: bytes) -> Iterator[str]:
+    for kind, rule in RULES:
+        if any(len(m[2] if kind == "assign" else m[0]) >= LEAST[kind] for m in rule.finditer(raw)):
+            yield kind
 
 
 def _escaped(layer: Layer, rule: re.Pattern) -> tuple[bytes, array, array]:
@@ -220,12 +271,8 @@ def _escaped(layer: Layer, rule: re.Pattern) -> tuple[bytes, array, array]:
         if m[0][0] == "%":
             for i in range(m.start(), m.end(), 3):
                 add(bytes.fromhex(layer.text[i + 1:i + 3]), i, i + 3)
-        elif m[0][0] == "\\" and m[0][1] not in "uUx":
-            add(bytes([SHORT.get(m[0][1], ord(m[0][1]))]), m.start(), m.end())
         else:
-            digits = m[0][2:].strip("{};")
-            code = int(digits.lstrip("xX"), 16 if m[0][0] == "\\" or digits[:1] in "xX" else 10)
-            add(bytes([code]) if code < 256 else _escape(m[0])[0][0].encode(), m.start(), m.end())
+            add(_byte(m[0]), m.start(), m.end())
     copy(at, len(layer.text))
     return bytes(out), first, last
 
@@ -237,7 +284,7 @@ def _hinted(text: str) -> bool:
     return pc.match_substring_regex(pa.array([text]), HINT)[0].as_py()
 
 
-def _decoded(layer: Layer, m: re.Match) -> Iterator[Layer]:
+def _decoded(layer: Layer, m: re.Match) -> Iterator[Layer | Bytes]:
     """What a run of base64 says, from each of its first four characters on."""
     parts, spots, at = [], [], m.start()
     for gap in [*BREAK.finditer(m[0]), None]:
@@ -265,18 +312,21 @@ def _decoded(layer: Layer, m: re.Match) -> Iterator[Layer]:
                 end.append(e)
                 at += n
             yield Layer(re.sub("[\udc80-\udcff]", "\ufffd", raw.decode("utf-8", "surrogateescape")), start, end)
-        for text, a, b in _unpacked(raw):
-            yield Layer(text, *place(a, b))
+        for windows, a, b in _unpacked(raw):
+            for unpacked in windows:
+                yield unpacked, place(a, b)
 
 
-def _parts(layer: Layer) -> Iterator[Layer]:
-    """The layers one step of decoding away."""
+def _parts(layer: Layer) -> Iterator[Layer | Bytes]:
+    """The layers one step of decoding away from a layer of text."""
     for rule, decode, byte in ((URL, _url, URL), (ESCAPE, _escape, BYTE)):
         if (new := _rewritten(layer, rule, decode)) is not None:
             yield new
             raw, first, last = _escaped(layer, byte)
-            for text, a, b in _unpacked(raw):
-                yield Layer(text, layer.place(first[a], first[a] + 1)[0], layer.place(last[b - 1] - 1, last[b - 1])[1])
+            for windows, a, b in _unpacked(raw):
+                at = layer.place(first[a], first[a] + 1)[0], layer.place(last[b - 1] - 1, last[b - 1])[1]
+                for unpacked in windows:
+                    yield unpacked, at
     for m in BASE64.finditer(layer.text):
         yield from _decoded(layer, m)
 
@@ -288,11 +338,19 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     found, seen, work = set(base), set(), [Layer(text)]
     while work:
         layer = work.pop()
-        at = layer.place(0, len(layer.text)) if layer.text else (0, 0)
-        name = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), at)
+        if isinstance(layer, Layer):
+            at = layer.place(0, len(layer.text)) if layer.text else (0, 0)
+            content = layer.text.encode("utf-8", "surrogatepass")
+        else:
+            content, at = layer
+        name = (isinstance(layer, Layer), hashlib.sha256(content).digest(), at)
         if name in seen:
             continue
         seen.add(name)
+        if not isinstance(layer, Layer):
+            found.update((kind, *at) for kind in _byte_kinds(content))
+            work.extend((inner, at) for inner in _inner(content))
+            continue
         if layer.start is not None:
             found.update((kind, *layer.place(a, b)) for kind, a, b in rule_spans(layer.text))
         work.extend(_parts(layer))

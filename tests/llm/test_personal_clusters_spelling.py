@@ -243,25 +243,28 @@ def spelling_rows(seed, letters, size):
     return [(i if i % 9 else None, " ".join(rng.choices(words, k=60)) + ", É×÷ÿÀ ÉÉÉÉÉÉ ÉÉÉÉÉÈ x") for i in range(120)] + [(1, None), (2, ""), (3, "straße STRASSE")]
 
 
-@pytest.mark.parametrize("seed, letters, size, node, few, states", [
-    (1, "abé", 400, 1 << 17, 3, 1 << 18), (2, "abcÉ", 500, 40, 1, 50), (3, "ab", 300, 8, 0, 7), (4, "ab", 200, 1, 3, 1 << 18)])
-def test_variants_equal_brute_force(spark, monkeypatch, seed, letters, size, node, few, states):
+@pytest.mark.parametrize("seed, letters, size, node, groups", [
+    (1, "abé", 400, 1 << 17, spelling.GROUPS), (2, "abcÉ", 500, 300, spelling.GROUPS), (4, "ab", 200, 8, 2)])
+def test_variants_equal_brute_force(spark, monkeypatch, seed, letters, size, node, groups):
+    # the driver alone divides nodes, here down to level ``groups``, where what is left is divided by hash
     monkeypatch.setattr(spelling, "NODE_CHARS", node)
+    monkeypatch.setattr(spelling, "GROUPS", groups)
     rows = spelling_rows(seed, letters, size)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("y") for c in ("word", "n", "node", "run", "id", "h", "s", "d")})
-    if (few, states) != (spelling.FEW, spelling.STATES):
-        # tasks have their own copy of the module's values, so smaller ones are tried on the trie itself
-        words = sorted({w for _, t in rows for w in re.findall("[a-zÀ-ÿ]{5}", t or "")})
-        monkeypatch.setattr(spelling, "FEW", few)
-        monkeypatch.setattr(spelling, "STATES", states)
-        letter_rows, length = spelling.letters_of(pa.array(words))
-        v = spelling.vectors_of(letter_rows, length)
-        got = {(int(a), int(b)) for q, w in spelling.Trie(v).reach(v, np.ones(len(v)), np.ones(len(v))) for a, b in zip(q, w)}
-        want = {(i, j) for i in range(len(v)) for j in range(len(v)) if (v[j] - v[i]).clip(0).sum() <= 1 and (v[i] - v[j]).clip(0).sum() <= 1}
-        assert want <= got and (few or want == got)
     assert sorted(tuple(r) for r in spelling.variants(docs).collect()) == plain_variants(rows)
 
 
+@pytest.mark.parametrize("few, states", [(1, 50), (0, 7), (3, 1 << 18)])
+def test_the_trie_reaches_what_the_budget_allows(monkeypatch, few, states):
+    monkeypatch.setattr(spelling, "FEW", few)
+    monkeypatch.setattr(spelling, "STATES", states)
+    words = sorted({w for _, t in spelling_rows(3, "abc", 400) for w in re.findall("[a-zÀ-ÿ]{5}", t or "")})
+    v = spelling.vectors_of(*spelling.letters_of(pa.array(words)))
+    got = {(int(a), int(b)) for q, w in spelling.Trie(v).reach(v, np.ones(len(v)), np.ones(len(v))) for a, b in zip(q, w)}
+    want = {(i, j) for i in range(len(v)) for j in range(len(v)) if (v[j] - v[i]).clip(0).sum() <= 1 and (v[i] - v[j]).clip(0).sum() <= 1}
+    assert want <= got and (few or want == got)
+
+
 def test_spelling_odd_input(spark, odd, empty):
     assert spelling.variants(empty).collect() == []
     assert spelling.variants(odd).collect() == []
