@@ -163,16 +163,29 @@ def report_documents(header: DataFrame, summary: DataFrame, table: DataFrame, ti
     return whole.select("report_id", "file_id", F.to_json(body).alias("document"))
 
 
+DECISIONS = ("approved", "rejected")
+
+
 def decide_approvals(decisions: DataFrame) -> DataFrame:
-    """The first decision of an approval counts; every later one is a conflict.
+    """Decisions with their ``outcome``: the first of an approval is ``applied``, every later one a ``conflict``.
 
+    Only the values in DECISIONS decide; a row with another value is ``refused`` and leaves the approval pending.
     The first decision is found by a partial aggregation and matched on the decision's own key, so
     an approval with very many decisions is not gathered.
     """
-    first = decisions.groupBy("approval_id").agg(
+    valid = F.col("decision").isin(*DECISIONS)
+    first = decisions.where(valid).groupBy("approval_id").agg(
         F.min(F.struct("decided_at", "event_id")).alias("first")).select(F.col("first.event_id").alias("event_id"),
                                                                         F.lit("applied").alias("outcome"))
-    return decisions.join(first, "event_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("conflict")))
+    return decisions.join(first, "event_id", "left").withColumn(
+        "outcome", F.when(~F.coalesce(valid, F.lit(False)), "refused").otherwise(F.coalesce("outcome", F.lit("conflict"))))
+
+
+def decided_approvals(approvals: DataFrame, decided: DataFrame) -> DataFrame:
+    """Approvals as stored after the decisions: status, reviewer, reason and time of the one that was applied."""
+    final = decided.where("outcome = 'applied'").selectExpr("approval_id", "decision", "reviewer", "reason", "decided_at")
+    return approvals.drop("status").join(final, "approval_id", "left").withColumn(
+        "status", F.coalesce("decision", F.lit("pending_review"))).drop("decision")
 
 
 def reports_with_approval(reports: DataFrame, approvals: DataFrame, decided: DataFrame) -> DataFrame:

@@ -305,7 +305,7 @@ def missing_critical(column: str = "missing") -> str:
 def run_verdicts(runs: DataFrame, verified: DataFrame) -> DataFrame:
     """Report-level confidence, review flag, rates and limitations per run.
 
-    ``runs``: run_id, quality_verdict, warned_gates, data_origin, missing ARRAY, observations ARRAY,
+    ``runs``: run_id, quality_id, quality_verdict, warned_gates, data_origin, missing ARRAY, observations ARRAY,
     excluded_by_access.
     """
     wording = text("(?iU)" + v.REAL_WORLD_PATTERN)
@@ -336,7 +336,7 @@ def run_verdicts(runs: DataFrame, verified: DataFrame) -> DataFrame:
         f"element_at(array({texts(v.CONFIDENCE_ORDER)}), ({level}) + 1) AS report_confidence",
         f"({competing} OR flagged_hypotheses > 0 OR {worded}) AS human_review_required",
         f"{competing} AS competing", "flagged_hypotheses > 0 AS cites_flagged", f"{worded} AS real_world_wording",
-        "array_join(classes, ', ') AS classes", "substring(offender_text, 1, 120) AS offender",
+        "array_join(classes, ', ') AS classes", "offender_text AS offender", "quality_id",
         "hypotheses", "kept", "stripped", "cited_total", "cited_resolved",
         "IF(cited_total > 0, cited_resolved / cited_total, 1D) AS evidence_support_rate",
         "IF(hypotheses > 0, stripped / hypotheses, 0D) AS unsupported_claim_rate",
@@ -346,15 +346,19 @@ def run_verdicts(runs: DataFrame, verified: DataFrame) -> DataFrame:
     )
 
 
-def review_reasons(verdicts: DataFrame, verified: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Why a person must look: ``run_id, reason, detail``; one row per flagged document."""
-    items = (
-        "CASE WHEN competing THEN named_struct('reason', 'competing high-confidence hypotheses with different "
-        "failure classes', 'detail', classes) END, "
-        "CASE WHEN real_world_wording THEN named_struct('reason', 'real-world language used on synthetic evidence', "
-        "'detail', offender) END"
-    )
-    of_run = verdicts.selectExpr("run_id", f"inline(array_compact(array({items})))")
+def offending_texts(runs: DataFrame, verified: DataFrame) -> DataFrame:
+    """``run_id, wording``: every kept cause and observation of a synthetic run that speaks of the real world, whole and once."""
+    wording = text("(?iU)" + v.REAL_WORLD_PATTERN)
+    synthetic = runs.where("data_origin = 'synthetic'")
+    causes = kept(verified).select("run_id", F.col("cause").alias("wording")).join(synthetic.select("run_id"), "run_id", "left_semi")
+    return causes.unionByName(synthetic.selectExpr("run_id", "explode(observations) AS wording")).where(f"wording rlike {wording}").distinct()
+
+
+def review_reasons(verdicts: DataFrame, verified: DataFrame, resolved: DataFrame, offenders: DataFrame) -> DataFrame:
+    """Why a person must look: ``run_id, reason, detail``; one row per flagged document and per offending text."""
+    of_run = verdicts.where("competing").selectExpr(
+        "run_id", "'competing high-confidence hypotheses with different failure classes' AS reason", "classes AS detail").unionByName(
+        offenders.selectExpr("run_id", "'real-world language used on synthetic evidence' AS reason", "wording AS detail"))
     flagged = resolved.filter("injection_flagged").join(
         kept(verified).select("hyp_key", "run_id"), "hyp_key"
     ).select("run_id", "evidence_id").distinct()
@@ -363,22 +367,24 @@ def review_reasons(verdicts: DataFrame, verified: DataFrame, resolved: DataFrame
         F.col("evidence_id").alias("detail")))
 
 
-def run_rules(verdicts: DataFrame) -> DataFrame:
-    """Report-level audit rows."""
+def run_rules(verdicts: DataFrame, offenders: DataFrame) -> DataFrame:
+    """Report-level audit rows; rules about wording have a row per text."""
     items = [
-        ("quality_verdict = 'blocked'", "quality_blocked", "BLOCKED", "quality_verdict"),
+        ("quality_verdict = 'blocked'", "quality_blocked", "BLOCKED", "quality_id"),
         ("quality_verdict <> 'blocked' AND kept = 0", "no_supported_hypothesis", "LOW",
          "concat(stripped, ' hypothesis(es) stripped')"),
         ("quality_verdict = 'degraded' AND kept > 0", "quality_degraded", "cap MEDIUM", "warned_gates"),
         ("critical_missing <> '' AND quality_verdict <> 'blocked'", "critical_metric_missing", "cap LOW",
          "critical_missing"),
         ("competing", "contradictory_evidence", "human review", "classes"),
-        ("real_world_wording", "synthetic_no_real_world_claims", "human review", "offender"),
     ]
     rows = ", ".join(
         f"CASE WHEN {cond} THEN named_struct('rule', '{rule}', 'effect', '{effect}', 'detail', {detail}) END"
         for cond, rule, effect, detail in items)
-    return verdicts.selectExpr("run_id", "CAST(NULL AS BIGINT) AS hypothesis_index", f"inline(array_compact(array({rows})))")
+    of_run = verdicts.selectExpr("run_id", "CAST(NULL AS BIGINT) AS hypothesis_index", f"inline(array_compact(array({rows})))")
+    return of_run.unionByName(offenders.selectExpr(
+        "run_id", "CAST(NULL AS BIGINT) AS hypothesis_index", "'synthetic_no_real_world_claims' AS rule", "'human review' AS effect",
+        "wording AS detail"))
 
 
 def id_rules(ids: DataFrame, rule: str, effect: str) -> DataFrame:

@@ -21,16 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer splits than cores.
-
-    Text work is done where the scan puts a document, so one small file would keep one core busy.
-    A large table has more splits than cores and is left as it is: nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _padded(key: str) -> str:
     return f"lpad(cast({key} as string), 12, '0')"
 
@@ -141,8 +131,11 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown documents with front matter: ``doc_id, file_name, raw``."""
-    return spread(table(spark, sf_dir, "documents")).selectExpr(
+    """Markdown documents with front matter: ``doc_id, file_name, raw``.
+
+    Dealt by id, as text work is done where a document lies and a file may be one split whatever its size.
+    """
+    return table(spark, sf_dir, "documents").repartition("doc_id").selectExpr(
         "doc_id", "concat('doc_', cast(doc_id as string), '.md') as file_name",
         r"""replace(concat('---|title: Doc ', cast(doc_id as string), '|document_type: ',
         case doc_id % 7 when 0 then 'srs' when 1 then 'test_spec' when 2 then 'dbc' when 3 then 'manual'
@@ -218,7 +211,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when c_custkey % 13 = 0 then array('braking_latency_s: no brake command') "
         "else cast(array() as array<string>) end as missing",
         "case when c_custkey % 10 in (1, 2) then 'scenario_completeness' else '' end as warned_gates",
-        "cast(array() as array<string>) as observations",
+        "case when c_custkey % 7 = 0 then array('nothing unusual', concat('seen on-road by unit ', c_custkey)) "
+        "else cast(array() as array<string>) end as observations",
+        f"concat('quality_', {_padded('c_custkey')}) as quality_id",
         "cast(c_custkey % 4 as int) as excluded_by_access",
         "case when c_custkey % 10 = 0 then 'blocked' when c_custkey % 3 = 0 then 'fault' "
         "else 'nominal' end as expected_outcome",
@@ -232,6 +227,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer decisions; several per approval."""
     return table(spark, sf_dir, "events").selectExpr(
         "concat('appr_', cast(user_id as string)) as approval_id", "event_id", "ts as decided_at",
+        "concat('reviewer_', event_id % 5) as reviewer", "props as reason",
         "case event_type when 'error' then 'rejected' when 'purchase' then 'approved' else 'deferred' end as decision")
 
 

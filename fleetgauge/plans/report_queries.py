@@ -310,6 +310,15 @@ def approval_decide(spark, sf_dir):
     return rp.decide_approvals(fx.decisions(spark, sf_dir)).select("approval_id", "event_id", "decision", "outcome")
 
 
+@register("approvals_decided", """
+SELECT r.approval_id, r.report_id, coalesce(d.decision, 'pending_review') AS status, d.reviewer, d.reason, CAST(d.decided_at AS VARCHAR) AS decided_at
+FROM v_reports r LEFT JOIN v_decisions d ON d.approval_id = r.approval_id AND d.outcome = 'applied'""")
+def approvals_decided(spark, sf_dir):
+    approvals = _reports(spark, sf_dir).select("approval_id", "report_id")
+    done = rp.decided_approvals(approvals, rp.decide_approvals(fx.decisions(spark, sf_dir)))
+    return done.select("approval_id", "report_id", "status", "reviewer", "reason", F.col("decided_at").cast("string").alias("decided_at"))
+
+
 @register("reports_with_approval", """
 SELECT r.report_id, r.report_confidence, coalesce(d.decision, 'pending_review') AS status FROM v_reports r LEFT JOIN v_decisions d ON d.approval_id = r.approval_id AND d.outcome = 'applied'""")
 def reports_with_approval(spark, sf_dir):

@@ -147,7 +147,9 @@ FROM (SELECT latency_s, row_number() OVER (ORDER BY latency_s) - 1 AS i, count(*
 VIEWS["v_decisions"] = """
 SELECT concat('appr_', CAST(user_id AS VARCHAR(12))) AS approval_id, event_id, ts AS decided_at,
   CASE event_type WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'approved' ELSE 'deferred' END AS decision,
-  CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'applied' ELSE 'conflict' END AS outcome
+  concat('reviewer_', CAST(event_id % 5 AS VARCHAR)) AS reviewer, props AS reason,
+  CASE WHEN event_type NOT IN ('error', 'purchase') THEN 'refused'
+    WHEN row_number() OVER (PARTITION BY user_id, event_type IN ('error', 'purchase') ORDER BY ts, event_id) = 1 THEN 'applied' ELSE 'conflict' END AS outcome
 FROM events"""
 VIEWS["v_reports"] = f"""
 SELECT {stable_id('report', 'run_id')} AS report_id, run_id, project_id, 'appr_' || CAST(c_custkey AS VARCHAR) AS approval_id, report_confidence, human_review_required FROM v_verdicts"""

@@ -168,14 +168,22 @@ UNION ALL SELECT run_id, hypothesis_index, 'passing_metrics_only', 'confidence -
 UNION ALL SELECT run_id, hypothesis_index, 'unresolvable_ids', 'ids dropped', evidence_id FROM v_verified h JOIN v_resolved r ON h.hyp_key = r.hyp_key WHERE NOT r.resolved
 UNION ALL SELECT run_id, hypothesis_index, 'stale_document', 'confidence -0.1', evidence_id FROM v_kept h JOIN v_resolved r ON h.hyp_key = r.hyp_key WHERE r.stale
 UNION ALL SELECT run_id, hypothesis_index, 'injection_flagged_source', 'confidence -0.2', evidence_id FROM v_kept h JOIN v_resolved r ON h.hyp_key = r.hyp_key WHERE r.injection_flagged
-UNION ALL SELECT run_id, NULL, 'quality_blocked', 'BLOCKED', 'blocked' FROM v_verdicts WHERE quality_verdict = 'blocked'
+UNION ALL SELECT run_id, NULL, 'quality_blocked', 'BLOCKED', quality_id FROM v_verdicts WHERE quality_verdict = 'blocked'
 UNION ALL SELECT run_id, NULL, 'no_supported_hypothesis', 'LOW', CAST(stripped AS VARCHAR) || ' hypothesis(es) stripped' FROM v_verdicts WHERE quality_verdict <> 'blocked' AND kept = 0
 UNION ALL SELECT run_id, NULL, 'quality_degraded', 'cap MEDIUM', 'scenario_completeness' FROM v_verdicts WHERE quality_verdict = 'degraded' AND kept > 0
 UNION ALL SELECT run_id, NULL, 'critical_metric_missing', 'cap LOW', 'braking_latency_s' FROM v_verdicts WHERE quality_verdict <> 'blocked' AND missing IS NOT NULL
 UNION ALL SELECT run_id, NULL, 'contradictory_evidence', 'human review', classes FROM v_verdicts WHERE competing
-UNION ALL SELECT run_id, NULL, 'synthetic_no_real_world_claims', 'human review', substr(offender, 1, 120) FROM v_verdicts WHERE real_world_wording
+UNION ALL SELECT run_id, NULL, 'synthetic_no_real_world_claims', 'human review', wording FROM v_offenders
 UNION ALL SELECT run_id, NULL, 'agent_unresolved_after_repair', 'recorded', evidence_id FROM (
-  SELECT DISTINCT h.run_id, r.evidence_id FROM v_hyp h JOIN v_resolved r ON h.hyp_key = r.hyp_key WHERE NOT r.resolved) u"""
+  SELECT DISTINCT h.run_id, r.evidence_id FROM v_hyp h JOIN v_resolved r ON h.hyp_key = r.hyp_key WHERE NOT r.resolved) u
+UNION ALL SELECT run_id, NULL, 'observation_unknown_ids', 'observation flagged', evidence_id FROM (
+  SELECT DISTINCT h.run_id, r.evidence_id FROM v_hyp h JOIN v_resolved r ON h.hyp_key = r.hyp_key WHERE NOT r.resolved
+  UNION SELECT h.run_id, h.run_id FROM v_hyp h JOIN v_cite c ON h.hyp_key = c.hyp_key) o"""
+
+
+def _unknown_observed(spark, sf_dir):
+    texts = fx.observations(spark, sf_dir).select(F.col("run_id").alias("key"), "text")
+    return vf.unknown_ids_in_text(texts, fx.evidence(spark, sf_dir)).withColumnRenamed("key", "run_id")
 
 
 @register("applied_rules", _RULES_SQL)
@@ -185,8 +193,9 @@ def applied_rules(spark, sf_dir):
         fx.hypotheses(spark, sf_dir), fx.citations(spark, sf_dir), fx.evidence(spark, sf_dir))
     return (
         vf.hypothesis_rules(hyps, resolved)
-        .unionByName(vf.run_rules(verdicts(spark, sf_dir)))
-        .unionByName(vf.id_rules(unresolved, "agent_unresolved_after_repair", "recorded")))
+        .unionByName(vf.run_rules(verdicts(spark, sf_dir), vf.offending_texts(fx.runs(spark, sf_dir), hyps)))
+        .unionByName(vf.id_rules(unresolved, "agent_unresolved_after_repair", "recorded"))
+        .unionByName(vf.id_rules(_unknown_observed(spark, sf_dir), "observation_unknown_ids", "observation flagged")))
 
 
 @register("run_confidence", "SELECT run_id, report_confidence, kept, stripped FROM v_verdicts")
@@ -196,11 +205,12 @@ def run_confidence(spark, sf_dir):
 
 @register("human_review", """
 SELECT run_id, 'competing high-confidence hypotheses with different failure classes' AS reason, classes AS detail FROM v_verdicts WHERE competing
-UNION ALL SELECT run_id, 'real-world language used on synthetic evidence', substr(offender, 1, 120) FROM v_verdicts WHERE real_world_wording
+UNION ALL SELECT run_id, 'real-world language used on synthetic evidence', wording FROM v_offenders
 UNION ALL SELECT * FROM (SELECT DISTINCT run_id, 'cited documents contained instruction-like text', evidence_id
   FROM v_kept k JOIN v_resolved r ON k.hyp_key = r.hyp_key WHERE r.injection_flagged) f""")
 def human_review(spark, sf_dir):
-    return vf.review_reasons(verdicts(spark, sf_dir), verified(spark, sf_dir), _resolved(spark, sf_dir))
+    hyps = verified(spark, sf_dir)
+    return vf.review_reasons(verdicts(spark, sf_dir), hyps, _resolved(spark, sf_dir), vf.offending_texts(fx.runs(spark, sf_dir), hyps))
 
 
 @register("support_rates", """

@@ -36,7 +36,8 @@ SELECT concat('run_', lpad(CAST(c_custkey AS VARCHAR(12)), 12, '0')) AS run_id,
   CASE WHEN c_custkey % 10 = 0 THEN 'blocked' WHEN c_custkey % 10 IN (1, 2) THEN 'degraded' ELSE 'pass' END AS quality_verdict,
   CASE WHEN c_custkey % 2 = 0 THEN 'synthetic' ELSE 'unknown' END AS data_origin,
   CASE WHEN c_custkey % 13 = 0 THEN 'braking_latency_s: no brake command' END AS missing,
-  CAST(c_custkey % 4 AS INT) AS excluded_by_access,
+  CAST(c_custkey % 4 AS INT) AS excluded_by_access, CASE WHEN c_custkey % 7 = 0 THEN 'seen on-road by unit ' || CAST(c_custkey AS VARCHAR) END AS observed,
+  concat('quality_', lpad(CAST(c_custkey AS VARCHAR(12)), 12, '0')) AS quality_id,
   CASE WHEN c_custkey % 10 = 0 THEN 'blocked' WHEN c_custkey % 3 = 0 THEN 'fault' ELSE 'nominal' END AS expected_outcome,
   CASE WHEN c_custkey % 10 IN (1, 2) THEN 'medium' END AS max_report_confidence,
   c_custkey % 5 <> 0 AS baseline_passed,
@@ -77,7 +78,7 @@ VIEWS["v_rprof"] = f"""
 SELECT r.*, coalesce(n, 0) AS hypotheses, coalesce(k, 0) AS kept, coalesce(n, 0) - coalesce(k, 0) AS stripped, coalesce(cited_total, 0) AS cited_total,
   coalesce(cited_resolved, 0) AS cited_resolved, coalesce(flagged_hypotheses, 0) AS flagged_hypotheses, coalesce(classes, '') AS classes,
   coalesce(n_classes, 0) AS n_classes, top.cause AS top_cause, top.failure_class AS top_class, top.label AS top_label, top.adjusted AS top_adjusted,
-  top.n_sources <= 1 AS top_single, offender
+  top.n_sources <= 1 AS top_single, coalesce(offender, observed) AS offender
 FROM v_runs r LEFT JOIN (
   SELECT run_id, count(*) AS n, sum(cited) AS cited_total, sum(resolved) AS cited_resolved FROM v_verified GROUP BY 1) a ON r.run_id = a.run_id
 LEFT JOIN (SELECT run_id, count(*) AS k, count(*) FILTER (WHERE flagged > 0) AS flagged_hypotheses,
@@ -86,6 +87,9 @@ LEFT JOIN (SELECT run_id, count(*) AS k, count(*) FILTER (WHERE flagged > 0) AS
 LEFT JOIN (SELECT run_id, string_agg(failure_class, ', ' ORDER BY failure_class) AS classes FROM (
   SELECT DISTINCT run_id, failure_class FROM v_kept WHERE adjusted >= 6e-1) x GROUP BY 1) c ON r.run_id = c.run_id
 LEFT JOIN (SELECT * FROM v_kept WHERE rank = 1) top ON r.run_id = top.run_id"""
+VIEWS["v_offenders"] = f"""
+SELECT k.run_id, cause AS wording FROM v_kept k JOIN v_runs r ON r.run_id = k.run_id WHERE data_origin = 'synthetic' AND regexp_matches(cause, '(?i){_REAL}')
+UNION SELECT run_id, observed FROM v_runs WHERE data_origin = 'synthetic' AND observed IS NOT NULL"""
 VIEWS["v_levels"] = """
 SELECT *, CASE WHEN flagged_hypotheses > 0 THEN least(l1, 2) ELSE l1 END AS level FROM (
   SELECT *, CASE WHEN missing IS NOT NULL THEN least(l0, 1) ELSE l0 END AS l1 FROM (

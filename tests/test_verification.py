@@ -23,8 +23,8 @@ def _verify(spark, *hyps):
 
 def _runs(spark, verdict="pass", missing=(), origin="unknown"):
     return spark.createDataFrame(
-        [("run_1", verdict, "size", origin, list(missing), [], 0)],
-        "run_id string, quality_verdict string, warned_gates string, data_origin string, missing array<string>, "
+        [("run_1", "quality_1", verdict, "size", origin, list(missing), [], 0)],
+        "run_id string, quality_id string, quality_verdict string, warned_gates string, data_origin string, missing array<string>, "
         "observations array<string>, excluded_by_access int")
 
 
@@ -68,3 +68,25 @@ def test_upsert_is_idempotent(spark, tmp_path):
     for _ in range(2):
         tables.upsert_by_file(rows(("a", 5)), path, rows(("a", 0)), 4)
     assert sorted((r["file_id"], r["value"]) for r in spark.read.parquet(path).collect()) == [("a", 5), ("b", 2)]
+
+
+def test_every_offending_text_is_listed_whole(spark):
+    long = "seen on-road " + "x" * 300
+    out = _verify(spark, (long, "unknown", 0.9, ["metric_1", "chunk_1"]), ("plain", "unknown", 0.8, ["metric_1"]), ("on-road again", "unknown", 0.1, []))
+    runs = _runs(spark, origin="synthetic").drop("observations").selectExpr("*", "array('fine', 'also on-road') AS observations")
+    got = {r.wording for r in vf.offending_texts(runs, out).collect()}
+    assert got == {long, "also on-road"}
+    rules = vf.run_rules(vf.run_verdicts(_runs(spark, "blocked"), out), vf.offending_texts(runs, out)).collect()
+    assert {r.detail for r in rules if r.rule == "quality_blocked"} == {"quality_1"}
+    assert sum(r.rule == "synthetic_no_real_world_claims" for r in rules) == 2
+
+
+def test_only_decision_values_decide(spark):
+    from fleetgauge.operators import reports as rp
+
+    rows = [("a", 1, 1, "deferred", "r", ""), ("a", 2, 2, "approved", "s", "ok"), ("a", 3, 3, "rejected", "t", ""), ("b", 4, 1, "later", "r", ""), ("b", 5, 2, None, "r", "")]
+    decided = rp.decide_approvals(spark.createDataFrame(rows, "approval_id string, event_id int, decided_at int, decision string, reviewer string, reason string"))
+    assert {r.event_id: r.outcome for r in decided.collect()} == {1: "refused", 2: "applied", 3: "conflict", 4: "refused", 5: "refused"}
+    tasks = spark.createDataFrame([("a", "pending_review"), ("b", "pending_review")], "approval_id string, status string")
+    assert {r.approval_id: (r.status, r.reviewer, r.reason) for r in rp.decided_approvals(tasks, decided).collect()} == {
+        "a": ("approved", "s", "ok"), "b": ("pending_review", None, None)}
