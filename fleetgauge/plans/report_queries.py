@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
 from fleetgauge.functions.ids import stable_id
 from fleetgauge.operators import dashboard, evaluation as el, evidence as evi, gates, listings, reports as rp
 from fleetgauge.operators import verification as vf
+from fleetgauge.operators.segments import ranked
 from fleetgauge.plans import fixtures as fx
 from fleetgauge.plans import report_views as rv  # noqa: F401  (adds the views)
 from fleetgauge.plans.registry import r6, register, rounded
 from fleetgauge.plans.telemetry_queries import _analysis, stored_analysis
 from fleetgauge.plans.verification_queries import verdicts, verified
 from fleetgauge.policies import ReleaseThresholds
-from fleetgauge.session import stored
+from fleetgauge.session import shared_folder, stored
 from fleetgauge.sources import tables
 
 # --- evidence and reports per log ---------------------------------------------------------------
@@ -296,13 +299,86 @@ def run_append(spark, sf_dir):
     rows = verdicts(spark, sf_dir).join(runs, "run_id").select(
         "run_id", "project_id", "verification_id", "report_confidence", "human_review_required",
         "evidence_support_rate", "prompt_tokens", "completion_tokens", "latency_s")
-    return rounded(rows, "evidence_support_rate", "latency_s")
+    rows = stored(rounded(rows, "evidence_support_rate", "latency_s"), "runs")
+    path = _table(spark, "runs")
+    tables.append_runs(rows, path, 8)
+    tables.append_runs(rows.where(F.pmod(F.hash("run_id"), F.lit(3)) == 0), path, 8)  # a repeated job
+    return spark.read.parquet(path).drop("bucket")
+
+
+def _table(spark, name):
+    return f"{shared_folder(spark)}/fleetgauge-{name}-{uuid.uuid4().hex}"
 
 
 @register("report_append", f"""
 SELECT 'appr_' || substr({rv.stable_id('run', 'report_id')}, 5, 12) AS approval_id, project_id, report_id, 'pending_review' AS status, human_review_required FROM v_reports""")
 def report_append(spark, sf_dir):
-    return tables.approval_tasks(_reports(spark, sf_dir)).drop("review_reasons")
+    reports = stored(_reports(spark, sf_dir).drop("approval_id"), "reports")
+    path = _table(spark, "reports")
+    for _ in range(2):  # the second time as in a repeated job
+        tables.append_reports(reports, path, f"{path}-approvals", 8)
+    return spark.read.parquet(f"{path}-approvals").drop("review_reasons", "bucket")
+
+
+def _created(key):
+    """A time of creation that the caller of the store would give."""
+    return F.expr(f"timestamp_seconds(1700000000 + CAST(right({key}, 12) AS BIGINT) * 37 % 86400)").alias("created_at")
+
+
+_CREATED = "CAST(to_timestamp(1700000000 + CAST(right(run_id, 12) AS BIGINT) * 37 % 86400) AT TIME ZONE 'UTC' AS VARCHAR)"
+
+
+def _listed(rows, key, **equal):
+    """Newest first, with the place in the listing."""
+    order = [F.desc("created_at"), F.col(key)]
+    shown = listings.list_filtered(rows, order, **equal)
+    return ranked(shown.withColumn("_all", F.lit(0)), ["_all"], order, -F.floor(F.unix_timestamp("created_at") / 60), "place").drop("_all")
+
+
+@register("list_runs", f"""
+SELECT run_id, report_confidence, row_number() OVER (ORDER BY {_CREATED} DESC, run_id) - 1 AS place FROM v_verdicts WHERE project_id = 'proj_3'""")
+def list_runs(spark, sf_dir):
+    runs = verdicts(spark, sf_dir).join(fx.runs(spark, sf_dir).select("run_id", "project_id"), "run_id").select("*", _created("run_id"))
+    return _listed(runs, "run_id", project_id="proj_3").select("run_id", "report_confidence", "place")
+
+
+@register("list_projects", f"""
+SELECT project_id, row_number() OVER (ORDER BY c DESC, project_id) - 1 AS place FROM (SELECT project_id, max({_CREATED}) AS c FROM v_runs GROUP BY 1) x""")
+def list_projects(spark, sf_dir):
+    runs = fx.runs(spark, sf_dir).select("project_id", _created("run_id"))
+    return _listed(runs.groupBy("project_id").agg(F.max("created_at").alias("created_at")), "project_id").select("project_id", "place")
+
+
+@register("list_files", """
+SELECT file_id, row_number() OVER (ORDER BY CAST(right(file_id, 12) AS BIGINT) * 37 % 86400 DESC, file_id) - 1 AS place FROM v_files""")
+def list_files(spark, sf_dir):
+    return _listed(fx.provenance(spark, sf_dir).select("file_id", _created("file_id")), "file_id").select("file_id", "place")
+
+
+@register("list_metrics", """
+SELECT file_id, metric_id, name FROM v_metrics WHERE value IS NOT NULL OR value_bool IS NOT NULL""")
+def list_metrics(spark, sf_dir):
+    stored_rows = tables.stored_metrics(_analysis(spark, sf_dir).metrics)
+    return listings.list_filtered(stored_rows, [F.col("file_id"), F.col("name")]).select("file_id", "metric_id", "name")
+
+
+@register("list_reports", f"""
+SELECT r.report_id, coalesce(d.decision, 'pending_review') AS status, row_number() OVER (ORDER BY {_CREATED.replace('run_id', 'r.run_id')} DESC, r.report_id) - 1 AS place
+FROM v_reports r LEFT JOIN v_decisions d ON d.approval_id = r.approval_id AND d.outcome = 'applied' WHERE r.project_id = 'proj_3'""")
+def list_reports(spark, sf_dir):
+    reports = _reports(spark, sf_dir).select("*", _created("run_id"))
+    joined = rp.reports_with_approval(reports.drop("approval_id"), reports.select("approval_id", "report_id"),
+                                      rp.decide_approvals(fx.decisions(spark, sf_dir)))
+    return _listed(joined, "report_id", project_id="proj_3").select("report_id", "status", "place")
+
+
+@register("list_approvals", f"""
+SELECT r.approval_id, d.reviewer, row_number() OVER (ORDER BY {_CREATED.replace('run_id', 'r.run_id')} DESC, r.approval_id) - 1 AS place
+FROM v_reports r JOIN v_decisions d ON d.approval_id = r.approval_id AND d.outcome = 'applied' WHERE d.decision = 'approved'""")
+def list_approvals(spark, sf_dir):
+    approvals = _reports(spark, sf_dir).select("approval_id", "report_id", _created("run_id"))
+    done = rp.decided_approvals(approvals.withColumn("status", F.lit("pending_review")), rp.decide_approvals(fx.decisions(spark, sf_dir)))
+    return _listed(done, "approval_id", status="approved").select("approval_id", "reviewer", "place")
 
 
 @register("approval_decide", "SELECT approval_id, event_id, decision, outcome FROM v_decisions")

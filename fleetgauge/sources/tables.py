@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from fleetgauge.functions.ids import stable_id
 from fleetgauge.operators.metrics import available, numeric_value
+from fleetgauge.session import stored
 
 FILE_BUCKETS = 256
 
 
-def file_bucket(buckets: int = FILE_BUCKETS):
-    """Partition column of file-keyed tables: one directory per log would mean millions."""
-    return F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int")
+#: Tasks that write one bucket, so a table of few buckets is still written by many.
+WRITERS = 8
+
+
+def file_bucket(buckets: int = FILE_BUCKETS, key: str = "file_id"):
+    """Partition column of keyed tables: one directory per log would mean millions."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def stored_metrics(metrics: DataFrame) -> DataFrame:
@@ -25,27 +30,36 @@ def stored_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def upsert_by_file(new: DataFrame, path: str, analysed: DataFrame, buckets: int = FILE_BUCKETS) -> None:
-    """Replace the stored rows of the logs in ``analysed`` by the rows in ``new``.
+    """Replace the stored rows of the logs in ``analysed`` by the rows in ``new``."""
+    upsert(new, path, analysed, "file_id", buckets)
+
 
-    Only the buckets of those logs are rewritten. Running it twice leaves the same table. The
+def upsert(new: DataFrame, path: str, touched: DataFrame, key: str, buckets: int = FILE_BUCKETS) -> None:
+    """Replace the stored rows whose ``key`` is in ``touched`` by the rows in ``new``.
+
+    Only the buckets of those keys are rewritten. Running it twice leaves the same table. The
     merged rows are written beside the table first, since a table cannot be read and overwritten
     in one job.
     """
     spark = new.sparkSession
-    keyed = new.withColumn("bucket", file_bucket(buckets))
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.repartition("bucket", F.pmod(F.hash(key), F.lit(WRITERS)))
+
+    keyed = new.withColumn("bucket", file_bucket(buckets, key))
     if not _exists(spark, path):
-        keyed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        spread(keyed).write.partitionBy("bucket").parquet(path)
         return
-    touched = analysed.select("file_id").distinct().withColumn("bucket", file_bucket(buckets))
+    touched = touched.select(key).distinct().withColumn("bucket", file_bucket(buckets, key))
     kept = (
         spark.read.schema(keyed.schema).parquet(path)
         .join(touched.select("bucket").distinct(), "bucket", "left_semi")
-        .join(touched.select("file_id"), "file_id", "left_anti")
+        .join(touched.select(key), key, "left_anti")
     )
     staged = f"{path}__staged"
-    kept.unionByName(keyed).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+    spread(kept.unionByName(keyed)).write.mode("overwrite").partitionBy("bucket").parquet(staged)
     (
-        spark.read.schema(keyed.schema).parquet(staged).repartition("bucket")
+        spread(spark.read.schema(keyed.schema).parquet(staged))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket").parquet(path)
     )
@@ -65,8 +79,9 @@ def _exists(spark, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").partitionBy("project_id").parquet(path)
+def append_runs(runs: DataFrame, path: str, buckets: int = FILE_BUCKETS) -> None:
+    """Store runs; a run that is stored again, as in a repeated job, takes the place of the first."""
+    upsert(runs, path, runs, "run_id", buckets)
 
 
 def approval_tasks(reports: DataFrame) -> DataFrame:
@@ -77,10 +92,15 @@ def approval_tasks(reports: DataFrame) -> DataFrame:
         "human_review_required", "review_reasons")
 
 
-def append_reports(reports: DataFrame, path: str, approvals_path: str) -> None:
-    """Store reports and open one approval task for each."""
-    reports.write.mode("append").partitionBy("project_id").parquet(path)
-    approval_tasks(reports).write.mode("append").partitionBy("project_id").parquet(approvals_path)
+def append_reports(reports: DataFrame, path: str, approvals_path: str, buckets: int = FILE_BUCKETS) -> None:
+    """Store reports and open one approval task for each that has none; a decided task stays as it is."""
+    upsert(reports, path, reports, "report_id", buckets)
+    tasks = approval_tasks(reports)
+    if _exists(reports.sparkSession, approvals_path):
+        held = reports.sparkSession.read.parquet(approvals_path).select("approval_id")
+        tasks = tasks.join(held, "approval_id", "left_anti")
+    opened = stored(tasks, "approval-tasks")
+    upsert(opened, approvals_path, opened, "approval_id", buckets)
 
 
 def stamp(df: DataFrame, column: str, moment: dt.datetime) -> DataFrame:
