@@ -6,6 +6,7 @@ from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetgauge import vocab as v
 from fleetgauge.functions import confidence as cf
@@ -135,7 +136,7 @@ def nearest_rank_percentiles(df: DataFrame, value: str, quantiles: dict[str, flo
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.lit(1).alias("all"), value).agg(
         F.count(F.lit(1)).alias("n"))
     ranks = {out: f"greatest(0, least(total - 1, bround({num(q)} * (total - 1))))" for out, q in quantiles.items()}
-    return order_values(counts, "all", value, "n", ranks, 1024.0).drop("all")
+    return order_values(counts, "all", value, "n", ranks).drop("all")
 
 
 def eval_aggregates(results: DataFrame, checks: DataFrame) -> DataFrame:
@@ -235,22 +236,45 @@ def baseline_compare(
     return worse.unionByName(baseline_regressions(results, baseline))
 
 
+def canonical_text(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """SQL for a text of ``value`` in which nothing depends on the order things were built in.
+
+    Names of structs and keys of maps are sorted at every depth, and so are lists of strings; other lists keep their order.
+    A scalar is its JSON text in brackets, so a number and a text of the same letters differ; null is ``null``.
+    """
+    x = f"x{depth}"
+    if isinstance(kind, T.StructType):
+        parts = ", ".join(f"{text(f.name + ':')}, {canonical_text(f'{value}.`{f.name}`', f.dataType, depth)}" + (", ';'" if i < len(kind) - 1 else "")
+                          for i, f in enumerate(sorted(kind, key=lambda f: f.name)))
+        body = f"concat('{{', {parts}, '}}')"
+    elif isinstance(kind, T.MapType):
+        entry = f"concat(to_json(array({x}.key)), ':', {canonical_text(f'{x}.value', kind.valueType, depth + 1)})"
+        body = f"concat('{{', array_join(array_sort(transform(map_entries({value}), {x} -> {entry})), ';'), '}}')"
+    elif isinstance(kind, T.ArrayType):
+        items = f"transform({value}, {x} -> {canonical_text(x, kind.elementType, depth + 1)})"
+        body = f"concat('(', array_join({f'array_sort({items})' if isinstance(kind.elementType, T.StringType) else items}, ';'), ')')"
+    else:
+        body = f"IF({value} IS NULL, NULL, to_json(array({value})))"
+    return f"coalesce({body}, 'null')"
+
+
+#: Digits of a digest that one level of the fingerprint tells apart, from the leaves upward.
+LEVELS = (12, 9, 6, 3, 0)
+
+
 def suite_fingerprint(cases: DataFrame) -> DataFrame:
-    """One row: content hash of the cases, independent of row and list order.
+    """One row: content hash of the cases, independent of the order of rows, of string lists and of keys at any depth.
 
-    Hashes are combined in two levels (4096 buckets), so no task sorts the whole suite.
+    A tree of digests: cases that share their first 12 digits are hashed together in sorted order, then the digests of up to 4096
+    groups that share 9, and so on, so no task holds more than 4096 digests unless cases are repeated.
     """
-    kinds = dict(cases.dtypes)
-    def canonical(name: str) -> Column:
-        if kinds[name].startswith("map<"):  # entries in the order of their keys, whatever order the map was built in
-            return F.array_sort(F.map_entries(name)).alias(name)
-        return F.array_sort(name).alias(name) if kinds[name] == "array<string>" else F.col(name)
-    digests = cases.select(F.sha2(F.to_json(F.struct(*[canonical(c) for c in sorted(cases.columns)])), 256).alias("h"))
-    buckets = digests.groupBy(F.substring("h", 1, 3).alias("b")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return buckets.agg(
-        F.sha2(F.expr("array_join(transform(array_sort(collect_list(struct(b, d))), x -> x.d), '')"), 256).alias("suite_sha256"),
-        F.sum("n").alias("cases"))
+    whole = canonical_text("c", cases.schema)
+    level = cases.select(F.struct(*cases.columns).alias("c")).selectExpr(f"sha2({whole}, 256) AS d").groupBy("d").agg(
+        F.count(F.lit(1)).alias("n")).selectExpr("d AS at", "sha2(concat(d, '*', n), 256) AS d", "n")
+    for digits in LEVELS:
+        level = level.groupBy(F.substring("at", 1, digits).alias("at")).agg(
+            F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.sum("n").alias("n"))
+    return level.select(F.col("d").alias("suite_sha256"), F.col("n").alias("cases"))
 
 
 def select_cases(cases: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetgauge.session import stored
+
 SEGMENT_ROWS = 1 << 17
 TIME_BIN_S = 8.0
 
@@ -60,42 +62,55 @@ def ranked(
     )
 
 
-def order_values(
-    counts: DataFrame, key: str, value: str, n: str, ranks: dict[str, str], scale: float
-) -> DataFrame:
-    """Exact order statistics per key from pre-counted values ``(key, value, n)``.
+RADIX = 4096
+#: Distinct values that one window ranks.
+FEW_VALUES = 1 << 16
+
 
-    ``ranks`` maps output columns to SQL for a 0-based rank in terms of ``total``. Two steps: find
-    the coarse buckets (``1 / scale`` wide) that hold the ranks from per-bucket totals, then rank
-    only the distinct values inside those buckets. No task ever sees all values of a key.
+def order_values(counts: DataFrame, key: str, value: str, n: str, ranks: dict[str, str]) -> DataFrame:
+    """Exact order statistics per key from pre-counted values ``(key, value, n)``; nulls don't count.
+
+    ``ranks`` maps output columns to SQL for a 0-based rank in terms of ``total``. Each rank has a range of values that holds it,
+    all of the key's at first. While a range has more than FEW_VALUES distinct values, it is cut into RADIX slices, the values are counted
+    per slice (combined before the shuffle) and the slice that holds the rank becomes the range, so ranges shrink
+    whatever the values are. Only then are the values of a range ranked. No window ever has more than
+    FEW_VALUES rows, even if one key is the whole table.
     """
-    src = counts.withColumn("_bucket", F.expr(f"floor({value} * {scale}D)"))
-    totals = src.groupBy(key, "_bucket").agg(F.sum(n).alias("_n"))
-    inside = " OR ".join(f"({sql} >= _start AND {sql} < _start + _n)" for sql in ranks.values())
-    hit = (
-        totals.selectExpr(
-            key, "_bucket", "_n",
-            f"coalesce(sum(_n) OVER (PARTITION BY {key} ORDER BY _bucket "
-            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start",
-            f"sum(_n) OVER (PARTITION BY {key}) AS total")
-        .filter(inside)
-        .select(key, "_bucket", "_start", "total")
-    )
-    placed = src.join(hit, [key, "_bucket"]).selectExpr(
-        key, value, n, "total",
-        f"_start - {n} + sum({n}) OVER (PARTITION BY {key}, _bucket ORDER BY {value} "
-        "ROWS UNBOUNDED PRECEDING) AS _first")
-    return placed.groupBy(key).agg(*[
-        F.expr(f"max(CASE WHEN {sql} >= _first AND {sql} < _first + {n} THEN {value} END) AS {out}")
-        for out, sql in ranks.items()
-    ])
+    src = stored(counts.where(f"{value} IS NOT NULL").select(key, F.col(value).alias("_v"), F.col(n).alias("_n")), "value-counts")
+    wanted = ", ".join(f"named_struct('_out', '{out}', '_rank', CAST({sql} AS BIGINT))" for out, sql in ranks.items())
+    ranges = stored(
+        src.groupBy(key).agg(F.sum("_n").alias("total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_size"))
+        .selectExpr(key, "_lo", "_hi", "_size", "0L AS _start", f"inline(array({wanted}))"), "value-ranges")
+
+    def inside(wide: DataFrame) -> DataFrame:
+        return src.join(wide, key).where("_v BETWEEN _lo AND _hi")
+
+    settled = []
+    while True:
+        settled.append(ranges.where(f"_size <= {FEW_VALUES}"))
+        wide = ranges.where(f"_size > {FEW_VALUES}")
+        if wide.isEmpty():
+            break
+        slices = inside(wide).withColumn("_slice", F.expr(f"least({RADIX - 1}, floor((_v - _lo) / (_hi - _lo) * {RADIX}))"))
+        sums = slices.groupBy(key, "_out", "_rank", "_start", "_slice").agg(
+            F.sum("_n").alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_size"))
+        before = Window.partitionBy(key, "_out").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # RADIX rows at most
+        ranges = stored(
+            sums.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+            .where("_rank >= _start AND _rank < _start + _sum").select(*ranges.columns), "value-ranges")
+    done = settled[0]
+    for part in settled[1:]:
+        done = done.unionByName(part)
+    upto = Window.partitionBy(key, "_out").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = inside(done).withColumn("_first", F.col("_start") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    hits = placed.where("_rank >= _first AND _rank < _first + _n")
+    return hits.groupBy(key).agg(*[F.max(F.when(F.col("_out") == out, F.col("_v"))).alias(out) for out in ranks])
 
 
 def exact_median(counts: DataFrame, key: str, value: str, n: str, out: str) -> DataFrame:
-    """Interpolating median of time intervals; buckets are about a microsecond wide."""
-    middle = {"_lo": "floor((total - 1) / 2)", "_hi": "floor(total / 2)"}
-    return order_values(counts, key, value, n, middle, float(1 << 20)).selectExpr(
-        key, f"(_lo + _hi) / 2 AS {out}")
+    """Interpolating median."""
+    middle = {"_low": "floor((total - 1) / 2)", "_high": "floor(total / 2)"}
+    return order_values(counts, key, value, n, middle).selectExpr(key, f"(_low + _high) / 2 AS {out}")
 
 
 def time_bin(t: Column) -> Column:

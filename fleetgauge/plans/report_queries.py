@@ -253,10 +253,31 @@ def baseline_compare(spark, sf_dir):
     return el.baseline_compare(e.results, aggregates, "a" * 64, _baseline(e), before, "a" * 64, "eval_1")
 
 
-# no SQL side: the hash covers Spark's JSON text of map columns
-@register("suite_fingerprint")
+def _fingerprint_sql():
+    level = "SELECT sha256(t) AS place, sha256(sha256(t) || '*' || count(*)) AS d, count(*) AS n FROM texts GROUP BY t"
+    for digits in el.LEVELS:
+        level = f"SELECT substr(place, 1, {digits}) AS place, sha256(string_agg(d, '' ORDER BY d)) AS d, sum(n) AS n FROM ({level}) x GROUP BY 1"
+    lists = {name: f"'(' || coalesce(string_agg('[\"' || event_type || '\"]', ';' ORDER BY event_type) FILTER (WHERE want = {want}), '') || ')'"
+             for name, want in (("expected_events", "true"), ("forbidden_events", "false"))}
+    return f"""
+SELECT d AS suite_sha256, CAST(n AS BIGINT) AS cases FROM (WITH texts AS (
+  SELECT '{{case_id:["' || c.case_id || '"];cls:[' || CAST(cls AS VARCHAR) || '];expected_events:' || coalesce(e.expected_events, '()')
+    || ';expected_metric_verdicts:{{' || coalesce(m.verdicts, '') || '}};expected_outcome:["' || expected_outcome || '"];expected_quality:["' || expected_quality
+    || '"];forbidden_events:' || coalesce(e.forbidden_events, '()') || ';steps:(' || '{{at:[' || CAST(cls AS VARCHAR) || '];name:["b"];tags:{{["k"]:(["x"];["y"])}}}}'
+    || ';' || '{{at:null;name:["a"];tags:{{}}}})}}' AS t
+  FROM v_cases c LEFT JOIN (SELECT case_id, {lists['expected_events']} AS expected_events, {lists['forbidden_events']} AS forbidden_events
+      FROM v_expected_events GROUP BY 1) e ON e.case_id = c.case_id
+  LEFT JOIN (SELECT case_id, string_agg('["' || metric || '"]:[' || CASE WHEN expected THEN 'true' ELSE 'false' END || ']', ';' ORDER BY metric) AS verdicts
+      FROM v_expected_metrics GROUP BY 1) m ON m.case_id = c.case_id)
+{level}) y"""
+
+
+@register("suite_fingerprint", _fingerprint_sql())
 def suite_fingerprint(spark, sf_dir):
-    return el.suite_fingerprint(_cases(spark, sf_dir))
+    """Cases with nested steps: a list of structs that hold maps of string lists."""
+    steps = ("array(named_struct('name', 'b', 'at', cls, 'tags', map('k', array('y', 'x'))), "
+             "named_struct('name', 'a', 'at', CAST(NULL AS INT), 'tags', CAST(map() AS MAP<STRING, ARRAY<STRING>>))) AS steps")
+    return el.suite_fingerprint(_cases(spark, sf_dir).withColumn("cls", F.col("cls").cast("int")).selectExpr("*", steps))
 
 
 @register("select_cases", """
@@ -272,11 +293,11 @@ def _wanted(spark, sf_dir, condition):
 
 
 @register("unknown_cases", """
-SELECT DISTINCT concat('run_', lpad(CAST(user_id AS VARCHAR), 12, '0')) AS case_id FROM events
-WHERE concat('run_', lpad(CAST(user_id AS VARCHAR), 12, '0')) NOT IN (SELECT run_id FROM v_runs)""")
+SELECT DISTINCT concat('run_', lpad(CAST(event_id AS VARCHAR), 12, '0')) AS case_id FROM events
+WHERE concat('run_', lpad(CAST(event_id AS VARCHAR), 12, '0')) NOT IN (SELECT run_id FROM v_runs)""")
 def unknown_cases(spark, sf_dir):
     wanted = fx.table(spark, sf_dir, "events").selectExpr(
-        "concat('run_', lpad(cast(user_id as string), 12, '0')) as case_id")
+        "concat('run_', lpad(cast(event_id as string), 12, '0')) as case_id")
     return el.unknown_cases(fx.runs(spark, sf_dir).selectExpr("run_id as case_id"), wanted)
 
 
