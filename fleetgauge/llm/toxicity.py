@@ -9,8 +9,8 @@ sample, as the method goes from row to row, with a learning rate per coordinate.
 zero, and what is left, 2^BITS numbers at most, goes to the tasks that score all texts.
 
 Defined cases: null or empty text has no features and gets the bias alone; a document with several labels is toxic
-if any says so; labels without text or ``toxic`` are not used; without any training row, or with one class only,
-the score is the (smoothed) share of toxic rows; repeated rows are scored each; a null doc_id is not held out.
+if any says so, and of its rows the one with the smallest text hash is learned from; labels without text or ``toxic`` are not used; without any training row, or with one class only, the
+score is the (smoothed) share of toxic rows; repeated rows are scored each; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -90,7 +90,9 @@ def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     picked = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     picked = stored(picked, "toxicity-sample")
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(picked, "doc_id")
+    # one row per id, so repeated rows of a sampled id don't all go to the task that fits
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("doc_id", "one.text", "toxic")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys = [], []
