@@ -419,18 +419,15 @@ def missing_value_counts(profile: DataFrame, policy: QualityPolicy = QualityPoli
 def null_runs(telemetry: DataFrame, provenance: DataFrame) -> DataFrame:
     """Contiguous missing stretches per present signal: ``start_s,end_s,samples``.
 
-    Pieces are found per segment; only the pieces that touch a segment edge (two per segment at
-    most) are stitched over the whole log.
+    Samples meet only samples of their own segment. Pieces are found per segment; only the pieces that touch a
+    segment edge (two per segment at most) are stitched over the whole log, and whether a log has the signal at all is
+    asked of the pieces, not of the samples. A NaN is missing.
     """
     signals = [s for s in v.SIGNALS if s != v.TIMESTAMP]
     missing = compact(*[(f"{s} IS NULL", text(s)) for s in signals])
     holes = (
-        telemetry.filter(" OR ".join(f"{s} IS NULL" for s in signals))
-        .join(provenance.select("file_id", "present"), "file_id")
-        .select(
-            "file_id", "row", F.col(v.TIMESTAMP).alias("t"),
-            F.expr(f"explode(array_intersect({missing}, present)) AS signal"),
-        )
+        without_nan(telemetry).filter(" OR ".join(f"{s} IS NULL" for s in signals))
+        .select("file_id", "row", F.col(v.TIMESTAMP).alias("t"), F.expr(f"explode({missing}) AS signal"))
         .withColumn("seg", sg.segment_of(F.col("row")))
     )
     order = Window.partitionBy("file_id", "signal", "seg").orderBy("row")
@@ -442,6 +439,7 @@ def null_runs(telemetry: DataFrame, provenance: DataFrame) -> DataFrame:
             F.min_by("t", "row").alias("start_s"), F.max_by("t", "row").alias("end_s"),
         )
         .drop("island")
+        .join(provenance.select("file_id", F.explode("present").alias("signal")), ["file_id", "signal"], "left_semi")
     )
     touches = (F.col("first_row") % sg.SEGMENT_ROWS == 0) | (
         F.col("last_row") % sg.SEGMENT_ROWS == sg.SEGMENT_ROWS - 1)

@@ -62,6 +62,22 @@ def ranked(
     )
 
 
+def ranked_by_range(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """0-based ``row_number`` per key where no bucket of the order is known beforehand.
+
+    Rows are dealt into ranges of (keys, order), whose borders Spark finds by a bounded sample. They are numbered inside each
+    range and shifted by the key's rows in the ranges before it. Ranges are of like size whatever values are frequent, as the
+    order goes down to single rows; only rows equal in all of the order share a range.
+    """
+    dealt = stored(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    local = Window.partitionBy(*keys, "_range").orderBy(*order)
+    placed = dealt.withColumn("_place", F.row_number().over(local)).join(shifts, [*keys, "_range"])
+    return placed.withColumn(name, (F.col("_shift") + F.col("_place") - 1).cast("bigint")).drop("_range", "_place", "_shift")
+
+
 RADIX = 4096
 #: Distinct values that one window ranks.
 FEW_VALUES = 1 << 16

@@ -15,7 +15,7 @@ from fleetgauge.functions import confidence as cf
 from fleetgauge.functions import text as tx
 from fleetgauge.functions.ids import stable_id
 from fleetgauge.functions.sqltext import text, texts
-from fleetgauge.operators.segments import ranked
+from fleetgauge.operators.segments import ranked_by_range
 
 NOT_A_SOURCE = ("file", "quality")
 OUTPUT_SCHEMA = (
@@ -227,10 +227,12 @@ def kept(verified: DataFrame) -> DataFrame:
 
 
 def rank_hypotheses(verified: DataFrame) -> DataFrame:
-    """Kept hypotheses with ``rank`` by (highest adjusted, cause) within the run."""
-    bucket = -F.floor(F.col("adjusted") * 100)
-    return ranked(kept(verified), ["run_id"], [F.desc("adjusted"), F.col("cause"), F.col("hypothesis_index")],
-                  bucket, "rank").withColumn("rank", F.col("rank") + 1)
+    """Kept hypotheses with ``rank`` by (highest adjusted, cause) within the run.
+
+    Many scores are equal (capped ones are), so the ranges run over score, cause and index together.
+    """
+    order = [F.desc("adjusted"), F.col("cause"), F.col("hypothesis_index")]
+    return ranked_by_range(kept(verified), ["run_id"], order, "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def cited_evidence_ids(ranked_hypotheses: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -43,3 +43,36 @@ def test_fingerprint_of_nested_cases(spark):
                   ("a", a[1], a[2], None)):
         assert _print(spark, other, b).suite_sha256 != whole.suite_sha256
     assert _print(spark, a, a, b).suite_sha256 != whole.suite_sha256
+
+
+def test_rank_with_half_of_all_rows_on_one_score(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(9)
+    rows = [("hot" if i % 3 else f"r{i % 7}", 0.6 if i % 2 else rng.randint(0, 99) / 100, f"cause {rng.randint(0, 5000)}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run string, score double, cause string, i int")
+    order = [F.desc("score"), F.col("cause"), F.col("i")]
+    # so small a table would be read as one partition otherwise
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = segments.ranked_by_range(df, ["run"], order, "place")
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy(*order)) - 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # the rows of the one score lie in many ranges
+    dealt = df.repartitionByRange(F.col("run"), *order).withColumn("at", F.spark_partition_id())
+    sizes = [r["count"] for r in dealt.groupBy("at").count().collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(sizes) < 3 * 3000 / len(sizes) and len(sizes) > 4
+
+
+def test_null_runs_shuffle_no_samples_by_log(spark):
+    from helpers import frames, log
+
+    from fleetgauge.operators import gates
+
+    def change(r, x):
+        x["conf"] = float("nan") if 20 <= r < 25 else x["conf"]
+        x["gap"] = None if r >= 95 else x["gap"]
+
+    tel, files = frames(spark, log("file_a", n=100, change=change))
+    runs = {r.signal: (r.start_s, r.end_s, r.samples) for r in gates.null_runs(tel, files).collect()}
+    assert runs == {"object_confidence": (pytest.approx(0.4), pytest.approx(0.48), 5), "relative_distance_m": (pytest.approx(1.9), pytest.approx(1.98), 5)}
