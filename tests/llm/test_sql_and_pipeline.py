@@ -23,11 +23,11 @@ def rows_of_sql(sql):
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     order = sorted(range(len(names)), key=names.__getitem__)
-    return sorted(tuple(r[i] for i in order) for r in cur.fetchall())
+    return sorted((tuple(r[i] for i in order) for r in cur.fetchall()), key=repr)
 
 
 def rows_of(df):
-    return sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect())
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
