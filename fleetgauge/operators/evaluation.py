@@ -84,31 +84,28 @@ def check_ground_truth(truth: DataFrame, metrics: DataFrame) -> DataFrame:
 # --- agent checks --------------------------------------------------------------------------------
 
 
-def agent_profile(ranked: DataFrame, acceptable: tuple[str, ...]) -> DataFrame:
-    """Per run: top class, rank of the first acceptable class, and fault claims with a label."""
-    ok = ", ".join(text(c) for c in acceptable) or "NULL"
-    return ranked.groupBy("run_id").agg(
+def agent_profile(ranked: DataFrame, cases: DataFrame) -> DataFrame:
+    """Per case: top class, rank of the first class that the case accepts, and fault claims with a label."""
+    accepts = cases.select(F.col("case_id").alias("run_id"), "acceptable_classes")
+    return ranked.join(accepts, "run_id").groupBy(F.col("run_id").alias("case_id")).agg(
         F.expr("min_by(failure_class, rank) AS top_class"),
-        F.expr(f"min(CASE WHEN failure_class IN ({ok}) THEN rank END) AS acceptable_rank"),
+        F.expr("min(CASE WHEN array_contains(acceptable_classes, failure_class) THEN rank END) AS acceptable_rank"),
         F.expr("count_if(failure_class <> 'unknown' AND label IN ('medium', 'high')) AS false_faults"),
         F.count(F.lit(1)).alias("verified"))
 
 
-def check_agent(
-    cases: DataFrame, verdicts: DataFrame, ranked: DataFrame, acceptable: tuple[str, ...]
-) -> DataFrame:
-    """``cases``: case_id (= run id), expected_outcome, max_report_confidence."""
-    ok = ", ".join(text(c) for c in acceptable) or "NULL"
-    label = text(", ".join(sorted(acceptable)))
+def check_agent(cases: DataFrame, verdicts: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``cases``: case_id (= run id), expected_outcome, max_report_confidence, acceptable_classes ARRAY."""
+    label = "array_join(array_sort(acceptable_classes), ', ')"
     joined = cases.join(
         verdicts.select(F.col("run_id").alias("case_id"), "report_confidence"), "case_id"
-    ).join(agent_profile(ranked, acceptable).withColumnRenamed("run_id", "case_id"), "case_id", "left")
+    ).join(agent_profile(ranked, cases), "case_id", "left")
     capped = joined.withColumn("_level", cf.level_of(F.col("report_confidence"))).withColumn(
         "_cap", cf.level_of(F.col("max_report_confidence")))
     rows = (
         "array_compact(array("
         "CASE WHEN expected_outcome = 'fault' THEN named_struct('name', 'top_hypothesis_class', 'passed', "
-        f"coalesce(top_class IN ({ok}), false), 'detail', IF(top_class IS NULL, 'no supported hypothesis survived "
+        "coalesce(array_contains(acceptable_classes, top_class), false), 'detail', IF(top_class IS NULL, 'no supported hypothesis survived "
         f"verification', concat('top=', top_class, ', acceptable=', {label}, ', first acceptable at rank ', "
         "coalesce(string(acceptable_rank), 'none')))) END, "
         "CASE WHEN expected_outcome = 'nominal' THEN named_struct('name', 'no_false_fault', 'passed', "
@@ -173,11 +170,13 @@ def _at_least_one(df: DataFrame) -> DataFrame:
 
 
 def release_gate(
-    results: DataFrame, checks: DataFrame, aggregates: DataFrame, thresholds: ReleaseThresholds = ReleaseThresholds()
+    results: DataFrame, checks: DataFrame, aggregates: DataFrame, thresholds: ReleaseThresholds = ReleaseThresholds(),
+    baseline_failures: DataFrame | None = None,
 ) -> DataFrame:
     """Failure rows ``scope, failure``; the release passes when there are none.
 
-    ``results``: case_id, status, error. ``checks``: deterministic checks.
+    ``results``: case_id, status, error. ``checks``: deterministic checks and those against the ground truth.
+    ``baseline_failures``: rows of ``baseline_compare``; without a baseline nothing is compared.
     """
     limits = asdict(thresholds)
     errors = results.filter("status = 'error'").selectExpr("case_id AS scope", "concat('error: ', error) AS failure")
@@ -192,7 +191,8 @@ def release_gate(
         f"CASE WHEN {column} {op} {num(limit)} THEN concat('{shown} ', format_string('%.2f', {column}), ' {op} {limit:.2f}') END"
         for column, shown, limit, op in bars if limit is not None)
     over = aggregates.selectExpr("'aggregate' AS scope", f"explode(array_compact(array({rows}))) AS failure")
-    return errors.unionByName(failed).unionByName(over)
+    out = errors.unionByName(failed).unionByName(over)
+    return out if baseline_failures is None else out.unionByName(baseline_failures)
 
 
 def baseline_regressions(results: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from fleetgauge.plans.telemetry_queries import _analysis, stored_analysis
 from fleetgauge.plans.verification_queries import verdicts, verified
 from fleetgauge.policies import ReleaseThresholds
 from fleetgauge.session import shared_folder, stored
+from fleetgauge.sources import reports as sinks
 from fleetgauge.sources import tables
 
 # --- evidence and reports per log ---------------------------------------------------------------
@@ -151,18 +152,19 @@ def case_expectations(spark, sf_dir):
     return el.check_events(cases, a.events).unionByName(el.check_metric_verdicts(cases, a.metrics))
 
 
-@register("ground_truth_join", "SELECT * FROM v_truth_checks")
-def ground_truth_join(spark, sf_dir):
-    truth = _cases(spark, sf_dir).filter("expected_quality <> 'blocked'").selectExpr(
+def _truth(spark, sf_dir):
+    return _cases(spark, sf_dir).filter("expected_quality <> 'blocked'").selectExpr(
         "case_id", "cls in (1, 4) as collision",
         "case when cls <> 3 then case when cls in (1, 4) then 556e-2 when cls = 2 then 530e-2 else 492e-2 end - 474e-2 end "
         "as braking_latency_s")
-    return el.check_ground_truth(truth, _analysis(spark, sf_dir).metrics)
 
 
-# --- evaluation of agent runs -------------------------------------------------------------------
+@register("ground_truth_join", "SELECT * FROM v_truth_checks")
+def ground_truth_join(spark, sf_dir):
+    return el.check_ground_truth(_truth(spark, sf_dir), _analysis(spark, sf_dir).metrics)
+
 
-ACCEPTABLE = ("perception_error", "fusion_error")
+# --- evaluation of agent runs -------------------------------------------------------------------
 
 
 class _AgentEval:
@@ -174,10 +176,11 @@ class _AgentEval:
         self.cases = fx.runs(spark, sf_dir).selectExpr(
             "run_id as case_id", "expected_outcome", "max_report_confidence", "quality_verdict", "baseline_passed",
             "latency_s", "prompt_tokens", "completion_tokens",
+            "if(cast(right(run_id, 12) as bigint) % 2 = 0, array('perception_error', 'fusion_error'), array('planner_logic_error')) as acceptable_classes",
             "case when cast(right(run_id, 12) as bigint) % 97 = 0 then 'provider unavailable' end as error"
         ).withColumn("agent_ran", F.expr("quality_verdict <> 'blocked' and error is null"))
         self.checks = el.check_agent(
-            self.cases.filter("agent_ran"), self.verdicts, vf.rank_hypotheses(self.verified), ACCEPTABLE)
+            self.cases.filter("agent_ran"), self.verdicts, vf.rank_hypotheses(self.verified))
         self.results = el.case_status(self.cases, self.checks).join(
             self.verdicts.selectExpr("run_id as case_id", "evidence_support_rate", "unsupported_claim_rate",
                                      "human_review_required"), "case_id")
@@ -228,6 +231,36 @@ def release_gate(spark, sf_dir):
     return el.release_gate(e.results, _deterministic(spark, sf_dir), el.eval_aggregates(e.results, e.checks), _BARS)
 
 
+@register("release_gate_whole", """
+SELECT case_id AS scope, 'error: ' || error AS failure FROM v_eresults WHERE status = 'error'
+UNION ALL SELECT case_id, name || ': ' || detail FROM v_det_checks WHERE NOT passed
+UNION ALL SELECT case_id, name || ': ' || detail FROM v_truth_checks WHERE NOT passed
+UNION ALL SELECT 'aggregate', 'unsupported_claim_rate ' || printf('%.2f', max_unsupported_claim_rate) || ' > 0.10' FROM v_eagg WHERE max_unsupported_claim_rate > 1e-1
+UNION ALL SELECT 'aggregate', 'evidence_support_rate ' || printf('%.2f', mean_evidence_support_rate) || ' < 0.90' FROM v_eagg WHERE mean_evidence_support_rate < 9e-1
+UNION ALL SELECT case_id, case_id || ' passed in baseline, now ' || status FROM v_eresults WHERE baseline_passed AND status <> 'pass'""")
+def release_gate_whole(spark, sf_dir):
+    """The gate with ground truth, and with a baseline that was stored, read again and compared by its suite's hash."""
+    e, cases = _AgentEval(spark, sf_dir), _cases(spark, sf_dir)
+    path, digest = _table(spark, "evaluation"), el.suite_fingerprint(cases).first().suite_sha256
+    aggregates = el.eval_aggregates(e.results, e.checks)
+    sinks.write_evaluation(_baseline(e), aggregates, path)
+    before, old = sinks.read_evaluation(spark, path, _baseline(e).schema, aggregates.schema)
+    failures = el.baseline_compare(e.results, aggregates, digest, before, old, digest, "eval_1")
+    checks = _deterministic(spark, sf_dir).unionByName(el.check_ground_truth(_truth(spark, sf_dir), _analysis(spark, sf_dir).metrics))
+    return el.release_gate(e.results, checks, aggregates, baseline_failures=failures)
+
+
+@register("baseline_refused", "SELECT 'suite' AS scope, 'baseline eval_1 was produced by a different suite' AS failure")
+def baseline_refused(spark, sf_dir):
+    """A baseline of a suite in which one case differs is refused, whatever its results."""
+    e, cases = _AgentEval(spark, sf_dir), _cases(spark, sf_dir)
+    changed = cases.withColumn("expected_quality", F.when(F.col("cls") == 5, "pass").otherwise(F.col("expected_quality")))
+    now, then = (el.suite_fingerprint(c).first().suite_sha256 for c in (cases, changed))
+    aggregates = el.eval_aggregates(e.results, e.checks)
+    refused = el.baseline_compare(e.results, aggregates, now, _baseline(e), aggregates, then, "eval_1")
+    return refused.select("scope", F.regexp_extract("failure", r"^[^(]*suite", 0).alias("failure"))
+
+
 def _baseline(e: _AgentEval):
     return e.cases.selectExpr("case_id", "if(baseline_passed, 'pass', 'fail') as status")
 

@@ -107,15 +107,16 @@ FROM v_truth t JOIN v_metrics l ON l.file_id = t.case_id AND l.name = 'braking_l
 
 # --- evaluation of agent runs --------------------------------------------------------------------
 VIEWS["v_ecases"] = """
-SELECT run_id AS case_id, expected_outcome, max_report_confidence, quality_verdict, baseline_passed, latency_s, prompt_tokens, completion_tokens,
+SELECT run_id AS case_id, CASE WHEN c_custkey % 2 = 0 THEN ['perception_error', 'fusion_error'] ELSE ['planner_logic_error'] END AS acceptable,
+  expected_outcome, max_report_confidence, quality_verdict, baseline_passed, latency_s, prompt_tokens, completion_tokens,
   CASE WHEN c_custkey % 97 = 0 THEN 'provider unavailable' END AS error, quality_verdict <> 'blocked' AND c_custkey % 97 <> 0 AS agent_ran FROM v_runs"""
 VIEWS["v_aprof"] = """
-SELECT run_id, arg_min(failure_class, rank) AS top_class, min(rank) FILTER (WHERE failure_class IN ('perception_error', 'fusion_error')) AS acceptable_rank,
-  count(*) FILTER (WHERE failure_class <> 'unknown' AND label <> 'low') AS false_faults FROM v_kept GROUP BY run_id"""
+SELECT run_id, arg_min(failure_class, rank) AS top_class, min(rank) FILTER (WHERE list_contains(acceptable, failure_class)) AS acceptable_rank,
+  count(*) FILTER (WHERE failure_class <> 'unknown' AND label <> 'low') AS false_faults FROM v_kept JOIN (SELECT case_id, acceptable FROM v_ecases) c ON c.case_id = run_id GROUP BY run_id"""
 _ORD = "(list_position(['blocked', 'low', 'medium', 'high'], {0}))"
 VIEWS["v_agent_checks"] = f"""
-SELECT c.case_id, 'top_hypothesis_class' AS name, coalesce(a.top_class IN ('perception_error', 'fusion_error'), false) AS passed,
-  CASE WHEN a.top_class IS NULL THEN 'no supported hypothesis survived verification' ELSE 'top=' || a.top_class || ', acceptable=fusion_error, perception_error, first acceptable at rank '
+SELECT c.case_id, 'top_hypothesis_class' AS name, coalesce(list_contains(c.acceptable, a.top_class), false) AS passed,
+  CASE WHEN a.top_class IS NULL THEN 'no supported hypothesis survived verification' ELSE 'top=' || a.top_class || ', acceptable=' || array_to_string(list_sort(c.acceptable), ', ') || ', first acceptable at rank '
     || coalesce(CAST(acceptable_rank AS VARCHAR), 'none') END AS detail
 FROM v_ecases c LEFT JOIN v_aprof a ON a.run_id = c.case_id WHERE agent_ran AND expected_outcome = 'fault'
 UNION ALL SELECT c.case_id, 'no_false_fault', coalesce(false_faults, 0) = 0, CASE WHEN coalesce(false_faults, 0) = 0 THEN 'no fault hypothesis at or above medium'
