@@ -55,7 +55,7 @@ def dashboard_summary(projects: DataFrame, files: DataFrame, runs: DataFrame, re
 
 
 def call_usage(calls: DataFrame) -> DataFrame:
-    """Tokens, latency and failures of the provider call log."""
-    return calls.groupBy("kind").agg(
+    """Tokens, latency and failures of the call log, by provider, model and kind of call."""
+    return calls.groupBy("provider", "model", "kind").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("latency_s").alias("total_latency_s"), F.count_if(~F.col("ok")).alias("failures"))

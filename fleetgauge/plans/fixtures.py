@@ -235,6 +235,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider call log."""
     return table(spark, sf_dir, "conversations").selectExpr(
         "concat('call_', cast(conv_id as string), '_', cast(turn as string)) as call_id",
+        "concat('provider_', conv_id % 2) as provider", "concat('model_', conv_id % 3) as model",
         "case role when 'assistant' then 'structured' when 'user' then 'completion' else 'embedding' end as kind",
         "greatest(1, cast(floor(length(text) / 4e0) as int)) as prompt_tokens",
         "length(text) / 1e3 as latency_s", "turn % 7 <> 6 as ok")

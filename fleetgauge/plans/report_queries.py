@@ -494,8 +494,9 @@ def dashboard_summary(spark, sf_dir):
 
 
 @register("call_usage", """
-SELECT kind, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, round(sum(latency_s), 6) AS total_latency_s, count(*) FILTER (WHERE NOT ok) AS failures
-FROM (SELECT CASE role WHEN 'assistant' THEN 'structured' WHEN 'user' THEN 'completion' ELSE 'embedding' END AS kind,
-  greatest(1, CAST(floor(length(text) / 4e0) AS INT)) AS prompt_tokens, length(text) / 1e3 AS latency_s, turn % 7 <> 6 AS ok FROM conversations) x GROUP BY kind""")
+SELECT provider, model, kind, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, round(sum(latency_s), 6) AS total_latency_s, count(*) FILTER (WHERE NOT ok) AS failures
+FROM (SELECT 'provider_' || (conv_id % 2) AS provider, 'model_' || (conv_id % 3) AS model,
+  CASE role WHEN 'assistant' THEN 'structured' WHEN 'user' THEN 'completion' ELSE 'embedding' END AS kind,
+  greatest(1, CAST(floor(length(text) / 4e0) AS INT)) AS prompt_tokens, length(text) / 1e3 AS latency_s, turn % 7 <> 6 AS ok FROM conversations) x GROUP BY provider, model, kind""")
 def call_usage(spark, sf_dir):
     return dashboard.call_usage(fx.calls(spark, sf_dir)).withColumn("total_latency_s", r6("total_latency_s"))
