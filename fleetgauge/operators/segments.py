@@ -69,7 +69,9 @@ def ranked_by_range(df: DataFrame, keys: list[str], order: list[Column], name: s
     range and shifted by the key's rows in the ranges before it. Ranges are of like size whatever values are frequent, as the
     order goes down to single rows; only rows equal in all of the order share a range.
     """
-    dealt = stored(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # the sample is a pass of its own, so what is ranked is computed beforehand
+    source = stored(df, "unranked")
+    dealt = stored(source.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
