@@ -43,3 +43,23 @@ def test_more_text_is_more_parts(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     docs = fx.raw_documents(spark, str(tmp_path))
     assert docs.rdd.getNumPartitions() == 40 and docs.count() == 40
+
+
+def test_lists_of_a_block_are_made_after_one_shuffle(spark):
+    rows = [(f"c{i:03}", " ".join(f"w{j}" for j in range(i % 9 + 1))) for i in range(60)]
+    indexed, posts = (d.cache() for d in retrieval.build_index(spark.createDataFrame(rows, "chunk_id string, text string")))
+    impacts = retrieval.impact_blocks(indexed, posts)
+    plan = _plan(impacts)
+    assert "collect_list" not in plan and "SortMergeJoin" not in plan
+    got = {(r.term, e.chunk_id, e.tf, e.doc_len) for r in impacts.collect() for e in r.entries}
+    assert got == {(f"w{j}", f"c{i:03}", 1, i % 9 + 1) for i in range(60) for j in range(i % 9 + 1)}
+    assert {r.term: r.n for r in impacts.collect()}["w8"] == 6
+
+
+def test_lists_are_not_copied_for_each_query(spark):
+    rows = [(f"c{i:03}", " ".join(f"w{j}" for j in range(i % 9 + 1))) for i in range(60)]
+    impacts = retrieval.impact_blocks(*(d.cache() for d in retrieval.build_index(spark.createDataFrame(rows, "chunk_id string, text string"))))
+    queries = spark.createDataFrame([(i, "w1 w2 w3") for i in range(30)], "query_id long, query string")
+    top = retrieval.bm25_topk(queries, impacts, 3)
+    assert "collect_list(struct(idf, entries" not in _plan(top) and "flatten" not in _plan(top)
+    assert sorted((r.query_id, r["rank"]) for r in top.collect()) == [(q, k) for q in range(30) for k in (1, 2, 3)]
