@@ -124,7 +124,7 @@ def sidecar_scan(spark, sf_dir):
 
 def _document_files(spark, sf_dir):
     path = f"{shared_folder(spark)}/fleetgauge-md-{uuid.uuid4().hex}"
-    fx.raw_documents(spark, sf_dir).select("doc_id", "raw").write.partitionBy("doc_id").text(path)
+    docs.write_documents(fx.raw_documents(spark, sf_dir), "doc_id", "raw", path)
     return path
 
 

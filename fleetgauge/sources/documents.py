@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,38 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.md") -> Dat
         F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
 
 
+FOLDERS = 256
+
+
+def _written(path: str):
+    """Writes ``folder, name, lines`` as files under a path that tasks reach."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        made = set()
+        for batch in batches:
+            for folder, name, lines in zip(*(batch.column(c).to_pylist() for c in ("folder", "name", "lines"))):
+                if folder not in made:
+                    files.create_dir(f"{root}/{folder}", recursive=True)
+                    made.add(folder)
+                with files.open_output_stream(f"{root}/{folder}/{name}") as stream:
+                    for line in lines:
+                        stream.write(line.encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+    return run
+
+
+def write_documents(documents: DataFrame, key: str, column: str, path: str) -> int:
+    """One file ``key=....txt`` per key under ``path``, with its texts as lines; returns how many.
+
+    The files lie in FOLDERS folders by hash. Each task puts its files where they stay, so nothing is moved afterwards, and a task
+    that runs again writes the same names.
+    """
+    # a text that is missing is an empty line
+    lines = documents.groupBy(key).agg(F.collect_list(F.coalesce(column, F.lit(""))).alias("lines"))
+    named = lines.selectExpr(f"pmod(xxhash64({key}), {FOLDERS}) AS folder", f"concat('{key}=', coalesce(CAST({key} AS STRING), ''), '.txt') AS name", "lines")
+    return named.mapInArrow(_written(path), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_index(indexed: DataFrame, postings: DataFrame, path: str, provider: str, model: str) -> None:
     """Chunks with vectors by source type, postings, and a one-row manifest."""
     indexed.write.mode("overwrite").partitionBy("source_type").parquet(f"{path}/chunks")

@@ -5,6 +5,7 @@ import re
 
 from fleetgauge.operators import retrieval
 from fleetgauge.plans import fixtures as fx
+from fleetgauge.sources import documents as docs
 
 
 def _plan(df):
@@ -63,3 +64,11 @@ def test_lists_are_not_copied_for_each_query(spark):
     top = retrieval.bm25_topk(queries, impacts, 3)
     assert "collect_list(struct(idf, entries" not in _plan(top) and "flatten" not in _plan(top)
     assert sorted((r.query_id, r["rank"]) for r in top.collect()) == [(q, k) for q in range(30) for k in (1, 2, 3)]
+
+
+def test_a_document_is_written_where_it_stays(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "one\ntwo"), (2, None), (3, "a"), (3, "a")], "doc_id long, raw string")
+    assert docs.write_documents(texts, "doc_id", "raw", str(tmp_path / "out")) == 3
+    files = {p.name: p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
+    assert files == {"doc_id=1.txt": "one\ntwo\n", "doc_id=2.txt": "\n", "doc_id=3.txt": "a\na\n"}
+    assert {r.file_name: r.raw for r in docs.read_documents(spark, f"{tmp_path}/out/*", "*.txt").collect()} == files
