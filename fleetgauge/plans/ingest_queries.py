@@ -93,9 +93,10 @@ def _exported(spark, sf_dir):
         "file_id", "row", f"{v.TIMESTAMP} * 1e3 AS timestamp", "ego_speed_kmh", f"{v.GAP}", "relative_velocity_kmh",
         "CASE row % 7 WHEN 0 THEN concat('say \"', row, '\",', chr(10), chr(10), 'then go on') WHEN 1 THEN 'a, b' ELSE 'plain' END AS note")
     src.write_export(frame, path)
-    sidecars = frame.select("file_id").distinct().selectExpr(
-        "file_id", "concat('SCN-', file_id) AS scenario_id", "'synthetic' AS data_origin", "map('timestamp', 'ms') AS column_units")
-    sidecars.write.mode("append").partitionBy("file_id").json(path)
+    sidecar = "to_json(struct(concat('SCN-', file_id) AS scenario_id, 'synthetic' AS data_origin, map('timestamp', 'ms') AS column_units))"
+    sidecars = fx.telemetry(spark, sf_dir).select("file_id").distinct().selectExpr(
+        "concat('file_id=', coalesce(file_id, '__HIVE_DEFAULT_PARTITION__')) AS folder", "'sidecar.json' AS name", f"array({sidecar}) AS lines")
+    docs.write_files(sidecars, path)
     return path
 
 

@@ -48,7 +48,12 @@ def write_documents(documents: DataFrame, key: str, column: str, path: str) -> i
     # a text that is missing is an empty line
     lines = documents.groupBy(key).agg(F.collect_list(F.coalesce(column, F.lit(""))).alias("lines"))
     named = lines.selectExpr(f"pmod(xxhash64({key}), {FOLDERS}) AS folder", f"concat('{key}=', coalesce(CAST({key} AS STRING), ''), '.txt') AS name", "lines")
-    return named.mapInArrow(_written(path), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return write_files(named, path)
+
+
+def write_files(files: DataFrame, path: str) -> int:
+    """Files of ``folder, name, lines`` under ``path``; returns how many."""
+    return files.select("folder", "name", "lines").mapInArrow(_written(path), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_index(indexed: DataFrame, postings: DataFrame, path: str, provider: str, model: str) -> None:

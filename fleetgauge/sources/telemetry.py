@@ -245,10 +245,11 @@ def to_export(telemetry: DataFrame) -> DataFrame:
 def write_export(telemetry: DataFrame, path: str) -> None:
     """One CSV per log, in logged order, in the folder ``file_id=...``; quotes inside fields are doubled.
 
-    A log is one file, so its rows are written by one task, sorted on disk if they don't fit in memory.
+    A log is one file, so its rows are written by one task, sorted on disk if they don't fit in memory. A task moves its own files
+    to their place when it ends; otherwise the driver would move those of all logs one after another.
     """
     telemetry.repartition("file_id").sortWithinPartitions("file_id", "row").drop("row").write.partitionBy("file_id").option(
-        "escape", '"').csv(path, header=True)
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").option("escape", '"').csv(path, header=True)
 
 
 def export_units(columns: list[str]) -> dict[str, str]:

@@ -6,6 +6,7 @@ import re
 from fleetgauge.operators import retrieval
 from fleetgauge.plans import fixtures as fx
 from fleetgauge.sources import documents as docs
+from fleetgauge.sources import telemetry
 
 
 def _plan(df):
@@ -72,3 +73,11 @@ def test_a_document_is_written_where_it_stays(spark, tmp_path):
     files = {p.name: p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
     assert files == {"doc_id=1.txt": "one\ntwo\n", "doc_id=2.txt": "\n", "doc_id=3.txt": "a\na\n"}
     assert {r.file_name: r.raw for r in docs.read_documents(spark, f"{tmp_path}/out/*", "*.txt").collect()} == files
+
+
+def test_sidecars_are_written_without_a_task_that_moves_them(spark, tmp_path):
+    rows = [(f"file_id=f{i}", "sidecar.json", ['{"scenario_id":"S%d","column_units":{"timestamp":"ms"}}' % i]) for i in range(30)]
+    assert docs.write_files(spark.createDataFrame(rows, "folder string, name string, lines array<string>"), str(tmp_path)) == 30
+    assert len(list(tmp_path.rglob("*"))) == 60  # folders and files, no markers
+    read = telemetry.read_sidecars(spark, str(tmp_path), "*.json").collect()
+    assert {(r.folder.rsplit("/", 1)[1], r.scenario_id, r.column_units["timestamp"]) for r in read} == {(f"file_id=f{i}", f"S{i}", "ms") for i in range(30)}
