@@ -18,6 +18,7 @@ from fleetgauge.functions.sqltext import text, texts
 from fleetgauge.operators.segments import ranked_by_range
 
 NOT_A_SOURCE = ("file", "quality")
+PART_ROWS = 1 << 18
 OUTPUT_SCHEMA = (
     "observations ARRAY<STRING>, hypotheses ARRAY<STRUCT<cause STRING, failure_class STRING, "
     "evidence_ids ARRAY<STRING>, confidence DOUBLE>>, missing_evidence ARRAY<STRING>, "
@@ -136,8 +137,12 @@ def resolve_citations(citations: DataFrame, registry: DataFrame, scope: tuple[st
     """Cited ids, once per hypothesis at their first position, with the artifact or without.
 
     With ``scope`` an id resolves only to an artifact of the citing hypothesis' own scope.
+    Few ids are cited twice, so a task holds all it gets: citations are dealt by hypothesis and id into parts of PART_ROWS on
+    average, and more of them are more parts, not larger ones.
     """
-    cited = citations.groupBy("hyp_key", *scope, "evidence_id").agg(F.min("pos").alias("pos"))
+    key = ["hyp_key", *scope, "evidence_id"]
+    dealt = citations.repartition(-(-citations.count() // PART_ROWS) or 1, *key)
+    cited = dealt.groupBy(*key).agg(F.min("pos").alias("pos"))
     known = registry.select(*scope, "evidence_id", "kind", "source", "t_s", "passed", "stale", "injection_flagged")
     return cited.join(known, [*scope, "evidence_id"], "left").withColumn("resolved", F.col("source").isNotNull())
 

@@ -71,8 +71,8 @@ def _scoped(spark, sf_dir):
     logs = registry.select("file_id").distinct().withColumn("number", F.expr("CAST(right(file_id, 12) AS BIGINT)"))
     follows = _next_log(logs)
     other = follows.join(registry.select(F.col("file_id").alias("after"), "evidence_id"), "after").select("file_id", "evidence_id")
-    cites = registry.select("file_id", "evidence_id").unionByName(other).distinct().selectExpr(
-        "file_id AS hyp_key", "file_id", "evidence_id", "0 AS pos")
+    cites = stored(registry.select("file_id", "evidence_id").unionByName(other).distinct().selectExpr(
+        "file_id AS hyp_key", "file_id", "evidence_id", "0 AS pos"), "cites")
     return cites, registry
 
 
