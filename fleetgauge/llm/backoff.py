@@ -43,6 +43,9 @@ HOT = 14
 LOCAL = 8
 #: Bytes of text whose pairs make up a partition of the count table.
 PART = 16 << 20
+#: Lists of a packed row. Differences of keys and numbers of documents are cut into pieces of 16 bits: the upper ones are
+#: mostly 0 and shrink when they are written.
+LISTS = ("docs", "length", "step0", "step1", "step2", "step3", "doc0", "doc1", "times", "gain", "base", "one", "two")
 INSIDE = np.ones(256, np.int8)
 INSIDE[[9, 10, 11, 12, 13, 32]] = 0
 
@@ -201,8 +204,10 @@ def _packed(docs: DataFrame, known: Vocabulary, hot: tuple[np.ndarray, np.ndarra
         edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
         for a, b in zip(edges, np.append(edges[1:], len(part))):
             used, of = np.unique(at[a:b], return_inverse=True)
-            yield (part[a], kind, docs[used], (), np.diff(step[a:b], prepend=0), of, times[a:b],
-                   () if gain is None else gain[a:b].astype(np.float32).astype(float), *((x[a:b] for x in sides) if sides else ((), ())))
+            steps_ = np.diff(step[a:b], prepend=0)
+            yield (part[a], kind, docs[used], (), *((steps_ >> 16 * i).astype(np.int16) for i in range(4)),
+                   *((of >> 16 * i).astype(np.int16) for i in range(2)), times[a:b], () if gain is None else gain[a:b], (),
+                   *((x[a:b] for x in sides) if sides else ((), ())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,20 +217,21 @@ def _packed(docs: DataFrame, known: Vocabulary, hot: tuple[np.ndarray, np.ndarra
                 order = np.argsort(word, kind="stable")
                 word = word[order]
                 rows = [
-                    (docs[0] & ((1 << bits) - 1), _BASE, docs, length, (), (), (), base, (), ()),
+                    (docs[0] & ((1 << bits) - 1), _BASE, docs, length, (), (), (), (), (), (), (), (), base, (), ()),
                     *cut(_WORDS, (word >> np.uint64(64 - bits)).astype(np.int64), docs, word.view(np.int64), at[order], times[order]),
                     *cut(_PAIRS, pairs[0] >> max(0, 2 * known.bits - bits), docs, *pairs),
                     *cut(_RARE, rare[0] >> (63 - bits), docs, *rare)]
                 for i in range(0, len(rows), 256):
                     some = list(zip(*rows[i:i + 256]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int32)) for x in some[:2]] + [
-                        _lists(x, kind) for x, kind in zip(some[2:], (np.int64, np.int32, np.int64, np.int32, np.int32, np.float64, np.int64, np.int64))],
-                        names)
+                        _lists(x, kind) for x, kind in zip(some[2:], (
+                            np.int64, np.int32, *[np.int16] * 6, np.int32, np.float32, np.float64, np.int64, np.int64))],
+                        ["part", "kind", *LISTS])
 
-    names = ["part", "kind", "docs", "length", "step", "doc", "times", "gain", "one", "two"]
     return docs.select("doc", "text").mapInArrow(
-        run, "part int, kind int, docs array<long>, length array<int>, step array<long>, doc array<int>, times array<int>, "
-             "gain array<double>, one array<long>, two array<long>")
+        run, "part int, kind int, docs array<long>, length array<int>, step0 array<short>, step1 array<short>, step2 array<short>, "
+             "step3 array<short>, doc0 array<short>, doc1 array<short>, times array<int>, gain array<float>, base array<double>, "
+             "one array<long>, two array<long>")
 
 
 def _lists(parts, kind) -> pa.Array:
@@ -233,6 +239,11 @@ def _lists(parts, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.asarray(p, kind) for p in parts])))
 
 
+def _whole(pieces) -> np.ndarray:
+    """Numbers from their pieces of 16 bits, lowest first."""
+    return sum(p.view(np.uint16).astype(np.int64) << 16 * i for i, p in enumerate(pieces))
+
+
 def _joined(table, bits: int):
     """What the pairs of one partition of the count table add to their documents, packed by buckets of documents.
 
@@ -242,11 +253,12 @@ def _joined(table, bits: int):
     empty = np.zeros(0, np.int64)
     base, word, pairs, sizes = [], [], [], 0
     for batch in table.to_batches():
-        columns = [batch.column(c) for c in ("kind", "docs", "length", "step", "doc", "times", "gain", "one", "two")]
+        columns = [batch.column(c) for c in ("kind", *LISTS)]
         for kind, *lists in zip(*columns):
-            d, n, s, r, t, g, one, two = (x.values.to_numpy() for x in lists)
+            d, n, *halves, t, g, b, one, two = (x.values.to_numpy() for x in lists)
+            s, r = _whole(halves[:4]), _whole(halves[4:])
             if kind.as_py() == _BASE:
-                base.append((d, n, g))
+                base.append((d, n, b))
             elif kind.as_py() == _WORDS:
                 word.append((np.cumsum(s), d[r], t, t))
             else:
