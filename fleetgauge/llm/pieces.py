@@ -15,6 +15,9 @@ What a forward state holds depends on the kind of model:
 Both states depend on the prefix alone, which is what lets words share them. Characters without piece
 are their UTF-8 bytes (or the unknown piece, if the model has no bytes).
 
+Texts are cut where their bytes say, and the distinct words of a step are told by Arrow, so Python sees a word once per
+step; ids are gathered for all its occurrences at once. Decoding gathers the spellings of all ids of a step likewise.
+
 Defined cases: null and empty text have no pieces and decode to empty text; a repeated row gets a row each;
 a mark U+2581 in a text reads back as a space, as in SentencePiece itself.
 """
@@ -23,21 +26,26 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from fleetgauge.llm.common import by_text
+from fleetgauge.llm.words import bytes_of
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Entries a worker keeps from step to step, of words and of pairs of pieces; full tables are begun anew.
 KEPT = 1 << 19
 KEPT_PAIRS = 1 << 18
+#: Longer words than this are encoded one by one, the others a level of their trie at a time.
+LEVELS = 64
+#: Fills the matrix of characters of the words of a trie.
+NO_CHAR = 0x110000
 
 
 class Model:
@@ -69,9 +77,27 @@ class Model:
         #: What an id reads back as; control pieces as nothing.
         self.spelling = [
             b"" if p.type == 3 else raw[i] if i in raw else p.piece.replace(MARK, " ").encode() for i, p in enumerate(proto.pieces)]
+        self.spellings = pa.array(self.spelling, pa.large_binary())
+        self._reverse()
         self.fits: dict[tuple[str, str], bool] = {}
+        #: As ``fits``, by left id * (number of pieces + 1) + right id; the left id is the number of pieces if there is no left one.
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
+    def _reverse(self) -> None:
+        """The trie of the pieces read backwards: ``edges`` (node << 21 | character) in order, where they lead, the piece of a node or -1."""
+        lead: dict[int, int] = {}
+        ends = {0: -1}
+        for piece, i in self.ids.items():
+            node = 0
+            for c in reversed(piece):
+                node = lead.setdefault(node << 21 | ord(c), len(lead) + 1)
+            ends[node] = i
+        edges = np.array([*lead, 1 << 62], np.int64)
+        order = np.argsort(edges)
+        self.edges, self.leads = edges[order], np.array([*lead.values(), 0], np.int64)[order]
+        self.ends = np.array([ends.get(k, -1) for k in range(len(lead) + 1)], np.int64)
+
     def merged(self, text: str) -> list[str]:
         """Plain merges of a short text or a run of marks: always the best-scored pair, leftmost first."""
         parts: list[str | None] = list(text)
@@ -104,9 +130,26 @@ class Model:
             self.fits.clear()
         if left and left not in self.scores:  # a character without piece merges with nothing
             left = ""
-        known = self.fits[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        known = self.fits[left, right] = self._stay(left, right)
         return known
 
+    def _stay(self, left: str, right: str) -> bool:
+        return self.merged(left + right) == ([left, right] if left else [right])
+
+    def _fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_fit`` of many pairs of ids."""
+        none = len(self.pieces)
+        pairs = self.pairs
+        keys = (left * (none + 1) + right).tolist()
+        new = {k for k in keys if k not in pairs}
+        if len(pairs) + len(new) > KEPT_PAIRS:
+            pairs.clear()
+            new = set(keys)
+        for key in new:
+            a, b = divmod(key, none + 1)
+            pairs[key] = self._stay("" if a == none else self.pieces[a], self.pieces[b])
+        return np.fromiter(map(pairs.__getitem__, keys), bool, len(keys))
+
     def step(self, word: str, at: int, states: list) -> None:
         """Appends the state of ``word[:at]`` to the states of its shorter prefixes.
 
@@ -146,11 +189,72 @@ class Model:
             return [self.bytes[b] for b in part.encode("utf-8", "surrogatepass")]
         return (self.unknown,)
 
+    def _levels(self, words: list[str]) -> Iterable[tuple[int, ...]]:
+        """Ids of each of the words, which are in order and no longer than ``LEVELS``, a level of their trie at a time (BPE)."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.full((len(words), sizes.max()), NO_CHAR, np.int64)
+        chars[np.arange(chars.shape[1]) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        common = np.zeros(len(words), np.int64)
+        common[1:] = (chars[1:] != chars[:-1]).argmax(axis=1)
+        none = len(self.pieces)
+        # the states: length and id of the last piece of each prefix
+        last = np.ones((chars.shape[1] + 1, len(words)), np.int64)
+        piece = np.full((chars.shape[1] + 1, len(words)), none, np.int64)
+        for at in range(1, chars.shape[1] + 1):
+            # a node is computed with the first word that has it
+            rows = np.flatnonzero((common < at) & (sizes >= at))
+            node, alive, ends = np.zeros(len(rows), np.int64), rows, []
+            for n in range(1, at + 1):
+                key = node << 21 | chars[alive, at - n]
+                to = np.searchsorted(self.edges, key)
+                there = self.edges[to] == key
+                alive, node = alive[there], self.leads[to[there]]
+                if not len(alive):
+                    break
+                found = self.ends[node]
+                ends.append((alive[found >= 0], found[found >= 0]))
+            open_ = np.zeros(len(words), bool)
+            open_[rows] = True
+            for n in range(len(ends), 0, -1):
+                some, ids = ends[n - 1]
+                still = open_[some]
+                some, ids = some[still], ids[still]
+                if n > 1:
+                    fits = self._fitting(piece[at - n, some], ids)
+                    some, ids = some[fits], ids[fits]
+                last[at, some], piece[at, some] = n, ids
+                open_[some] = False
+            first = np.zeros(len(words), np.int64)
+            first[rows] = rows
+            first = np.maximum.accumulate(first)
+            last[at], piece[at] = last[at, first], piece[at, first]
+        # back from the ends of the words
+        rows, at, parts = np.arange(len(words)), sizes, []
+        while len(rows):
+            parts.append((rows, at, piece[at, rows]))
+            at = at - last[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        rows, at, ids = map(np.concatenate, zip(*parts))
+        order = np.lexsort((at, rows))
+        rows, at, ids = rows[order], at[order], ids[order].tolist()
+        cuts = np.searchsorted(rows, np.arange(len(words) + 1)).tolist()
+        odd = set(rows[np.flatnonzero(np.array(ids) == none)].tolist())
+        ends = at.tolist()
+        for row, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if row in odd:
+                yield tuple(i for k in range(a, b) for i in ((ids[k],) if ids[k] < none else self._spelt(words[row][ends[k] - 1])))
+            else:
+                yield tuple(ids[a:b])
+
     def encode_words(self, distinct: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each word, by depth-first traversal of the trie of the words (their sorted order)."""
         out: dict[str, tuple[int, ...]] = {}
         states, last = [(0.0, 0)], ""
-        for word in sorted(distinct):
+        distinct = sorted(distinct)
+        if not self.unigram and (short := [w for w in distinct if len(w) <= LEVELS and w[:2] != MARK * 2]):
+            out.update(zip(short, self._levels(short)))
+            distinct = [w for w in distinct if w not in out]
+        for word in distinct:
             if not self.unigram and word[:2] == MARK * 2:
                 out[word] = self._marked(word)
                 continue
@@ -171,21 +275,61 @@ class Model:
             run, tail = run + 1, tail[1:]
         return tuple(i for p in self.merged(MARK * (run - 1)) for i in self._spelt(p)) + tail
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in cut for w in words} - self.words.keys()
-        if len(self.words) + len(new) > KEPT:
-            self.words.clear()
-            new = {w for words in cut for w in words}
-        self.words.update(self.encode_words(new))
+    def encode_column(self, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of ``marked``, which have spaces for marks, and where each text's begin (with the end last)."""
+        data, offsets = bytes_of(marked)
+        # a word begins with the first of its spaces, and a text that isn't empty with one
+        space = data == 32
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        cuts = np.append(np.flatnonzero(begins), len(data))
+        words = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
         known = self.words
-        return [np.fromiter((i for w in words for i in known[w]), np.int32) for words in cut]
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > KEPT:
+            known.clear()
+            new = distinct
+        coded = self.encode_words([w.replace(" ", MARK) for w in new])
+        known.update((w, coded[w.replace(" ", MARK)]) for w in new)
+        found = [known[w] for w in distinct]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
+        # the ids of every occurrence
+        at = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], sizes[at])]
+        return ids, ends[np.searchsorted(cuts, offsets)]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, ends = self.encode_column(marked(pa.array(texts, pa.string())))
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+    def restored(self, marked: pa.Array, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text read back as that text."""
+        spelt, at = bytes_of(self.spellings.take(pa.array(ids)))
+        data, offsets = bytes_of(marked)
+        at = at[ends]
+        if np.array_equal(at, offsets) and np.array_equal(spelt, data):
+            return np.ones(len(marked), bool)
+        spelt, data = spelt.tobytes(), data.tobytes()
+        # bytes that aren't the same may still read the same
+        return np.array([spelt[a:b] == data[c:d] or self.decode(ids[e:f].tolist()) == data[c:d].decode()[1:] for a, b, c, d, e, f in zip(
+            at, at[1:], offsets, offsets[1:], ends, ends[1:])], bool)
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
+def marked(texts: pa.Array) -> pa.Array:
+    """The texts as the model reads them, with spaces for marks: one before each text that isn't empty."""
+    plain = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), MARK, " ")
+    none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    return pc.if_else(pc.equal(pc.binary_length(plain), 0), none, pc.binary_join_element_wise(space, plain, none))
+
+
 _LOADED: dict[str, Model] = {}
 
 
@@ -202,14 +346,12 @@ def encode(docs: DataFrame, path: str = MODEL, *keep: str) -> DataFrame:
     kept = ["doc_id", *keep]
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        coder, texts = model(path), piece.column("text").to_pylist()
-        ids = coder.encode_all(texts)
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-        same = [coder.decode(x.tolist()) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts)]
+        coder, texts = model(path), marked(piece.column("text"))
+        ids, ends = coder.encode_column(texts)
+        same = coder.restored(texts, ids, ends)
         return pa.RecordBatch.from_arrays(
-            [*(piece.column(c) for c in kept), pa.array(np.diff(ends).astype(np.int64)),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, pa.bool_())],
+            [*(piece.column(c) for c in kept), pa.array(np.diff(ends)),
+             pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(same)],
             [*kept, "n_pieces", "ids", "restored"])
 
     kinds = dict(docs.dtypes)
