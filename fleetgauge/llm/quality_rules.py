@@ -142,8 +142,12 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns only."""
+    """The rows of ``docs`` that are kept, with their own columns only.
+
+    Rows are written with their counts, so each text is counted once. The cutoffs are written too: their size is then known when
+    they are joined, and whole rows need not be shuffled by stratum.
+    """
     row = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "lang", "text")
-    counted = features(row, "_row", "doc_id", "lang")
-    cutoffs = fit_cutoffs(stored(features(docs, "doc_id", "lang"), "quality"), labels)
+    counted = stored(features(row, "_row", "doc_id", "lang"), "quality")
+    cutoffs = stored(fit_cutoffs(counted, labels), "quality-cutoffs")
     return judge(counted, cutoffs).where("kept").select("_row.*")
