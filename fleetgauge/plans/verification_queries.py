@@ -11,6 +11,7 @@ from fleetgauge.operators import verification as vf
 from fleetgauge.plans import fixtures as fx
 from fleetgauge.plans import verification_views as vv  # noqa: F401  (adds the views)
 from fleetgauge.plans.registry import register, rounded
+from fleetgauge.session import stored
 
 
 def _resolved(spark, sf_dir):
@@ -188,12 +189,14 @@ def _unknown_observed(spark, sf_dir):
 
 @register("applied_rules", _RULES_SQL)
 def applied_rules(spark, sf_dir):
-    hyps, resolved = verified(spark, sf_dir), _resolved(spark, sf_dir)
+    # each is read by several rules; written once, their shuffles don't pile up on disk
+    resolved = stored(_resolved(spark, sf_dir), "resolved")
+    hyps = stored(vf.verify_hypotheses(fx.hypotheses(spark, sf_dir), resolved), "verified")
     unresolved = vf.unresolved_ids(
         fx.hypotheses(spark, sf_dir), fx.citations(spark, sf_dir), fx.evidence(spark, sf_dir))
     return (
         vf.hypothesis_rules(hyps, resolved)
-        .unionByName(vf.run_rules(verdicts(spark, sf_dir), vf.offending_texts(fx.runs(spark, sf_dir), hyps)))
+        .unionByName(vf.run_rules(vf.run_verdicts(fx.runs(spark, sf_dir), hyps), vf.offending_texts(fx.runs(spark, sf_dir), hyps)))
         .unionByName(vf.id_rules(unresolved, "agent_unresolved_after_repair", "recorded"))
         .unionByName(vf.id_rules(_unknown_observed(spark, sf_dir), "observation_unknown_ids", "observation flagged")))
 
