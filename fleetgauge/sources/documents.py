@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
+from fleetgauge.sources import listing
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """``source_path, file_name, raw``, one row per document."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern).select(
-        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("raw"))
+    """``source_path, file_name, raw``, one row per document. Tasks list and read the files; the driver holds no names."""
+    return listing.whole_texts(listing.listed_files(spark, path, pattern))
 
 
 FOLDERS = 256

@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetgauge import vocab as v
 from fleetgauge.operators import ingest as ing
 from fleetgauge.session import stored
+from fleetgauge.sources import listing
 
 SIDECAR_SCHEMA = "scenario_id STRING, data_origin STRING, column_units MAP<STRING,STRING>"
 SIDECAR_NAME = "scenario.json"
@@ -97,6 +96,11 @@ def part_count(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(path, PART, 2), F.lit("")).cast("int"), F.lit(1))
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """Bytes of a split: ``spark.sql.files.maxPartitionBytes``."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+
 @dataclass
 class Scan:
     """``records``: source_path, split, row, fields; ``headers``: source_path, header; ``splits``: source_path, split, rows of every split."""
@@ -109,8 +113,8 @@ class Scan:
 def scan_records(spark: SparkSession, path: str | list[str]) -> Scan:
     """The records of every CSV under ``path`` in logged order.
 
-    Files are read as text, so files with different headers share one scan, and a large file is cut into
-    splits that many tasks read. A quoted field may hold line breaks, also over the edge of a split: a line
+    Tasks list the files and read them as text, so the driver holds no names, files with different headers share one scan, and a
+    large file is cut into splits that many tasks read. A quoted field may hold line breaks, also over the edge of a split: a line
     begins a record where the number of quotes before it in the file is even. Two passes: the
     first leaves a row per split (quotes, records if it begins outside or inside quotes), whose running sums
     tell how each split begins; the second reads the lines again and needs those sums only. Lines that go on
@@ -119,9 +123,8 @@ def scan_records(spark: SparkSession, path: str | list[str]) -> Scan:
     Blank lines outside quotes are no records; a quoted line break is read as a newline; quotes that never
     close stop the job, as does a record with more fields than the header.
     """
-    lines = spark.read.text(path, pathGlobFilter="*.csv").select(
-        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("split"), "value")
-    marked = lines.mapInArrow(_marked, MARKED)
+    files = listing.listed_files(spark, path, "*.csv")
+    marked = listing.lines_of(files, split_bytes(spark), _marked, MARKED)
     counted = marked.groupBy("source_path", "split").agg(
         F.sum("quotes").alias("quotes"), F.max("starts_even").alias("even"), F.max("starts_odd").alias("odd"))
     order = Window.partitionBy("source_path").orderBy("split")
@@ -158,9 +161,9 @@ def scan_records(spark: SparkSession, path: str | list[str]) -> Scan:
 
 def read_sidecars(spark: SparkSession, path: str, name: str = SIDECAR_NAME) -> DataFrame:
     """``folder, scenario_id, data_origin, column_units``; a malformed sidecar stops the job."""
-    return spark.read.schema(SIDECAR_SCHEMA).json(
-        path, multiLine=True, mode="FAILFAST", pathGlobFilter=name, recursiveFileLookup=True
-    ).select("*", _folder(F.col("_metadata.file_path")).alias("folder"))
+    read = listing.whole_texts(listing.listed_files(spark, path, name, recursive=True))
+    found = f"from_json(raw, 'ARRAY<STRUCT<{SIDECAR_SCHEMA}>>', map('mode', 'FAILFAST'))"
+    return read.select(F.expr(f"inline({found})"), _folder(F.col("source_path")).alias("folder"))
 
 
 def _folder(path):
@@ -171,7 +174,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests = []
         for uri in batch.column("path").to_pylist():
-            files, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+            files, name = listing.opened(uri)
             digest = hashlib.sha256()
             with files.open_input_stream(name) as stream:
                 while part := stream.read(HASH_BUFFER):
@@ -183,12 +186,12 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def content_hashes(spark: SparkSession, path: str | list[str], pattern: str = "*.csv") -> DataFrame:
     """``source_path, sha256`` of every file under ``path`` whose name fits ``pattern``.
 
-    Spark lists the files; a task reads its files through buffers of ``HASH_BUFFER`` bytes, so a log of any
+    Tasks list the files; a task reads its files through buffers of ``HASH_BUFFER`` bytes, so a log of any
     size takes that much memory. A hash has no parts to be shared out, so one log is the work of one task.
     Empty files are not listed.
     """
-    listed = spark.read.format("binaryFile").load(path, pathGlobFilter=pattern, recursiveFileLookup=True).select("path")
-    return listed.mapInArrow(_hashed, "source_path string, sha256 string")
+    listed = listing.listed_files(spark, path, pattern, recursive=True)
+    return listing.dealt(listed).select("path").mapInArrow(_hashed, "source_path string, sha256 string")
 
 
 def load_telemetry(
